@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flaskmill.functions import molecules as M
-from flaskmill.functions.text import as_column
-from flaskmill.operators.dedupe import dedupe_candidates_set, dedupe_candidates_valid, valid_candidates
+from flaskmill.functions.text import as_column, split_fragments
+from flaskmill.operators.dedupe import dedupe_candidates_set, dedupe_candidates_valid
 from flaskmill.operators.topk import TOP_KS, share
 
 
@@ -62,9 +62,15 @@ def any_verified(flags, n: int) -> Column:
     return F.exists(F.slice(as_column(flags), 1, n), lambda f: F.coalesce(f, F.lit(False)))
 
 
+def readable_fragments(candidate) -> Column:
+    """At least one fragment, and each of them readable as it is written."""
+    parts = split_fragments(candidate)
+    return (F.size(parts) > 0) & F.forall(parts, M.is_readable)
+
+
 def validity_filter(df: DataFrame, candidates: str, keep: int | None = None) -> DataFrame:
     """Readable candidates, how many were generated and are valid, and the one served."""
-    valid = valid_candidates(candidates)
+    valid = F.filter(candidates, readable_fragments)
     out = df.withColumn("valid", valid).withColumns(
         {
             "candidates_generated": F.size(candidates),
@@ -107,8 +113,6 @@ def substitute_side(
 
 
 def _served_hit(field: str, to_set) -> Column:
-    from flaskmill.functions.text import split_fragments
-
     served, reference = (
         to_set(split_fragments(c)) for c in (field, "cascade_reference_reactants")
     )

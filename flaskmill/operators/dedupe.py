@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from flaskmill.functions.molecules import canonical_set
 from flaskmill.functions.text import as_column, bind, is_present, split_fragments
 
+# A canonical part may itself contain a dot, so sets are joined with a control character.
+SEPARATOR = "\x1f"
+
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """First row per key combination."""
@@ -41,7 +44,7 @@ def dedupe_pair(
 def set_key(found: Column, text: Column) -> Column:
     """One text that tells sets apart, and unreadable texts from sets."""
     return F.coalesce(
-        F.concat(F.lit("s:"), F.array_join(found, ".")), F.concat(F.lit("t:"), text)
+        F.concat(F.lit("s:"), F.array_join(found, SEPARATOR)), F.concat(F.lit("t:"), text)
     )
 
 
@@ -66,8 +69,8 @@ def dedupe_candidates_raw(candidates) -> Column:
 
 
 def valid_candidates(candidates) -> Column:
-    """Candidates with at least one fragment and no unreadable one."""
-    ok = lambda c: (F.size(split_fragments(c)) > 0) & canonical_set(split_fragments(c)).isNotNull()
+    """Candidates whose every fragment has a canonical form."""
+    ok = lambda c: canonical_set(split_fragments(c)).isNotNull()
     return F.filter(as_column(candidates), ok)
 
 

@@ -54,6 +54,7 @@ def prepare_run(df: DataFrame, candidates: str = "candidates", reference: str =
             "ref_core": M.canonical_set(M.strip_auxiliary(parts)),
             "cand_sets": each(M.canonical_set),
             "cand_cores": each(lambda p: M.canonical_set(M.strip_auxiliary(p))),
+            "cand_valid": F.transform(candidates, M.is_valid),
         }
     )
 
@@ -75,7 +76,7 @@ def prepare_run_with_dim(
     each = lambda n: F.transform(candidates, lambda _, i: part_sets(i)[n])
     return back.withColumns(
         {"ref_set": ref_set, "ref_core": ref_core, "cand_sets": each(0), "cand_cores": each(1)}
-    ).drop("_parts")
+    ).withColumn("cand_valid", F.transform("cand_sets", lambda s: F.size(s) > 0)).drop("_parts")
 
 
 def first_hit(sets, reference) -> Column:
@@ -111,7 +112,7 @@ def topk_scores(prepared: DataFrame, num_beams: int | None = None) -> DataFrame:
     ranked = prepared.select(
         first_hit("cand_sets", "ref_set").alias("e"),
         first_hit("cand_cores", "ref_core").alias("c"),
-        top1_valid("candidates", "cand_sets").alias("v"),
+        top1_valid("cand_valid").alias("v"),
     )
     return ranked.agg(
         F.count("*").alias("total"),
@@ -135,14 +136,13 @@ def topk_core_exact(prepared: DataFrame, num_beams: int | None = None) -> DataFr
     )
 
 
-def top1_valid(candidates, sets) -> Column:
-    """The first candidate is not empty and every fragment of it is readable."""
-    first = F.get(as_column(candidates), F.lit(0))
-    return F.coalesce((first != "") & F.get(as_column(sets), F.lit(0)).isNotNull(), F.lit(False))
+def top1_valid(valid) -> Column:
+    """The first candidate is valid; false when there is none."""
+    return F.coalesce(F.get(as_column(valid), F.lit(0)), F.lit(False))
 
 
 def top1_valid_rate(prepared: DataFrame) -> DataFrame:
-    return prepared.agg(share(top1_valid("candidates", "cand_sets")).alias("top1_valid_rate"))
+    return prepared.agg(share(top1_valid("cand_valid")).alias("top1_valid_rate"))
 
 
 def structure_success_rate(texts) -> Column:
