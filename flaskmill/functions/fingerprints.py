@@ -28,19 +28,19 @@ def shingles(text, width: int = 3) -> Column:
 def feature_set(text, width: int = 3, bits: int = FINGERPRINT_BITS) -> Column:
     """Sorted ids of the on-bits; null for a null or empty text."""
     bit = lambda s: (F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint") % bits).cast("int")
-    return F.array_sort(F.array_distinct(F.transform(shingles(text, width), bit)))
+    return F.sort_array(F.array_distinct(F.transform(shingles(text, width), bit)))
 
 
 def combine_or(sets) -> Column:
     """Union over an array of feature sets; unreadable (null) members are skipped."""
     known = F.filter(sets, lambda x: x.isNotNull())
-    return F.array_sort(F.array_distinct(F.flatten(known)))
+    return F.sort_array(F.array_distinct(F.flatten(known)))
 
 
 def transform_xor(a, b) -> Column:
     """Bits set on exactly one side."""
     a, b = as_column(a), as_column(b)
-    return F.array_sort(F.concat(F.array_except(a, b), F.array_except(b, a)))
+    return F.sort_array(F.concat(F.array_except(a, b), F.array_except(b, a)))
 
 
 def tanimoto(a, b) -> Column:

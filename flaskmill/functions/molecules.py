@@ -16,25 +16,24 @@ from flaskmill.functions.text import (
     as_column,
     as_set,
     bind,
+    literal_map,
     split_fragments,
     strip,
     strip_atom_maps,
 )
 
 BRACKET_ATOM = r"\[[0-9]*(?:[A-Z][a-z]?|[bcnops]|se|as|\*)[^\[\]]*\]"
-ATOM = BRACKET_ATOM + r"|Br|Cl|[BCNOPSFIbcnops]"
-TOKEN = ATOM + r"|[-=#$:/\\.()~*]|%[0-9][0-9]|[0-9]"
+ATOM = BRACKET_ATOM + r"|Br|Cl|[BCNOPSFIbcnops*]"
+TOKEN = ATOM + r"|[-=#$:/\\.()~]|%[0-9][0-9]|[0-9]"
 ELEMENT = r"^\[?[0-9]*([A-Z][a-z]?|[bcnops]|se|as)"
 CHARGE = r"([+-]+[0-9]*)(?::[0-9]+)?\]"
 
 
-def _literal_map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
 def normalize_formula(c) -> Column:
     """Trimmed text, known formula names replaced; null when blank."""
-    aliases = _literal_map(FORMULA_ALIASES)
+    aliases = literal_map(FORMULA_ALIASES)
     return bind(
         strip(c), lambda t: F.when(t != "", F.coalesce(F.try_element_at(aliases, t), t))
     )
@@ -59,7 +58,8 @@ def _readable(text: Column) -> Column:
     closed = F.length(F.replace(text, F.lit(")"), F.lit("")))
     # Tokens are removed one after the other, which no length of text can make recurse.
     only_tokens = (text != "") & (F.regexp_replace(text, TOKEN, "") == "")
-    ok = only_tokens & F.rlike(text, F.lit(ATOM)) & (opened == closed)
+    # In a text of tokens every letter and star belongs to an atom.
+    ok = only_tokens & F.rlike(text, F.lit("[A-Za-z*]")) & (opened == closed)
     return F.coalesce(ok, F.lit(False))
 
 
@@ -87,14 +87,23 @@ def _symbol(s) -> Column:
 
 def net_charge(text) -> Column:
     """Sum of the bracket charges, written ``+``, ``--`` or ``+2``."""
-    marks = F.regexp_extract_all(as_column(text), F.lit(CHARGE), F.lit(1))
+    text = as_column(text)
+    marks = F.regexp_extract_all(text, F.lit(CHARGE), F.lit(1))
 
     def amount(mark):
         digits = F.regexp_replace(mark, "[+-]", "")
         size = F.coalesce(digits.try_cast("int"), F.length(mark))
         return F.when(F.startswith(mark, F.lit("-")), -size).otherwise(size)
 
-    return F.aggregate(F.transform(marks, amount), F.lit(0), lambda a, x: a + x)
+    total = F.aggregate(F.transform(marks, amount), F.lit(0), lambda a, x: a + x)
+    return F.when(F.rlike(text, F.lit(CHARGE)), total).when(text.isNotNull(), 0)
+
+
+def has_carbon(text) -> Column:
+    """A carbon atom inside or outside brackets."""
+    text = as_column(text)
+    bare = F.regexp_replace(text, r"\[[^\]]*\]", "")
+    return F.rlike(bare, F.lit("C(?!l)|c")) | F.rlike(text, F.lit(r"\[[0-9]*[Cc](?![a-z])"))
 
 
 def heavy_atoms(text) -> Column:
@@ -105,7 +114,7 @@ def is_auxiliary(c) -> Column:
     """Readable and either charged or without carbon; unreadable text is never auxiliary."""
 
     def judge(text):
-        plain = (net_charge(text) == 0) & F.array_contains(elements_of(text), "C")
+        plain = has_carbon(text) & (net_charge(text) == 0)
         return F.coalesce(_readable(text) & ~plain, F.lit(False))
 
     return bind(normalize_formula(c), judge)

@@ -21,6 +21,20 @@ def as_column(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_map(values: dict[str, str]) -> Column:
+    """Constant map, handed to Spark in one piece."""
+    return F.expr("map(" + ", ".join(_quoted(x) for pair in values.items() for x in pair) + ")")
+
+
+def literal_array(values) -> Column:
+    """Constant array of texts, handed to Spark in one piece."""
+    return F.expr("array(" + ", ".join(_quoted(v) for v in values) + ")")
+
+
 def bind(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, however often ``use`` mentions it.
 
@@ -82,7 +96,7 @@ def split_fragments(c) -> Column:
 
 def as_set(array) -> Column:
     """Sorted distinct array: two of them are equal exactly when the sets are."""
-    return F.array_sort(F.array_distinct(array))
+    return F.sort_array(F.array_distinct(array))
 
 
 def normalize_components(c, canonical=None) -> Column:

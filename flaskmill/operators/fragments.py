@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flaskmill.functions import molecules as M
-from flaskmill.functions.text import as_set, split_fragments
+from flaskmill.functions.text import as_set, bind, split_fragments
 from flaskmill.operators.skew import join_spread
 
 
@@ -39,10 +39,10 @@ def build_fragment_dim(
         "raw",
         "occurrences",
         M.canonical_text("raw").alias("canonical"),
-        F.array_contains(M.elements_of(text), "C").alias("has_carbon"),
+        M.has_carbon(text).alias("has_carbon"),
         M.net_charge(text).alias("net_charge"),
         M.heavy_atoms(text).alias("heavy_atoms"),
-        F.array_sort(F.array_distinct(M.elements_of(text))).alias("elements"),
+        as_set(M.elements_of(text)).alias("elements"),
         M.is_auxiliary("raw").alias("is_auxiliary"),
     )
     if canonical_map is not None:
@@ -93,26 +93,37 @@ def with_canonical_parts(df: DataFrame, id_col: str, tagged: Column, dim: DataFr
 
 def part_sets(part: Column) -> tuple[Column, Column]:
     """Full and core set of one numbered text out of ``_parts``."""
-    mine = F.filter("_parts", lambda p: p["part"] == part)
-    core = F.filter(mine, lambda p: ~F.coalesce(p["is_auxiliary"], F.lit(False)))
-    return _set_of(mine), _set_of(core)
+    return named_sets(F.filter("_parts", lambda p: p["part"] == part))
 
 
 def _set_of(parts: Column) -> Column:
-    names = F.transform(parts, lambda p: p["canonical"])
-    return F.when(~F.exists(names, lambda x: x.isNull()), as_set(names))
+    return bind(F.transform(parts, lambda p: p["canonical"]), M.whole_set)
 
 
 def lexical_sets(df: DataFrame, text_cols: Sequence[str]) -> DataFrame:
     """The same columns as ``canonicalise_sets`` from the text alone, without any shuffle."""
     new = {}
     for c in text_cols:
-        parts = split_fragments(c)
-        new[f"{c}_set"] = M.canonical_set(parts)
-        new[f"{c}_core"] = M.canonical_set(M.strip_auxiliary(parts))
+        new[f"{c}_set"], new[f"{c}_core"] = named_sets(named_fragments(c))
     return df.withColumns(new)
 
 
+def named_fragments(text) -> Column:
+    """Fragments of a text as (canonical, is_auxiliary), each looked at once."""
+    return F.transform(
+        split_fragments(text),
+        lambda f: F.struct(
+            M.canonical_text(f).alias("canonical"), M.is_auxiliary(f).alias("is_auxiliary")
+        ),
+    )
+
+
+def named_sets(parts: Column) -> tuple[Column, Column]:
+    """Full and core set of named fragments."""
+    core = F.filter(parts, lambda p: ~F.coalesce(p["is_auxiliary"], F.lit(False)))
+    return _set_of(parts), _set_of(core)
+
+
 def strip_aux(df: DataFrame, col: str, into: str) -> DataFrame:
     """Dot-joined text without auxiliary fragments; unreadable ones stay."""
     return df.withColumn(into, F.array_join(M.strip_auxiliary(split_fragments(col)), "."))

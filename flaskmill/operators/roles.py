@@ -18,11 +18,12 @@ from flaskmill.constants import (
     NUCLEOPHILE_METALS,
 )
 from flaskmill.functions import molecules as M
-from flaskmill.functions.fingerprints import feature_set
+from flaskmill.functions.fingerprints import shingles
 from flaskmill.functions.text import (
     atom_map_ids,
     bind,
     is_present,
+    literal_array,
     normalize_components,
     split_fragments,
     strip_atom_maps,
@@ -30,22 +31,18 @@ from flaskmill.functions.text import (
 from flaskmill.operators.skew import join_spread
 
 
-def literal_array(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def shared_features(fragment: Column, product_features: Column) -> Column:
-    """Number of text features the two have in common.
+    """Number of text features (distinct shingles) the two have in common.
 
     Stands in for the size of the largest common substructure, which needs a graph matcher;
     pass a real count to ``classify_role`` where one is available.
     """
-    return F.size(F.array_intersect(feature_set(fragment), product_features))
+    return F.size(F.array_intersect(shingles(fragment), product_features))
 
 
 def product_context(product: Column) -> Column:
     """The product's text and features, computed once for all fragments of a row."""
-    return F.struct(product.alias("text"), feature_set(product).alias("bits"))
+    return F.struct(product.alias("text"), shingles(product).alias("bits"))
 
 
 def classify_role(
@@ -66,7 +63,7 @@ def classify_role(
 
 def _rules(fragment, product, shared, curated, elements) -> Column:
     heavy = F.size(F.filter(elements, lambda e: e != "H"))
-    carbon = F.array_contains(elements, "C")
+    carbon = M.has_carbon(fragment)
     has_any_of = lambda metals: F.arrays_overlap(elements, literal_array(metals))
     geometry = (shared >= MIN_SHARED_ATOMS) & (shared >= MIN_SHARED_FRACTION * heavy)
     return (

@@ -46,28 +46,20 @@ def mcnemar_exact(df: DataFrame, metrics: dict[str, tuple[Column, Column]]) -> D
 
     ``metrics`` maps a name to the two runs' hit flags. All metrics are counted in one pass.
     """
-    cols = []
-    for i, (a, b) in enumerate(metrics.values()):
-        both = a.isNotNull() & b.isNotNull()
-        cols += [
-            F.count_if(both).alias(f"n{i}"),
-            F.count_if(both & a).alias(f"a{i}"),
-            F.count_if(both & b).alias(f"b{i}"),
-            F.count_if(both & a & ~b).alias(f"oa{i}"),
-            F.count_if(both & ~a & b).alias(f"ob{i}"),
-        ]
-    counted = df.agg(*cols)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("metric"),
-                F.col(f"n{i}").alias("n"),
-                F.when(F.col(f"n{i}") > 0, F.col(f"a{i}") / F.col(f"n{i}")).alias("rate_a"),
-                F.when(F.col(f"n{i}") > 0, F.col(f"b{i}") / F.col(f"n{i}")).alias("rate_b"),
-                F.col(f"oa{i}").alias("only_a"),
-                F.col(f"ob{i}").alias("only_b"),
-            )
-            for i, name in enumerate(metrics)
-        ]
+    flags = [
+        F.struct(F.lit(name).alias("metric"), a.alias("a"), b.alias("b"))
+        for name, (a, b) in metrics.items()
+    ]
+    counted = (
+        df.select(F.inline(F.array(*flags)))
+        .where(F.col("a").isNotNull() & F.col("b").isNotNull())
+        .groupBy("metric")
+        .agg(
+            F.count("*").alias("n"),
+            F.avg(F.col("a").cast("int")).alias("rate_a"),
+            F.avg(F.col("b").cast("int")).alias("rate_b"),
+            F.count_if(F.col("a") & ~F.col("b")).alias("only_a"),
+            F.count_if(F.col("b") & ~F.col("a")).alias("only_b"),
+        )
     )
-    return counted.select(F.inline(rows)).withColumn("p", two_sided_p(F.col("only_a"), F.col("only_b")))
+    return counted.withColumn("p", two_sided_p(F.col("only_a"), F.col("only_b")))

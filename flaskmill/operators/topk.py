@@ -26,16 +26,23 @@ from flaskmill.functions.text import (
     bind,
     bucket_index,
     is_present,
+    literal_array,
+    literal_map,
     normalize_components,
     split_fragments,
     strip,
     to_number,
     within_tolerance,
 )
-from flaskmill.operators.fragments import part_sets, tag_fragments, with_canonical_parts
+from flaskmill.operators.fragments import (
+    named_fragments,
+    named_sets,
+    part_sets,
+    tag_fragments,
+    with_canonical_parts,
+)
 from flaskmill.operators.roles import (
     classify_role,
-    literal_array,
     product_context,
     shared_features,
 )
@@ -45,18 +52,21 @@ from flaskmill.operators.roles import (
 
 
 def prepare_run(df: DataFrame, candidates: str = "candidates", reference: str = "reference") -> DataFrame:
-    """Adds the full and core sets of the reference and of every candidate."""
-    parts = split_fragments(reference)
-    each = lambda f: F.transform(candidates, lambda c: f(split_fragments(c)))
-    return df.withColumns(
+    """Adds the full and core sets of the reference and of every candidate, and whether the
+    first candidate is valid as a whole."""
+    named = df.withColumns(
+        {"_ref": named_fragments(reference), "_cands": F.transform(candidates, named_fragments)}
+    )
+    ref_set, ref_core = named_sets(F.col("_ref"))
+    return named.withColumns(
         {
-            "ref_set": M.canonical_set(parts),
-            "ref_core": M.canonical_set(M.strip_auxiliary(parts)),
-            "cand_sets": each(M.canonical_set),
-            "cand_cores": each(lambda p: M.canonical_set(M.strip_auxiliary(p))),
-            "cand_valid": F.transform(candidates, M.is_valid),
+            "ref_set": ref_set,
+            "ref_core": ref_core,
+            "cand_sets": F.transform("_cands", lambda p: named_sets(p)[0]),
+            "cand_cores": F.transform("_cands", lambda p: named_sets(p)[1]),
+            "top1_valid": F.coalesce(M.is_valid(F.get(candidates, F.lit(0))), F.lit(False)),
         }
-    )
+    ).drop("_ref", "_cands")
 
 
 def prepare_run_with_dim(
@@ -76,7 +86,7 @@ def prepare_run_with_dim(
     each = lambda n: F.transform(candidates, lambda _, i: part_sets(i)[n])
     return back.withColumns(
         {"ref_set": ref_set, "ref_core": ref_core, "cand_sets": each(0), "cand_cores": each(1)}
-    ).withColumn("cand_valid", F.transform("cand_sets", lambda s: F.size(s) > 0)).drop("_parts")
+    ).withColumn("top1_valid", F.coalesce(F.size(F.get("cand_sets", F.lit(0))) > 0, F.lit(False))).drop("_parts")
 
 
 def first_hit(sets, reference) -> Column:
@@ -112,7 +122,7 @@ def topk_scores(prepared: DataFrame, num_beams: int | None = None) -> DataFrame:
     ranked = prepared.select(
         first_hit("cand_sets", "ref_set").alias("e"),
         first_hit("cand_cores", "ref_core").alias("c"),
-        top1_valid("cand_valid").alias("v"),
+        F.col("top1_valid").alias("v"),
     )
     return ranked.agg(
         F.count("*").alias("total"),
@@ -136,13 +146,8 @@ def topk_core_exact(prepared: DataFrame, num_beams: int | None = None) -> DataFr
     )
 
 
-def top1_valid(valid) -> Column:
-    """The first candidate is valid; false when there is none."""
-    return F.coalesce(F.get(as_column(valid), F.lit(0)), F.lit(False))
-
-
 def top1_valid_rate(prepared: DataFrame) -> DataFrame:
-    return prepared.agg(share(top1_valid("cand_valid")).alias("top1_valid_rate"))
+    return prepared.agg(share(F.col("top1_valid")).alias("top1_valid_rate"))
 
 
 def structure_success_rate(texts) -> Column:
@@ -197,8 +202,7 @@ def topk_by_view(
 
 
 def _members(groups: dict) -> Column:
-    pairs = {m: g for g, members in groups.items() for m in members}
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    return literal_map({m: g for g, members in groups.items() for m in members})
 
 
 def solvent_group(component: Column) -> Column:

@@ -17,8 +17,8 @@ from flaskmill.constants import (
     SOLVENT_GROUPS,
 )
 from flaskmill.functions.molecules import ATOM, CHARGE, ELEMENT, TOKEN
-from flaskmill.operators.roles import literal_array
-from flaskmill.plans.registry import table
+from flaskmill.functions.text import literal_array
+from flaskmill.plans.registry import heavy_table, table
 
 SPECIES = (
     "CCO", "OCC", "CC(=O)O", "ClCCl", "[Na+]", "[OH-]", "O", "c1ccccc1", "CC(=O)[O-]",
@@ -46,7 +46,7 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     """One record per order: position, product and reference."""
     key = F.col("o_custkey")
     salt = F.when(F.col("o_orderpriority") == "1-URGENT", ".[Na+]").otherwise("")
-    return table(spark, folder, "orders").select(
+    return heavy_table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("record_pos"),
         F.concat(species(key), species(key + 5)).alias("product"),
         F.concat(species(key), salt).alias("reference"),
@@ -216,7 +216,7 @@ def condition_records(spark: SparkSession, folder: str) -> DataFrame:
     key, price = F.col("o_custkey"), F.col("o_totalprice")
     second = F.when(key % 3 == 0, F.concat(F.lit(", "), species(key + 1))).otherwise("")
     solvent = F.when(key % 5 == 1, "not specified").when(key % 5 != 0, F.concat(species(key), second))
-    return table(spark, folder, "orders").select(
+    return heavy_table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("record_pos"),
         F.concat(species(key), species(key + 5)).alias("product_smiles"),
         F.concat(species(key), F.lit("."), species(key + 3)).alias("reactants_smiles"),

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flaskmill.session import balance
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -26,3 +28,8 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def heavy_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows get much work each: never fewer tasks than cores."""
+    return balance(table(spark, folder, name))

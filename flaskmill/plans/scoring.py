@@ -221,18 +221,18 @@ def interleave_ensemble(spark, folder):
     return topk.topk_scores(topk.prepare_run(merged))
 
 
-def ranked_pair(spark, folder):
-    """Exact and core ranks of both runs and of the merged one."""
+def ranked_pair(spark, folder, lists=("candidates_a", "candidates_b", "merged")):
+    """Exact and core ranks of the named lists."""
     both = paired(spark, folder).withColumnRenamed("reference_a", "reference")
     out = both.select("record_pos", "reference", "candidates_a", "candidates_b", "merged")
-    for name in ("candidates_a", "candidates_b", "merged"):
+    for name in lists:
         ranked = topk.prepare_run(out, name)
         out = ranked.withColumns(
             {
                 f"{name}_e": topk.first_hit("cand_sets", "ref_set"),
                 f"{name}_c": topk.first_hit("cand_cores", "ref_core"),
             }
-        ).drop("cand_sets", "cand_cores", "ref_set", "ref_core")
+        ).drop("cand_sets", "cand_cores", "ref_set", "ref_core", "top1_valid")
     return out.drop("candidates_a", "candidates_b", "merged", "reference")
 
 
@@ -287,7 +287,9 @@ def mcnemar_exact(spark, folder):
         for kind, name in (("e", "exact"), ("c", "core"))
         for k in KS
     }
-    tested = stats.mcnemar_exact(ranked_pair(spark, folder), metrics)
+    tested = stats.mcnemar_exact(
+        ranked_pair(spark, folder, ("candidates_a", "candidates_b")), metrics
+    )
     return tested.withColumn("p", F.round("p", 6))
 
 

@@ -41,6 +41,16 @@ def staging_dir(spark: SparkSession) -> str:
     return folder
 
 
+def balance(df: DataFrame) -> DataFrame:
+    """Spread a scan that comes in fewer splits than there are cores.
+
+    Only a small table does, in one short file for instance, and its rows would all be worked
+    on in one task; a large one is left as it is. ``df`` must be a plain scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back.
 
