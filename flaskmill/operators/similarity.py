@@ -20,7 +20,7 @@ SIGNATURE = ("product", "reactants", "rclass")
 
 def with_features(df: DataFrame, product: str = "product", reactants: str = "reactants") -> DataFrame:
     """Adds ``fp`` (product features) and ``tx`` (their XOR with the united reactants)."""
-    united = combine_or(F.transform(split_fragments(reactants), feature_set))
+    united = combine_or(F.transform(split_fragments(reactants), lambda f: feature_set(f)))
     return df.withColumn("fp", feature_set(product)).withColumn("tx", transform_xor("fp", united))
 
 
