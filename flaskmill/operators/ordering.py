@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Largest n for which the plain window or limit is used: up to here the rank limit is
 # applied before the shuffle, so a hot group sends n rows per task.
@@ -31,11 +32,14 @@ def _position(key: str) -> Column:
     return F.struct(F.col("_h").alias("h"), F.col(key).alias("k"))
 
 
-def cut_table(df: DataFrame, key: str, seed, wanted: Column, group: Sequence[str] = ()) -> DataFrame:
-    """Per group: ``_total`` rows, ``_want`` rows wanted, and ``_cut``, the last position kept.
+def cut_table(
+    df: DataFrame, key: str, seed, wanted: dict[str, Column], group: Sequence[str] = ()
+) -> DataFrame:
+    """One row per group with ``_total`` and, for every name in ``wanted``, how many rows are
+    wanted (``<name>_want``) and the last position kept (``<name>_cut``).
 
-    ``wanted`` is an expression over ``_total``. ``_cut`` is null when nothing or everything
-    is kept. ``key`` must be unique.
+    A wanted number is an expression over ``_total``. A cut is null when nothing or everything
+    is kept. ``key`` must be unique. All cuts share the two passes.
     """
     group = list(group)
     narrow = df.select(*group, key, seeded_hash(seed, key).alias("_h")).withColumn(
@@ -47,30 +51,41 @@ def cut_table(df: DataFrame, key: str, seed, wanted: Column, group: Sequence[str
     running = hist.withColumn("_cum", F.sum("_n").over(per_group.orderBy("_b"))).withColumn(
         "_total", F.sum("_n").over(per_group)
     )
-    running = running.withColumn("_want", wanted.cast("bigint"))
-    edge = running.where(
+    wants = [
+        F.struct(F.lit(name).alias("_name"), n.cast("bigint").alias("_want"))
+        for name, n in wanted.items()
+    ]
+    asked = running.select("*", F.inline(F.array(*wants)))
+    edge = asked.where(
         (F.col("_want") < F.col("_total"))
         & (F.col("_cum") >= F.col("_want"))
         & (F.col("_cum") - F.col("_n") < F.col("_want"))
-    ).select(*group, "_b", (F.col("_want") - F.col("_cum") + F.col("_n")).alias("_need"))
+    ).select(*group, "_b", "_name", (F.col("_want") - F.col("_cum") + F.col("_n")).alias("_need"))
     inside = narrow.join(edge, [*group, "_b"])
-    rank = F.row_number().over(W.partitionBy(*group, "_b").orderBy("_h", key))
-    cut = (
-        inside.withColumn("_rank", rank)
-        .where(F.col("_rank") == F.col("_need"))
-        .select(*group, _position(key).alias("_cut"))
+    rank = F.row_number().over(W.partitionBy(*group, "_b", "_name").orderBy("_h", key))
+    cut = inside.withColumn("_rank", rank).where(F.col("_rank") == F.col("_need"))
+    none = F.lit(None).cast("bigint")
+    facts = asked.groupBy(*group, "_name").agg(
+        F.max("_total").alias("_total"), F.max("_want").alias("_want")
     )
-    totals = running.groupBy(*group).agg(F.max("_total").alias("_total"), F.max("_want").alias("_want"))
-    if group:
-        return totals.join(cut, group, "left")
-    return totals.withColumn("_cut", cut.agg(F.max("_cut").alias("_cut")).scalar())
+    nothing = F.lit(None).cast(cut.select(_position(key).alias("p")).schema["p"].dataType)
+    rows = facts.select(*group, "_name", "_total", "_want", nothing.alias("_cut")).unionByName(
+        cut.select(
+            *group, "_name", none.alias("_total"), none.alias("_want"), _position(key).alias("_cut")
+        )
+    )
+    mine = lambda name, c: F.max(F.when(F.col("_name") == name, F.col(c)))
+    columns = [F.max("_total").alias("_total")]
+    for name in wanted:
+        columns += [mine(name, "_want").alias(f"{name}_want"), mine(name, "_cut").alias(f"{name}_cut")]
+    return rows.groupBy(*group).agg(*columns)
 
 
-def _kept(key: str) -> Column:
-    inside = F.when(F.col("_cut").isNull(), F.col("_want") >= F.col("_total")).otherwise(
-        _position(key) <= F.col("_cut")
-    )
-    return F.coalesce(inside & (F.col("_want") > 0), F.lit(False))
+def _within(name: str, position: Column, cuts) -> Column:
+    """The position is among the rows wanted under ``name``; ``cuts`` reads a cut column."""
+    cut, want, total = cuts(f"{name}_cut"), cuts(f"{name}_want"), cuts("_total")
+    kept = F.when(cut.isNull(), want >= total).otherwise(position <= cut)
+    return F.coalesce((want > 0) & kept, F.lit(False))
 
 
 def first_by_hash(df: DataFrame, n: int, key: str, seed) -> DataFrame:
@@ -78,10 +93,14 @@ def first_by_hash(df: DataFrame, n: int, key: str, seed) -> DataFrame:
     hashed = df.withColumn("_h", seeded_hash(seed, key))
     if n <= SMALL_N:
         return hashed.orderBy("_h", key).limit(n).drop("_h")
-    cut = cut_table(df, key, seed, F.lit(n)).select("_cut", "_total", "_want")
-    kept = F.struct(F.col("_h").alias("h"), F.col(key).alias("k"))
-    last = cut.select("_cut").scalar()
-    return hashed.where(F.isnull(last) | (kept <= last)).drop("_h")
+    cuts = _one_row(cut_table(df, key, seed, {"n": F.lit(n)}))
+    return hashed.where(_within("n", _position(key), cuts)).drop("_h")
+
+
+def _one_row(table: DataFrame):
+    """Reads columns of a one-row table as one scalar subquery."""
+    row = table.select(F.struct("*").alias("_row")).scalar()
+    return lambda name: row[name]
 
 
 def first_by_hash_per_group(df: DataFrame, n: int, key: str, group: str, seed) -> DataFrame:
@@ -90,12 +109,9 @@ def first_by_hash_per_group(df: DataFrame, n: int, key: str, group: str, seed) -
     if n <= SMALL_N:
         rank = F.row_number().over(W.partitionBy(group).orderBy("_h", key))
         return hashed.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank", "_h")
-    cuts = cut_table(df, key, seed, F.lit(n), [group])
-    return (
-        hashed.join(cuts, group)
-        .where(_kept(key))
-        .drop("_h", "_cut", "_total", "_want")
-    )
+    cuts = cut_table(df, key, seed, {"n": F.lit(n)}, [group])
+    kept = hashed.join(cuts, group).where(_within("n", _position(key), F.col))
+    return kept.drop("_h", "_total", "n_want", "n_cut")
 
 
 def label_by_cuts(
@@ -104,32 +120,61 @@ def label_by_cuts(
     """Label consecutive stretches of the seeded order with exact sizes.
 
     ``sizes`` gives (label, number of rows as an expression over ``_total``) in order; what
-    is left gets ``rest``. Each cut is a one-row scalar subquery; the rows do not move.
+    is left gets ``rest``. The cuts come as one scalar subquery; the rows do not move.
     """
-    hashed = df.withColumn("_h", seeded_hash(seed, key))
-    position = F.struct(F.col("_h").alias("h"), F.col(key).alias("k"))
-    upto = F.lit(0).cast("bigint")
-    label = None
+    wanted, upto = {}, F.lit(0).cast("bigint")
     for name, size in sizes:
         upto = upto + size.cast("bigint")
-        one = cut_table(df, key, seed, upto)
-        cut = one.select("_cut").scalar()
-        full = one.select((F.col("_want") >= F.col("_total")).alias("_full")).scalar()
-        inside = F.coalesce(position <= cut, full)
-        label = F.when(inside, name) if label is None else label.when(inside, name)
-    return hashed.withColumn(into, label.otherwise(rest)).drop("_h")
+        wanted[name] = upto
+    cuts = _one_row(cut_table(df, key, seed, wanted))
+    label = F.lit(rest)
+    for name in reversed(wanted):
+        label = F.when(_within(name, _position(key), cuts), name).otherwise(label)
+    return df.withColumn("_h", seeded_hash(seed, key)).withColumn(into, label).drop("_h")
+
 
+MAX_BLOCKS = 16**HASH_DIGITS
 
-def first_in_order(df: DataFrame, n: int, *order: str) -> DataFrame:
+
+def index_cuts(df: DataFrame, n: int, index: str, source: str | None = None) -> DataFrame:
+    """Per source, the integer index of its n-th row, or of its last row when it has fewer.
+
+    Indices are counted in at most MAX_BLOCKS equal blocks; only the block that holds the
+    n-th row is ranked, so no task sees more of a hot source than one block.
+    """
+    by = [source] if source else []
+    bounds = df.agg(F.struct(F.min(index).alias("lo"), F.max(index).alias("hi")).alias("b")).scalar()
+    width = F.floor((bounds["hi"] - bounds["lo"]) / MAX_BLOCKS) + 1
+    block = F.floor((F.col(index) - bounds["lo"]) / width)
+    narrow = df.select(*by, index).withColumn("_block", block)
+    sizes = narrow.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
+    whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    running = sizes.withColumn("_cum", F.sum("_n").over(whole.orderBy("_block"))).withColumn(
+        "_want", F.least(F.lit(n), F.sum("_n").over(whole))
+    )
+    edge = running.where(
+        (F.col("_cum") >= F.col("_want")) & (F.col("_cum") - F.col("_n") < F.col("_want"))
+    ).select(*by, "_block", (F.col("_want") - F.col("_cum") + F.col("_n")).alias("_need"))
+    rank = F.row_number().over(W.partitionBy(*by, "_block").orderBy(index))
+    return (
+        narrow.join(edge, [*by, "_block"])
+        .withColumn("_rank", rank)
+        .where(F.col("_rank") == F.col("_need"))
+        .select(*by, F.col(index).alias("_last"))
+    )
+
+
+def first_in_order(df: DataFrame, n: int, order: str) -> DataFrame:
     """The first ``n`` rows by ``order``, which must be unique.
 
-    For a large n only the order columns pass through the top-n; the rows themselves are
-    kept in place by comparing with the last one wanted.
+    For a large n the n-th order value is looked up first and the rows are kept in place by
+    comparing with it: by counting blocks for an integer order, else by a top-n over the
+    order values alone.
     """
     if n <= SMALL_N:
-        return df.orderBy(*order).limit(n)
-    position = F.struct(*order)
-    last = (
-        df.select(position.alias("_p")).orderBy("_p").limit(n).agg(F.max("_p").alias("_p")).scalar()
-    )
-    return df.where(position <= last)
+        return df.orderBy(order).limit(n)
+    if isinstance(df.schema[order].dataType, T.IntegralType):
+        last = index_cuts(df, n, order).scalar()
+    else:
+        last = df.select(order).orderBy(order).limit(n).agg(F.max(order)).scalar()
+    return df.where(F.col(order) <= last)

@@ -20,9 +20,11 @@ from flaskmill.operators.ordering import (
     first_by_hash,
     first_by_hash_per_group,
     first_in_order,
+    index_cuts,
     label_by_cuts,
     seeded_hash,
 )
+from flaskmill.session import stage
 
 
 def take_unique(df: DataFrame, key: str, n: int, order: str) -> DataFrame:
@@ -30,11 +32,23 @@ def take_unique(df: DataFrame, key: str, n: int, order: str) -> DataFrame:
     return first_in_order(dedupe_first(df, key, order), n, order)
 
 
+def _kept_by_id(df: DataFrame, chosen: DataFrame, row_id: str) -> DataFrame:
+    return df.join(chosen.select(row_id), row_id, "left_semi")
+
+
+def _once(df: DataFrame, *sizes: int) -> DataFrame:
+    """Large cuts read their input several times, so it is written once; ids only."""
+    return stage(df) if max(sizes) > SMALL_N else df
+
+
 def seeded_sample_nested(df: DataFrame, n: int, seed, key: str, row_id: str) -> DataFrame:
-    """Seeded shuffle, then the first row per key, up to ``n``: a smaller n is a prefix."""
-    shuffled = df.withColumn("_h", seeded_hash(seed, row_id))
-    unique = dedupe_first(shuffled, key, ["_h", row_id]).drop("_h")
-    return first_by_hash(unique, n, row_id, seed)
+    """Seeded shuffle, then the first row per key, up to ``n``: a smaller n is a prefix.
+
+    Rows are chosen on (id, key) alone; the wide rows are only filtered by the chosen ids.
+    """
+    shuffled = df.select(row_id, key).withColumn("_h", seeded_hash(seed, row_id))
+    unique = dedupe_first(shuffled, key, ["_h", row_id]).select(row_id)
+    return _kept_by_id(df, first_by_hash(_once(unique, n), n, row_id, seed), row_id)
 
 
 def stratified_capped_sample(
@@ -55,10 +69,9 @@ def stratified_capped_sample(
     cap = max(1, n // 10) if cap is None else cap
     named = F.when(is_present(group), F.col(group).cast("string")).otherwise("unknown")
     narrow = df.select(row_id, key, named.alias("_group"))
-    unique = dedupe_first(narrow, key, row_id).select(row_id, "_group")
-    capped = first_by_hash_per_group(unique, cap, row_id, "_group", seed)
-    chosen = first_by_hash(capped, n, row_id, seed).select(row_id)
-    return df.join(chosen, row_id, "left_semi")
+    unique = _once(dedupe_first(narrow, key, row_id).select(row_id, "_group"), n, cap)
+    capped = _once(first_by_hash_per_group(unique, cap, row_id, "_group", seed), n)
+    return _kept_by_id(df, first_by_hash(capped, n, row_id, seed), row_id)
 
 
 def split_count(df: DataFrame, val_n: int, row_id: str, seed, into: str = "split") -> DataFrame:
@@ -135,47 +148,16 @@ def first_n_passing(df: DataFrame, keep: Column, n: int, order: str) -> DataFram
 def cap_first_per_source(df: DataFrame, n: int, source: str, index: str) -> DataFrame:
     """The first ``n`` rows of every file by index in the file, after any dropped rows.
 
-    With a small n the rank limit runs before the shuffle. With a large one only the index
-    numbers are ranked, and a file's rows are kept by comparing with its last index.
+    With a small n the rank limit runs before the shuffle. With a large one a file's rows are
+    kept by comparing with the index of its n-th row.
     """
-    rank = F.row_number().over(W.partitionBy(source).orderBy(index))
     if n <= SMALL_N:
+        rank = F.row_number().over(W.partitionBy(source).orderBy(index))
         return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
-    cuts = index_cuts(df, n, source, index)
+    cuts = index_cuts(df, n, index, source)
     return df.join(cuts, source).where(F.col(index) <= F.col("_last")).drop("_last")
 
 
-def index_cuts(df: DataFrame, n: int, source: str, index: str) -> DataFrame:
-    """Per source, the index of its n-th row, or of its last row when it has fewer.
-
-    Indices are counted in blocks of SMALL_N; the block holding the n-th row is ranked alone,
-    so no task sees more than one block of a file.
-    """
-    block = (F.col(index) / SMALL_N).cast("bigint")
-    narrow = df.select(source, index).withColumn("_block", block)
-    sizes = narrow.groupBy(source, "_block").agg(
-        F.count("*").alias("_n"), F.max(index).alias("_max")
-    )
-    ordered = W.partitionBy(source).orderBy("_block")
-    running = sizes.withColumn("_cum", F.sum("_n").over(ordered)).withColumn(
-        "_total", F.sum("_n").over(W.partitionBy(source))
-    )
-    edge = running.where(
-        (F.col("_cum") >= F.least(F.lit(n), F.col("_total")))
-        & (F.col("_cum") - F.col("_n") < F.least(F.lit(n), F.col("_total")))
-    ).select(
-        source, "_block",
-        (F.least(F.lit(n), F.col("_total")) - F.col("_cum") + F.col("_n")).alias("_need"),
-    )
-    rank = F.row_number().over(W.partitionBy(source, "_block").orderBy(index))
-    return (
-        narrow.join(edge, [source, "_block"])
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") == F.col("_need"))
-        .select(source, F.col(index).alias("_last"))
-    )
-
-
 def expand_copies(df: DataFrame, n: int, size: str, row_id: str, seed) -> DataFrame:
     """One canonical copy (root null) and up to ``n - 1`` more, each with its own seeded root
     out of ``0 .. size-1``."""

@@ -14,6 +14,7 @@ from flaskmill.functions.fingerprints import combine_or, feature_set, tanimoto,
 from flaskmill.functions.text import split_fragments
 from flaskmill.operators.leakage import holdout_keys
 from flaskmill.operators.skew import join_spread
+from flaskmill.session import stage
 
 SIGNATURE = ("product", "reactants", "rclass")
 
@@ -85,7 +86,9 @@ def similar_topk(
     """
     if not 0 < min_similarity <= 1:
         raise ValueError("min_similarity must be in (0, 1]")
-    q_sig, t_sig = _signatures(queries), _signatures(table)
+    # The vectors are read by several joins below and are dear to compute: written once.
+    t_sig = stage(_signatures(table))
+    q_sig = t_sig if queries is table else stage(_signatures(queries))
     both = q_sig.select("sig", "fp").unionByName(t_sig.select("sig", "fp")).dropDuplicates(["sig"])
     frequency = both.select(F.explode("fp").alias("bit")).groupBy("bit").agg(F.count("*").alias("freq"))
     q = _prefix(q_sig, frequency, min_similarity, "q")

@@ -15,7 +15,7 @@ def hot_keys(left: DataFrame, key: str) -> DataFrame:
     Counted with map-side partial aggregation, so a hot key costs one row per partition.
     """
     counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
+    total = left.agg(F.count(key).alias("_total"))
     return counts.where(F.col("_n") * HOT_SHARE > total.scalar()).select(key)
 
 
@@ -24,18 +24,16 @@ def join_spread(
 ) -> DataFrame:
     """Equi-join on ``key`` (unique in ``right``) with the hot keys of ``left`` salted.
 
-    Hot left rows are spread over SALTS reducers by ``spread`` columns, the matching right
+    ``left`` must give the same rows each time it is read, which any plan without random
+    functions does. Hot left rows are spread over SALTS reducers by ``spread`` columns, the matching right
     rows are repeated that often, every other row moves once. The only table broadcast is
     the hot-key list, which has fewer than HOT_SHARE rows whatever the input.
     """
     hot = hot_keys(left, key).withColumn("_hot", F.lit(True))
-    left_salt = F.when(
-        F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
-    ).otherwise(0)
     # Rows without a key cannot match; they are spread as well instead of sharing a reducer.
     left_salt = F.when(
-        F.col(key).isNull(), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
-    ).otherwise(left_salt)
+        F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
+    ).otherwise(0)
     right_salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
         F.array(F.lit(0))
     )

@@ -100,7 +100,25 @@ def topk_by_view_as_written(spark, folder):
     return topk.topk_by_view(X.run(spark, folder), "as_written")
 
 
-@query("topk_by_view_substrates")
+def _substrates_sql() -> str:
+    from flaskmill.plans.chemistry import roles_sql
+
+    texts = "SELECT f FROM (" + X.fragments_of_runs("l_partkey") + ") UNION ALL SELECT product FROM recs"
+    return f"""WITH {X.RECORDS_SQL}, {X.dim_sql(texts)}, {X.run_sql("cands")},
+    prods AS (SELECT rid, reference, coalesce(d.canonical, '') AS product FROM recs JOIN dim d ON d.raw = recs.product),
+    parts AS (
+      SELECT rid, 0 AS rank, product, unnest(string_split(reference, '.')) AS f0 FROM prods
+      UNION ALL SELECT rid, rank, product, unnest(string_split(cand, '.')) FROM cands JOIN prods USING (rid) WHERE rank <= 5),
+    known AS (SELECT rid, rank, product, d.canonical AS f FROM parts JOIN dim d ON d.raw = f0 WHERE d.canonical IS NOT NULL),
+    {roles_sql("SELECT DISTINCT f, product FROM known")},
+    sets AS (SELECT rid, rank, string_agg(DISTINCT k.f, ' ' ORDER BY k.f) AS s
+      FROM known k JOIN judged j ON j.f = k.f AND j.product = k.product WHERE j.substrate GROUP BY rid, rank),
+    hit AS (SELECT r.rid, min(CASE WHEN c.s = k.s THEN c.rank END) AS r FROM recs r
+      LEFT JOIN sets k ON k.rid = r.rid AND k.rank = 0 LEFT JOIN sets c ON c.rid = r.rid AND c.rank > 0 GROUP BY r.rid)
+    SELECT count(*) AS total, {rates('r', 'exact_match')} FROM hit"""
+
+
+@query("topk_by_view_substrates", _substrates_sql())
 def topk_by_view_substrates(spark, folder):
     return topk.topk_by_view(X.run(spark, folder), "substrates")
 
