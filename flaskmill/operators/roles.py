@@ -31,13 +31,19 @@ from flaskmill.functions.text import (
 from flaskmill.operators.skew import join_spread
 
 
-def shared_features(fragment: Column, product_features: Column) -> Column:
-    """Number of text features (distinct shingles) the two have in common.
+def shared_atoms(fragment: Column, product_features: Column) -> Column:
+    """Estimate of the atoms a fragment shares with the product: its heavy atoms times the
+    share of its text features (distinct shingles) that the product has too.
 
     Stands in for the size of the largest common substructure, which needs a graph matcher;
     pass a real count to ``classify_role`` where one is available.
     """
-    return F.size(F.array_intersect(shingles(fragment), product_features))
+
+    def estimate(features):
+        common = F.size(F.array_intersect(features, product_features))
+        return M.heavy_atoms(fragment) * common / F.size(features)
+
+    return bind(shingles(fragment), estimate)
 
 
 def product_context(product: Column) -> Column:
@@ -109,7 +115,7 @@ def split_roles(
     judge = lambda p, context: F.struct(
         p["f"].alias("f"),
         classify_role(
-            p["f"], context["text"], shared_features(p["f"], context["bits"]), p["role"]
+            p["f"], context["text"], shared_atoms(p["f"], context["bits"]), p["role"]
         ).alias("keep"),
     )
     judged = bind(
@@ -220,7 +226,7 @@ def role_validation(
     judged = lambda fs: bind(
         product_context(F.col("_p")),
         lambda x: F.transform(
-            fs, lambda f: classify_role(f, x["text"], shared_features(f, x["bits"]))
+            fs, lambda f: classify_role(f, x["text"], shared_atoms(f, x["bits"]))
         ),
     )
     hits = lambda a, flag: F.size(F.filter(a, lambda x: x == flag))

@@ -44,7 +44,7 @@ from flaskmill.operators.fragments import (
 from flaskmill.operators.roles import (
     classify_role,
     product_context,
-    shared_features,
+    shared_atoms,
 )
 
 
@@ -179,7 +179,7 @@ def topk_by_view(
         named = F.filter(named, lambda x: x.isNotNull())
         if view == "substrates":
             keep = lambda f: classify_role(
-                f, context["text"], shared_features(f, context["bits"])
+                f, context["text"], shared_atoms(f, context["bits"])
             )
             named = F.filter(named, lambda f: F.coalesce(keep(f), F.lit(False)))
         return as_set(named)

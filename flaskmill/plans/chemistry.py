@@ -298,6 +298,11 @@ def _features(c: str) -> str:
     )
 
 
+def _shared(f: str, product: str) -> str:
+    common = f"len(list_intersect({_features(f)}, {_features(product)}))"
+    return f"(len({X._sql_elements(f)}) * {common} / len({_features(f)})::DOUBLE)"
+
+
 def roles_sql(pairs: str, curated: str | None = None) -> str:
     """CTE ``judged``: the pairs (f, product) of canonical texts with the flag ``substrate``."""
     quoted = lambda vs: "(" + ", ".join(f"'{v}'" for v in vs) + ")"
@@ -315,8 +320,8 @@ def roles_sql(pairs: str, curated: str | None = None) -> str:
         AND list_contains({X._sql_elements("p.f")}, 'C') THEN true
       WHEN NOT list_contains({X._sql_elements("p.f")}, 'C') THEN false
       WHEN len({X._sql_elements("p.f")}) = 1 THEN false
-      ELSE len(list_intersect({_features("p.f")}, {_features("p.product")})) >= 3
-        AND len(list_intersect({_features("p.f")}, {_features("p.product")})) >= 0.5 * len({X._sql_elements("p.f")})
+      ELSE {_shared("p.f", "p.product")} >= 3
+        AND {_shared("p.f", "p.product")} >= 0.5 * len({X._sql_elements("p.f")})
       END AS substrate FROM ({pairs}) p {join})"""
 
 
