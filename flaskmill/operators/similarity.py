@@ -46,26 +46,54 @@ def similarity_table_report(df: DataFrame, holdout: DataFrame, key: str = "produ
     )
 
 
-def _signatures(df: DataFrame) -> DataFrame:
-    """Distinct (product, reactants, class) with features, named by a digest of the three."""
-    sig = F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(c), F.lit("")) for c in SIGNATURE])), 256)
-    return with_features(df.select(*SIGNATURE).distinct()).where(F.col("fp").isNotNull()).withColumn("sig", sig)
+def _digest():
+    return F.sha2(F.to_json(F.struct(*[_text(c).alias(c) for c in SIGNATURE])), 256)
+
+
+def _text(name: str):
+    return F.coalesce(F.col(name), F.lit(""))
+
+
+def _signatures(df: DataFrame, row_id: str) -> DataFrame:
+    """Distinct (product, reactants, class) with features.
+
+    ``sig`` is the smallest row id among the copies, a short exact name for the joins below;
+    ``digest`` finds the signature of a row.
+    """
+    distinct = df.groupBy(*[_text(c).alias(c) for c in SIGNATURE]).agg(F.min(row_id).alias("sig"))
+    return with_features(distinct).where(F.col("fp").isNotNull()).withColumn("digest", _digest())
 
 
 def _prefix(df: DataFrame, frequency: DataFrame, threshold: float, name: str) -> DataFrame:
-    """The rarest features of every product, enough that two products at or above the
-    threshold share at least one of them."""
+    """The rarest features of every product with their position, enough of them that two
+    products at or above the threshold share at least one."""
     long = df.select("sig", F.size("fp").alias("size"), F.explode("fp").alias("bit"))
     # One row per feature, so at most FINGERPRINT_BITS rows.
     ranked = long.join(F.broadcast(frequency), "bit").groupBy("sig", "size").agg(
-        F.array_sort(F.collect_list(F.struct("freq", "bit"))).alias("bits")
+        F.sort_array(F.collect_list(F.struct("freq", "bit"))).alias("bits")
     )
     # The nudge keeps a product that is a whole number from being rounded up.
     keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
     head = F.slice("bits", 1, keep.cast("int"))
     return ranked.select(
-        F.col("sig").alias(name), F.col("size").alias(f"{name}_size"), F.explode(head).alias("b")
-    ).select(name, f"{name}_size", F.col("b.bit").alias("bit"))
+        F.col("sig").alias(name),
+        F.col("size").alias(f"{name}_size"),
+        F.posexplode(head).alias(f"{name}_at", "b"),
+    ).select(name, f"{name}_size", f"{name}_at", F.col("b.bit").alias("bit"))
+
+
+def _near_pairs(q: DataFrame, t: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (q, t) that share a rare feature and can still reach the threshold.
+
+    A match at positions i and j leaves at most min(i, j) common features before it and the
+    shorter rest after it; a pair whose bound is below the overlap it needs is no pair, at
+    any of its matches.
+    """
+    sizes = F.col("q_size") + F.col("t_size")
+    needed = F.ceil(sizes * threshold / (1 + threshold) - 1e-9)
+    rest = F.least(F.col("q_size") - F.col("q_at"), F.col("t_size") - F.col("t_at"))
+    reachable = F.least(F.col("q_at"), F.col("t_at")) + rest >= needed
+    return q.join(t, "bit").where(reachable).select("q", "t").distinct()
 
 
 def similar_topk(
@@ -79,42 +107,40 @@ def similar_topk(
     """The k best table rows per query among those whose products are at least
     ``min_similarity`` alike, by the weighted product, transform and class similarity.
 
-    Both sides need ``row_id``, ``product``, ``reactants`` and ``rclass``. Copies are scored
-    once per distinct signature. The shortlist is exact: two feature sets at or above the
-    threshold always share one of their rarest features, so only those are joined on, never
-    the common ones. A row is no neighbour of itself.
+    Both sides need ``row_id`` (unique), ``product``, ``reactants`` and ``rclass``. Copies are
+    scored once per distinct signature. The shortlist is exact: two feature sets at or above
+    the threshold always share one of their rarest features, so only those are joined on,
+    never the common ones. A row is no neighbour of itself.
     """
     if not 0 < min_similarity <= 1:
         raise ValueError("min_similarity must be in (0, 1]")
     # The vectors are read by several joins below and are dear to compute: written once.
-    t_sig = stage(_signatures(table))
-    q_sig = t_sig if queries is table else stage(_signatures(queries))
-    both = q_sig.select("sig", "fp").unionByName(t_sig.select("sig", "fp")).dropDuplicates(["sig"])
-    frequency = both.select(F.explode("fp").alias("bit")).groupBy("bit").agg(F.count("*").alias("freq"))
+    t_sig = stage(_signatures(table, row_id))
+    q_sig = t_sig if queries is table else stage(_signatures(queries, row_id))
+    frequency = t_sig.select(F.explode("fp").alias("bit")).groupBy("bit").agg(F.count("*").alias("freq"))
+    if q_sig is not t_sig:
+        # Every feature of a query needs a place in the order, also one the table lacks.
+        asked_bits = q_sig.select(F.explode("fp").alias("bit")).distinct()
+        frequency = asked_bits.join(frequency, "bit", "full_outer").select(
+            "bit", F.coalesce("freq", F.lit(0)).alias("freq")
+        )
     q = _prefix(q_sig, frequency, min_similarity, "q")
     t = _prefix(t_sig, frequency, min_similarity, "t")
-    near = (F.col("t_size") >= F.col("q_size") * min_similarity) & (
-        F.col("q_size") >= F.col("t_size") * min_similarity
-    )
-    pairs = q.join(t, "bit").where(near).select("q", "t").distinct()
-    left = q_sig.select(
-        F.col("sig").alias("q"), F.col("fp").alias("q_fp"), F.col("tx").alias("q_tx"),
-        F.col("rclass").alias("q_class"),
-    )
-    right = t_sig.select(
-        F.col("sig").alias("t"), F.col("fp").alias("t_fp"), F.col("tx").alias("t_tx"),
-        F.col("rclass").alias("t_class"),
+    side = lambda df, s: df.select(
+        F.col("sig").alias(s), F.col("fp").alias(f"{s}_fp"), F.col("tx").alias(f"{s}_tx"),
+        F.col("rclass").alias(f"{s}_class"), F.col("digest").alias(f"{s}_digest"),
     )
     w_product, w_transform, w_class = weights
     targets = F.array_compact(F.array(normalize_class("q_class")))
     scored = (
-        pairs.join(left, "q")
-        .join(right, "t")
+        _near_pairs(q, t, min_similarity)
+        .join(side(q_sig, "q"), "q")
+        .join(side(t_sig, "t"), "t")
         .withColumn("product_similarity", tanimoto("t_fp", "q_fp"))
         .where(F.col("product_similarity") >= min_similarity)
         .select(
-            "q",
-            "t",
+            "q_digest",
+            "t_digest",
             (
                 w_product * F.col("product_similarity")
                 + w_transform * tanimoto("t_tx", "q_tx")
@@ -122,32 +148,30 @@ def similar_topk(
             ).alias("score"),
         )
     )
-    sig = F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(c), F.lit("")) for c in SIGNATURE])), 256)
     # Copies tie on the score and are told apart by id: only k + 1 of them can matter, one
     # more than k because the query itself may be among them.
-    first = W.partitionBy("t").orderBy("neighbour")
+    first = W.partitionBy("t_digest").orderBy("neighbour")
     members = (
-        table.select(sig.alias("t"), F.col(row_id).alias("neighbour"))
+        table.select(_digest().alias("t_digest"), F.col(row_id).alias("neighbour"))
         .withColumn("_m", F.row_number().over(first))
         .where(F.col("_m") <= k + 1)
         .drop("_m")
     )
-    order = [F.desc("score"), F.col("neighbour")]
-    per_signature = W.partitionBy("q").orderBy(*order)
+    per_signature = W.partitionBy("q_digest").orderBy(F.desc("score"), "neighbour")
     best = (
-        scored.join(members, "t")
+        scored.join(members, "t_digest")
         .withColumn("_r", F.row_number().over(per_signature))
         .where(F.col("_r") <= k + 1)
-        .select("q", "neighbour", "score")
+        .select("q_digest", "neighbour", "score")
     )
     # At most k + 1 per signature, so the list fits in a row and each query reads its own.
-    listed = best.groupBy("q").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "neighbour"))).alias("near")
+    listed = best.groupBy("q_digest").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "neighbour"))).alias("near")
     )
-    asked = queries.select(sig.alias("q"), F.col(row_id).alias("query"))
+    asked = queries.select(_digest().alias("q_digest"), F.col(row_id).alias("query"))
     others = F.filter("near", lambda x: x["neighbour"] != F.col("query"))
     return (
-        join_spread(asked, listed, "q", ["query"], "inner")
+        join_spread(asked, listed, "q_digest", ["query"], "inner")
         .select("query", F.posexplode(F.slice(others, 1, k)).alias("pos", "x"))
         .select(
             "query",

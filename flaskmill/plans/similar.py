@@ -84,7 +84,7 @@ def similarity_table_report(spark, folder):
     return similarity.similarity_table_report(items(spark, folder), held(spark, folder))
 
 
-K, THRESHOLD = 5, 0.4
+K, THRESHOLD = 5, 0.5
 W1, W2, W3 = SIMILARITY_WEIGHTS
 
 
