@@ -151,11 +151,13 @@ def normalize_reaction(
     source: str = "ORD",
     id_prefix: str = "ord_",
     canonical=canonical_text,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Nested documents to flat rows; rows without a reactant or a product are dropped.
 
     The product is the first readable one; reactants are its sorted distinct canonical
     inputs. A yield of 0 counts as missing as long as a later product offers another.
+    Columns named in ``keep`` are passed on.
     """
     comps, comp_type = input_components(df)
     products, product_type = outcome_products(df)
@@ -205,6 +207,7 @@ def normalize_reaction(
                 F.try_element_at(amounts, F.lit(-1)),
             ).alias("yield_percent"),
             joined(F.col("_conditions.catalysts")).alias("catalyst"),
+            *keep,
         )
     )
 
@@ -216,6 +219,7 @@ def normalize_flat_row(
     source: str = "USPTO",
     dataset: str = "uspto-50k",
     id_prefix: str = "uspto50k_",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Flat rows under any of the accepted column names to the same normalised schema.
 
@@ -268,6 +272,7 @@ def normalize_flat_row(
             none("double").alias("pressure_atm"),
             none("double").alias("reaction_time_hours"),
             none("double").alias("yield_percent"),
+            *keep,
         )
     )
 

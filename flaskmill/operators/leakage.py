@@ -40,8 +40,9 @@ def leak_report(test: DataFrame, train: DataFrame, key: str, pair: Sequence[str]
     """
     cols = list(dict.fromkeys([key, *pair]))
     have = test.groupBy(*cols).agg(F.count("*").alias("_rows"))
-    keys = train.select(key).where(is_present(key)).distinct().withColumn("_key_hit", F.lit(True))
-    pairs = train.select(*pair).where(is_present(key)).distinct().withColumn("_pair_hit", F.lit(True))
+    known = train.select(*cols).where(is_present(key)).distinct()
+    keys = known.select(key).distinct().withColumn("_key_hit", F.lit(True))
+    pairs = known.select(*pair).distinct().withColumn("_pair_hit", F.lit(True))
     marked = have.join(keys, key, "left").join(pairs, list(pair), "left")
     per_key = marked.groupBy(key).agg(
         F.sum("_rows").alias("_rows"),

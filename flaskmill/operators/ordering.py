@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flaskmill.operators.skew import join_spread
+
 # Largest n for which the plain window or limit is used: up to here the rank limit is
 # applied before the shuffle, so a hot group sends n rows per task.
 SMALL_N = 1000
@@ -35,11 +37,11 @@ def _position(key: str) -> Column:
 def cut_table(
     df: DataFrame, key: str, seed, wanted: dict[str, Column], group: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per group with ``_total`` and, for every name in ``wanted``, how many rows are
-    wanted (``<name>_want``) and the last position kept (``<name>_cut``).
+    """One row per group and, for every name in ``wanted``, the last position kept.
 
-    A wanted number is an expression over ``_total``. A cut is null when nothing or everything
-    is kept. ``key`` must be unique. All cuts share the two passes.
+    A wanted number of rows is an expression over ``_total``. Where everything is kept the
+    position lies after every hash, where nothing is kept before. ``key`` must be unique. All
+    cuts share the two passes.
     """
     group = list(group)
     narrow = df.select(*group, key, seeded_hash(seed, key).alias("_h")).withColumn(
@@ -64,28 +66,20 @@ def cut_table(
     inside = narrow.join(edge, [*group, "_b"])
     rank = F.row_number().over(W.partitionBy(*group, "_b", "_name").orderBy("_h", key))
     cut = inside.withColumn("_rank", rank).where(F.col("_rank") == F.col("_need"))
-    none = F.lit(None).cast("bigint")
-    facts = asked.groupBy(*group, "_name").agg(
-        F.max("_total").alias("_total"), F.max("_want").alias("_want")
-    )
-    nothing = F.lit(None).cast(cut.select(_position(key).alias("p")).schema["p"].dataType)
-    rows = facts.select(*group, "_name", "_total", "_want", nothing.alias("_cut")).unionByName(
-        cut.select(
-            *group, "_name", none.alias("_total"), none.alias("_want"), _position(key).alias("_cut")
-        )
+    kind = df.schema[key].dataType
+    beyond = lambda h: F.struct(F.lit(h).alias("h"), F.lit(None).cast(kind).alias("k"))
+    trivial = asked.where((F.col("_want") >= F.col("_total")) | (F.col("_want") <= 0)).select(
+        *group,
+        "_name",
+        F.when(F.col("_want") <= 0, beyond(BEFORE_ALL)).otherwise(beyond(AFTER_ALL)).alias("_cut"),
     )
-    mine = lambda name, c: F.max(F.when(F.col("_name") == name, F.col(c)))
-    columns = [F.max("_total").alias("_total")]
-    for name in wanted:
-        columns += [mine(name, "_want").alias(f"{name}_want"), mine(name, "_cut").alias(f"{name}_cut")]
-    return rows.groupBy(*group).agg(*columns)
+    every = trivial.unionByName(cut.select(*group, "_name", _position(key).alias("_cut")))
+    columns = [F.max(F.when(F.col("_name") == name, F.col("_cut"))).alias(name) for name in wanted]
+    return every.groupBy(*group).agg(*columns)
 
 
-def _within(name: str, position: Column, cuts) -> Column:
-    """The position is among the rows wanted under ``name``; ``cuts`` reads a cut column."""
-    cut, want, total = cuts(f"{name}_cut"), cuts(f"{name}_want"), cuts("_total")
-    kept = F.when(cut.isNull(), want >= total).otherwise(position <= cut)
-    return F.coalesce((want > 0) & kept, F.lit(False))
+# No hexadecimal digest sorts before the empty text or after a letter past f.
+BEFORE_ALL, AFTER_ALL = "", "g"
 
 
 def first_by_hash(df: DataFrame, n: int, key: str, seed) -> DataFrame:
@@ -93,14 +87,8 @@ def first_by_hash(df: DataFrame, n: int, key: str, seed) -> DataFrame:
     hashed = df.withColumn("_h", seeded_hash(seed, key))
     if n <= SMALL_N:
         return hashed.orderBy("_h", key).limit(n).drop("_h")
-    cuts = _one_row(cut_table(df, key, seed, {"n": F.lit(n)}))
-    return hashed.where(_within("n", _position(key), cuts)).drop("_h")
-
-
-def _one_row(table: DataFrame):
-    """Reads columns of a one-row table as one scalar subquery."""
-    row = table.select(F.struct("*").alias("_row")).scalar()
-    return lambda name: row[name]
+    last = cut_table(df, key, seed, {"n": F.lit(n)}).scalar()
+    return hashed.where(_position(key) <= last).drop("_h")
 
 
 def first_by_hash_per_group(df: DataFrame, n: int, key: str, group: str, seed) -> DataFrame:
@@ -110,8 +98,8 @@ def first_by_hash_per_group(df: DataFrame, n: int, key: str, group: str, seed) -
         rank = F.row_number().over(W.partitionBy(group).orderBy("_h", key))
         return hashed.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank", "_h")
     cuts = cut_table(df, key, seed, {"n": F.lit(n)}, [group])
-    kept = hashed.join(cuts, group).where(_within("n", _position(key), F.col))
-    return kept.drop("_h", "_total", "n_want", "n_cut")
+    joined = join_spread(hashed, cuts.withColumnRenamed("n", "_last"), group, [key], "inner")
+    return joined.where(_position(key) <= F.col("_last")).select(*df.columns)
 
 
 def label_by_cuts(
@@ -126,10 +114,11 @@ def label_by_cuts(
     for name, size in sizes:
         upto = upto + size.cast("bigint")
         wanted[name] = upto
-    cuts = _one_row(cut_table(df, key, seed, wanted))
+    # The same one-row subquery for every label, which Spark runs once.
+    cuts = cut_table(df, key, seed, wanted).select(F.struct(*wanted).alias("_row")).scalar()
     label = F.lit(rest)
     for name in reversed(wanted):
-        label = F.when(_within(name, _position(key), cuts), name).otherwise(label)
+        label = F.when(_position(key) <= cuts[name], name).otherwise(label)
     return df.withColumn("_h", seeded_hash(seed, key)).withColumn(into, label).drop("_h")
 
 
@@ -143,9 +132,10 @@ def index_cuts(df: DataFrame, n: int, index: str, source: str | None = None) ->
     n-th row is ranked, so no task sees more of a hot source than one block.
     """
     by = [source] if source else []
-    bounds = df.agg(F.struct(F.min(index).alias("lo"), F.max(index).alias("hi")).alias("b")).scalar()
-    width = F.floor((bounds["hi"] - bounds["lo"]) / MAX_BLOCKS) + 1
-    block = F.floor((F.col(index) - bounds["lo"]) / width)
+    lo, hi = F.min(index), F.max(index)
+    width = (F.floor((hi - lo) / MAX_BLOCKS) + 1).alias("width")
+    bounds = df.agg(F.struct(lo.alias("lo"), width).alias("b")).scalar()
+    block = F.floor((F.col(index) - bounds["lo"]) / bounds["width"])
     narrow = df.select(*by, index).withColumn("_block", block)
     sizes = narrow.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
     whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))

@@ -24,6 +24,7 @@ from flaskmill.operators.ordering import (
     label_by_cuts,
     seeded_hash,
 )
+from flaskmill.operators.skew import join_spread
 from flaskmill.session import stage
 
 
@@ -155,7 +156,8 @@ def cap_first_per_source(df: DataFrame, n: int, source: str, index: str) -> Data
         rank = F.row_number().over(W.partitionBy(source).orderBy(index))
         return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
     cuts = index_cuts(df, n, index, source)
-    return df.join(cuts, source).where(F.col(index) <= F.col("_last")).drop("_last")
+    joined = join_spread(df, cuts, source, [index], "inner")
+    return joined.where(F.col(index) <= F.col("_last")).select(*df.columns)
 
 
 def expand_copies(df: DataFrame, n: int, size: str, row_id: str, seed) -> DataFrame:

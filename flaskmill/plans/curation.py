@@ -11,6 +11,7 @@ from flaskmill.functions.molecules import canonical_text
 from flaskmill.functions.text import normalize_components
 from flaskmill.plans import fixtures as X
 from flaskmill.plans.registry import query, table
+from flaskmill.session import stage
 
 SEED = 42
 HOLDOUT_SEED = 7
@@ -75,7 +76,7 @@ parts AS (SELECT doc_id, text, source, CASE WHEN rn <= floor(n * 0.2) THEN 'test
                  (text, source) IN (SELECT (text, source) FROM train) AS p FROM test)""",
 )
 def leak_report(spark, folder):
-    parts = split_documents(spark, folder)
+    parts = stage(split_documents(spark, folder))
     test, train = parts.where("split = 'test'"), parts.where("split = 'train'")
     return leakage.leak_report(test, train, "text", ["text", "source"])
 
@@ -167,7 +168,8 @@ def merge_chunks(spark, folder):
           FROM ans a JOIN split USING (rid) WHERE test) GROUP BY answer""",
 )
 def answer_coverage(spark, folder):
-    parts = sampling.split_fractions(X.condition_records(spark, folder), 0.001, 0.0, "record_pos", SEED)
+    records = X.condition_records(spark, folder)
+    parts = stage(sampling.split_fractions(records, 0.001, 0.0, "record_pos", SEED))
     key = lambda f: F.array_join(normalize_components(f, canonical_text), " ~ ")
     return leakage.answer_coverage(
         parts.where("split = 'test'"),
