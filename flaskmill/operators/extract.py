@@ -231,35 +231,44 @@ def normalize_flat_row(
         found = [F.col(n).cast("string") for n in names if n in df.columns]
         return first_present(*found) if found else F.lit(None).cast("string")
 
-    reaction = pick("reaction_smiles", "reaction", "rxn_smiles")
-    sides = F.split(reaction, ">>", 2)
-    halves = F.contains(reaction, F.lit(">>"))
-    left = first_present(
-        pick("reactants_smiles", "reactants", "source"), F.when(halves, F.get(sides, F.lit(0)))
-    )
-    right = first_present(
-        pick("product_smiles", "product", "target"), F.when(halves, F.get(sides, F.lit(1)))
+    # One step per project: what the next step reads several times is computed once.
+    sides = F.split("_rx", ">>", 2)
+    halves = F.contains(F.col("_rx"), F.lit(">>"))
+    given = df.withColumns(
+        {
+            "_rx": pick("reaction_smiles", "reaction", "rxn_smiles"),
+            "_given_left": pick("reactants_smiles", "reactants", "source"),
+            "_given_right": pick("product_smiles", "product", "target"),
+            "_label": pick("class", "reaction_class", "label"),
+            "_id": pick("reaction_id", "id"),
+        }
     )
+    sided = given.withColumns(
+        {
+            "_left": F.coalesce("_given_left", F.when(halves, F.get(sides, F.lit(0)))),
+            "_right": F.coalesce("_given_right", F.when(halves, F.get(sides, F.lit(1)))),
+        }
+    ).where((F.col("_left") != "") & (F.col("_right") != ""))
     parts = F.filter(
-        F.transform(F.split(left, "[.]"), lambda p: unmapped_fragment(strip(p))),
+        F.transform(F.split("_left", "[.]"), lambda p: unmapped_fragment(strip(p))),
         lambda p: p.isNotNull(),
     )
-    sided = F.when(F.size(parts) > 0, F.array_join(parts, ".")).otherwise(left)
-    label = pick("class", "reaction_class", "label")
+    read = sided.withColumns({"_parts": parts, "_product": unmapped_canonical("_right")})
+    reactants = F.when(F.size("_parts") > 0, F.array_join("_parts", ".")).otherwise(F.col("_left"))
     fallback = F.concat(F.lit(id_prefix), F.col(split), F.lit("_"), F.col(index).cast("string"))
     none = lambda kind: F.lit(None).cast(kind)
     return (
-        df.withColumns({"_left": left, "_sided": sided, "_right": unmapped_canonical(right)})
-        .where(is_present("_left") & is_present("_right"))
+        read.where(F.col("_product").isNotNull())
+        .withColumn("_sided", reactants)
         .select(
-            first_present(pick("reaction_id", "id"), fallback).alias("reaction_id"),
+            F.coalesce("_id", fallback).alias("reaction_id"),
             F.col(split).alias("split"),
-            label.alias("reaction_class"),
-            normalize_class(label).alias("reaction_class_normalized"),
+            F.col("_label").alias("reaction_class"),
+            normalize_class("_label").alias("reaction_class_normalized"),
             F.col("_sided").alias("reactants_smiles"),
             F.col("_sided").alias("reactant_smiles"),
-            F.col("_right").alias("product_smiles"),
-            first_present(reaction, F.concat("_sided", F.lit(">>"), "_right")).alias("reaction_smiles"),
+            F.col("_product").alias("product_smiles"),
+            F.coalesce("_rx", F.concat("_sided", F.lit(">>"), "_product")).alias("reaction_smiles"),
             F.struct(
                 F.array().cast("array<string>").alias("solvents"),
                 none("double").alias("temperature_celsius"),

@@ -59,8 +59,9 @@ def classify_role(
 ) -> Column:
     """True for a substrate, false for a reagent; rules in order, the first that applies wins.
 
-    ``fragment`` is canonical text, ``curated`` its hand label (``reagent`` or anything else)
-    or null, ``shared`` the number of atoms in common with the product.
+    ``fragment`` and ``product`` are canonical texts, null where unreadable, which makes no
+    substrate. ``curated`` is the fragment's hand label (``reagent`` or anything else) or null,
+    ``shared`` the number of atoms in common with the product.
     """
     curated = F.lit(None).cast("string") if curated is None else curated
     rules = lambda elements: _rules(fragment, product, shared, curated, elements)
@@ -71,16 +72,16 @@ def _rules(fragment, product, shared, curated, elements) -> Column:
     heavy = F.size(F.filter(elements, lambda e: e != "H"))
     carbon = M.has_carbon(fragment)
     has_any_of = lambda metals: F.arrays_overlap(elements, literal_array(metals))
-    geometry = (shared >= MIN_SHARED_ATOMS) & (shared >= MIN_SHARED_FRACTION * heavy)
+    enough = lambda s: (s >= MIN_SHARED_ATOMS) & (s >= MIN_SHARED_FRACTION * heavy)
     return (
-        F.when(~M.is_readable(fragment) | ~M.is_readable(product), False)
+        F.when(fragment.isNull() | product.isNull(), False)
         .when(fragment.isin(*KNOWN_REAGENTS) | F.coalesce(curated == "reagent", F.lit(False)), False)
         .when(curated.isNotNull() | fragment.isin(*INORGANIC_NUCLEOPHILES), True)
         .when(has_any_of(CATALYST_METALS), False)
         .when(has_any_of(NUCLEOPHILE_METALS) & carbon, True)
         .when(~carbon, False)
         .when(heavy == 1, False)
-        .otherwise(F.coalesce(geometry, F.lit(False)))
+        .otherwise(F.coalesce(bind(shared, enough), F.lit(False)))
     )
 
 

@@ -128,7 +128,7 @@ def similar_topk(
     t = _prefix(t_sig, frequency, min_similarity, "t")
     side = lambda df, s: df.select(
         F.col("sig").alias(s), F.col("fp").alias(f"{s}_fp"), F.col("tx").alias(f"{s}_tx"),
-        F.col("rclass").alias(f"{s}_class"), F.col("digest").alias(f"{s}_digest"),
+        F.col("rclass").alias(f"{s}_class"),
     )
     w_product, w_transform, w_class = weights
     targets = F.array_compact(F.array(normalize_class("q_class")))
@@ -139,39 +139,46 @@ def similar_topk(
         .withColumn("product_similarity", tanimoto("t_fp", "q_fp"))
         .where(F.col("product_similarity") >= min_similarity)
         .select(
-            "q_digest",
-            "t_digest",
-            (
+            "q",
+            "t",
+            # Rounded, so that mixes that are equal tie whatever the order of addition.
+            F.round(
                 w_product * F.col("product_similarity")
                 + w_transform * tanimoto("t_tx", "q_tx")
-                + w_class * class_similarity("t_class", targets)
+                + w_class * class_similarity("t_class", targets),
+                9,
             ).alias("score"),
         )
     )
     # Copies tie on the score and are told apart by id: only k + 1 of them can matter, one
     # more than k because the query itself may be among them.
-    first = W.partitionBy("t_digest").orderBy("neighbour")
+    first = W.partitionBy("digest").orderBy("neighbour")
     members = (
-        table.select(_digest().alias("t_digest"), F.col(row_id).alias("neighbour"))
+        table.select(_digest().alias("digest"), F.col(row_id).alias("neighbour"))
         .withColumn("_m", F.row_number().over(first))
         .where(F.col("_m") <= k + 1)
-        .drop("_m")
+        .join(t_sig.select("digest", F.col("sig").alias("t")), "digest")
+        .select("t", "neighbour")
     )
-    per_signature = W.partitionBy("q_digest").orderBy(F.desc("score"), "neighbour")
+    per_signature = W.partitionBy("q").orderBy(F.desc("score"), "neighbour")
     best = (
-        scored.join(members, "t_digest")
+        scored.join(members, "t")
         .withColumn("_r", F.row_number().over(per_signature))
         .where(F.col("_r") <= k + 1)
-        .select("q_digest", "neighbour", "score")
+        .select("q", "neighbour", "score")
     )
     # At most k + 1 per signature, so the list fits in a row and each query reads its own.
-    listed = best.groupBy("q_digest").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "neighbour"))).alias("near")
+    near = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "neighbour")))
+    listed = (
+        best.groupBy(F.col("q").alias("sig"))
+        .agg(near.alias("near"))
+        .join(q_sig.select("sig", "digest"), "sig")
+        .select("digest", "near")
     )
-    asked = queries.select(_digest().alias("q_digest"), F.col(row_id).alias("query"))
+    asked = queries.select(_digest().alias("digest"), F.col(row_id).alias("query"))
     others = F.filter("near", lambda x: x["neighbour"] != F.col("query"))
     return (
-        join_spread(asked, listed, "q_digest", ["query"], "inner")
+        join_spread(asked, listed, "digest", ["query"], "inner")
         .select("query", F.posexplode(F.slice(others, 1, k)).alias("pos", "x"))
         .select(
             "query",

@@ -111,4 +111,4 @@ def _jaccard(a: str, b: str) -> str:
 )
 def similar_topk(spark, folder):
     rows = items(spark, folder)
-    return similarity.similar_topk(rows, rows, K, THRESHOLD).withColumn("score", F.round("score", 9))
+    return similarity.similar_topk(rows, rows, K, THRESHOLD)

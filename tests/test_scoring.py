@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flaskmill.constants import TEMPERATURE_EDGES
 from flaskmill.functions import classes, fingerprints
+from flaskmill.functions import molecules as M
 from flaskmill.functions import rendering as R
 from flaskmill.operators import audits, combine, dedupe, roles, similarity, stats, topk
 
@@ -169,7 +170,7 @@ def test_class_names(one):
 def test_role_rules(one):
     def role(fragment, product="CCCCO", shared=99, curated=None):
         label = F.lit(curated).cast("string")
-        return one(roles.classify_role(F.col("f"), F.col("p"), F.lit(shared), label), f=fragment, p=product)
+        return one(roles.classify_role(M.canonical_text("f"), M.canonical_text("p"), F.lit(shared), label), f=fragment, p=product)
 
     assert role("??") is False
     assert role("CCO") is False
