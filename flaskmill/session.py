@@ -36,13 +36,23 @@ def local_session(app: str = "flaskmill", cores: str = "8") -> SparkSession:
     return spark
 
 
+# Folder per local application.
+_LOCAL: dict[str, str] = {}
+
+
 def staging_dir(spark: SparkSession) -> str:
-    """The folder the cluster names; a temporary one only where none is set."""
+    """The folder the cluster names; a temporary one only where none is set and Spark runs
+    locally, since other machines could not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="flaskmill-stage-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    app = context.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="flaskmill-stage-")
+    return _LOCAL[app]
 
 
 def balance(df: DataFrame) -> DataFrame:

@@ -204,3 +204,34 @@ def test_last_prediction_wins(spark):
     preds = spark.createDataFrame([("a", "old", 0), ("a", "new", 1), ("c", "x", 2)], "k string, v string, pos int")
     got = leakage.attach_predictions(targets, preds, "k", "pos", "id").collect()
     assert [(r["id"], r["v"]) for r in got] == [(1, "new")]
+
+
+def test_staging_folder_comes_from_the_session(spark):
+    from types import SimpleNamespace
+
+    from flaskmill.session import stage, staging_dir
+
+    def session(folder, master):
+        conf = SimpleNamespace(get=lambda key, default=None: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="app-x"))
+
+    assert staging_dir(session("/shared/dir", "yarn")) == "/shared/dir"
+    local = staging_dir(session(None, "local[2]"))
+    assert local == staging_dir(session(None, "local[2]"))
+    with pytest.raises(ValueError):
+        staging_dir(session(None, "yarn"))
+    df = spark.range(5).withColumn("a", F.array(F.lit(None).cast("string")))
+    back = stage(df)
+    assert back.schema["a"].dataType == df.schema["a"].dataType
+    assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_plans_hold_no_cross_join_and_no_python(spark):
+    from flaskmill.plans.catalog import QUERIES
+
+    names = ("split_fractions", "stratified_capped_sample", "split_roles", "topk_scores", "similar_topk",
+             "canonicalise_sets", "role_validation", "strings_with_unknown")
+    for name in names:
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        for bad in ("CartesianProduct", "NestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+            assert bad not in plan, (name, bad)
