@@ -248,17 +248,14 @@ def string_field_ranks(
     """Per record: reference set and families, first exact and first same-family rank, and
     whether the rank-1 answer was read and left the field out."""
     head = F.slice(parsed, 1, max(usable_ks(num_beams)))
-    ref = F.col(f"{field}_ref")
-    out = df.withColumn(f"{field}_ref", normalize_components(field, canonical))
+    sets = F.transform(head, lambda p: normalize_components(p[field], canonical))
+    out = df.withColumns(
+        {f"{field}_ref": normalize_components(field, canonical), f"{field}_sets": sets}
+    )
+    first = F.lit(0)
     new = {
-        f"{field}_rank": rank_where(
-            head, ref, lambda p, r: normalize_components(p[field], canonical) == r
-        ),
-        f"{field}_silent": F.coalesce(
-            F.get(parsed, F.lit(0)).isNotNull()
-            & normalize_components(F.get(parsed, F.lit(0))[field], canonical).isNull(),
-            F.lit(False),
-        ),
+        f"{field}_rank": first_hit(f"{field}_sets", f"{field}_ref"),
+        f"{field}_silent": F.get(parsed, first).isNotNull() & F.get(f"{field}_sets", first).isNull(),
     }
     if classifier is not None:
         out = out.withColumn(f"{field}_ref_groups", component_groups(field, classifier))
@@ -268,7 +265,7 @@ def string_field_ranks(
             groups,
             lambda p, g: F.size(F.array_except(g, component_groups(p[field], classifier))) == 0,
         )
-    return out.withColumns(new)
+    return out.withColumns(new).drop(f"{field}_sets")
 
 
 def string_field_scores(field: str, ks: Sequence[int], grouped: bool) -> list[Column]:
