@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flaskmill.functions.text import first_present, has_any, has_temperature, is_present
-from flaskmill.operators import audits, dedupe, leakage, ordering, roles, sampling
-from flaskmill.operators.topk import solvent_group
 from flaskmill.functions.molecules import canonical_text
-from flaskmill.functions.text import normalize_components
+from flaskmill.functions.text import (
+    first_present,
+    has_any,
+    has_temperature,
+    is_present,
+    normalize_components,
+)
+from flaskmill.operators import dedupe, leakage, ordering, roles, sampling
 from flaskmill.plans import fixtures as X
 from flaskmill.plans.registry import query, table
 from flaskmill.session import stage
