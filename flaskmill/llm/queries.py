@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flaskmill.llm import compression, quality_rules
+from flaskmill.llm import compression, mixing, quality_rules, tokens
+from flaskmill.llm.texts import staging_dir
 
 
 _SHIPPED: set[str] = set()
@@ -41,8 +43,27 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return compression.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file as text; it is sent to the executors, which need no copy."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text()
+
+
+def op3_token_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{staging_dir(spark).rstrip('/')}/token-blocks-{uuid.uuid4().hex}"
+    tokens.write_blocks(table(spark, folder, "documents"), path, tokenizer())
+    return tokens.document_digests(tokens.read_blocks(spark, path))
+
+
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op3_token_blocks": op3_token_blocks,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_mixing": op6_mixing,
 }
 SQL: dict[str, str] = {}
