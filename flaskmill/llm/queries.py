@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flaskmill.llm import compression, mixing, quality_rules, tokens
+from flaskmill.llm import compression, mixing, pii, quality_rules, tokens
 from flaskmill.llm.texts import staging_dir
 
 
@@ -60,10 +60,15 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.detect(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op3_token_blocks": op3_token_blocks,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_mixing": op6_mixing,
+    "op7_pii": op7_pii,
 }
 SQL: dict[str, str] = {}
