@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flaskmill.llm import compression, mixing, pii, quality_rules, tokens
+from flaskmill.llm import compression, licenses, link_graph, mixing, pii, quality_rules, tokens
 from flaskmill.llm.texts import staging_dir
 
 
@@ -64,11 +64,21 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.detect(table(spark, folder, "documents"))
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return link_graph.judge(table(spark, folder, "pages"))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op3_token_blocks": op3_token_blocks,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
+    "op10_url_filter": op10_url_filter,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_license_scan": licenses.scan_sql()}
