@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flaskmill.llm import compression, licenses, link_graph, mixing, pii, quality_rules, tokens
+from flaskmill.llm import compression, decontaminate, licenses, link_graph, mixing, pii, quality_rules, tokens
 from flaskmill.llm.texts import staging_dir
 
 
@@ -50,6 +50,10 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
     return Path(public_tokenizers.path(name)).read_text()
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op3_token_blocks(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{staging_dir(spark).rstrip('/')}/token-blocks-{uuid.uuid4().hex}"
     tokens.write_blocks(table(spark, folder, "documents"), path, tokenizer())
@@ -74,6 +78,7 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_decontamination": op2_decontamination,
     "op3_token_blocks": op3_token_blocks,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
