@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flaskmill.llm import compression, decontaminate, licenses, link_graph, mixing, pii, quality_rules, suffix_arrays, tokens
+from flaskmill.llm import chosen_path, compression, decontaminate, licenses, link_graph, mixing, pii, quality_rules, suffix_arrays, tokens
 from flaskmill.llm.texts import staging_dir
 
 
@@ -72,6 +72,10 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return chosen_path.join(table(spark, folder, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_arrays.remove_repeats(table(spark, folder, "documents"))
 
@@ -88,6 +92,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": op10_url_filter,
 }
