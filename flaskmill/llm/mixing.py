@@ -17,9 +17,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from flaskmill.llm.texts import shared_rows
 
@@ -124,21 +126,22 @@ def _shard_quotas(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _choice(source, shard: int, blocks: int, n: int, seed: int) -> np.ndarray:
     """A seeded choice of ``n`` of the shard's blocks."""
-    name = b"\x00" if source is None or source != source else b"\x01" + source.encode()
+    name = b"\x00" if source is None else b"\x01" + source.encode()
     picked = np.zeros(blocks, bool)
     picked[np.random.default_rng([seed, zlib.crc32(name), shard]).permutation(blocks)[:n]] = True
     return picked
 
 
-def _placed(pdf: pd.DataFrame, block: int, seed: int):
+def _placed(table: pa.Table, block: int, seed: int):
     """Documents of one shard in order: first and end word, times all are taken, extra blocks."""
-    pdf = pdf.sort_values(["at", "tie"], kind="stable").reset_index(drop=True)
-    row = pdf.iloc[0]
-    blocks, quota = int(row["blocks"]), int(row["shard_quota"])
-    end = pdf["size"].to_numpy(np.int64).cumsum()
-    begin = end - pdf["size"].to_numpy(np.int64)
+    at, tie = table["at"].to_numpy(), table["tie"].to_numpy()
+    table = table.take(pa.array(np.lexsort((tie, at))))
+    first = lambda name: table[name][0].as_py()
+    blocks, quota = first("blocks"), first("shard_quota")
+    size = table["size"].to_numpy().astype(np.int64)
+    end = size.cumsum()
     times, rest = divmod(quota, blocks) if blocks else (0, 0)
-    return pdf, begin, end, times, _choice(row["source"], int(row["shard"]), blocks, rest, seed)
+    return table, end - size, end, times, _choice(first("source"), first("shard"), blocks, rest, seed)
 
 
 def _taken(begin, end, times: int, extra: np.ndarray, block: int) -> np.ndarray:
@@ -187,13 +190,13 @@ def mix(docs: DataFrame) -> DataFrame:
     narrow = shared_rows(sized(docs.select("doc_id", "text", "source")).select(*NARROW))
     sources = shared_rows(targets(narrow))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, begin, end, times, extra = _placed(pdf, BLOCK_WORDS, SEED)
-        pdf["taken"] = _taken(begin, end, times, extra, BLOCK_WORDS)
-        return pdf[["doc_id", "size", "source_size", "target", "taken"]]
+    def run(table: pa.Table) -> pa.Table:
+        table, begin, end, times, extra = _placed(table, BLOCK_WORDS, SEED)
+        taken = pa.array(_taken(begin, end, times, extra, BLOCK_WORDS))
+        return table.select(["doc_id", "size", "source_size", "target"]).append_column("taken", taken)
 
     schema = "doc_id long, size long, source_size long, target double, taken long"
-    return _dealt(narrow, narrow, sources).groupBy("source", "shard").applyInPandas(run, schema)
+    return _dealt(narrow, narrow, sources).groupBy("source", "shard").applyInArrow(run, schema)
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -215,38 +218,35 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     kept = {n: f"_mix_{i}" for i, n in enumerate(names)}
     narrow = shared_rows(sized(docs.select("doc_id", "text", "source")).select(*NARROW))
     sources = shared_rows(targets(narrow))
-    wide = sized(docs).select(
-        *NARROW, *[F.col(f"`{n}`").alias(kept[n]) for n in names if n not in ("doc_id", "source")]
-    )
-    fields = [f for f in docs.schema.fields]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, begin, end, times, extra = _placed(pdf, BLOCK_WORDS, SEED)
-        take, texts, at = [], [], kept["text"]
+    others = [n for n in names if n not in ("doc_id", "source")]
+    renamed = [F.col(f"`{n}`").alias(kept[n]) for n in others]
+    wide = sized(docs.select("doc_id", "text", "source", *renamed)).drop("text")
+    fields = list(docs.schema.fields)
+    arrow = to_arrow_schema(T.StructType(fields))
+
+    def run(table: pa.Table) -> pa.Table:
+        table, begin, end, times, extra = _placed(table, BLOCK_WORDS, SEED)
+        take, texts = [], []
         edge = np.flatnonzero(np.diff(np.concatenate(([0], extra.view(np.int8), [0]))))
         runs = edge.reshape(-1, 2) * BLOCK_WORDS
-        for i in range(len(pdf)):
-            if begin[i] == end[i]:
-                continue
-            text = pdf[at].iloc[i]
+        for i in np.flatnonzero(end > begin).tolist():
+            text = table[kept["text"]][i].as_py()
             take += [i] * times
             texts += [text] * times
-            first = np.searchsorted(runs[:, 1], begin[i], "right")
             spans = []
-            for a, b in runs[first:]:
+            for a, b in runs[np.searchsorted(runs[:, 1], begin[i], "right") :]:
                 if a >= end[i]:
                     break
                 spans.append((max(a, begin[i]) - begin[i], min(b, end[i]) - begin[i]))
             if spans:
                 take.append(i)
                 texts.append(_cut(text, spans))
-        out = pdf.iloc[take].reset_index(drop=True)
-        out[at] = texts
-        back = {kept[n]: n for n in names if n not in ("doc_id", "source")}
-        out = out.rename(columns=back)
+        table = table.take(pa.array(take, pa.int64()))
+        columns = {n: table[kept[n] if n in others else n] for n in names}
+        columns["text"] = pa.array(texts, pa.string())
         if "n_chars" in names:
-            out["n_chars"] = [len(t) for t in texts]
-        return out[names]
+            columns["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
+        return pa.table(columns).cast(arrow)
 
     dealt = _dealt(wide, narrow, sources)
-    return dealt.groupBy("source", "shard").applyInPandas(run, T.StructType(fields))
+    return dealt.groupBy("source", "shard").applyInArrow(run, T.StructType(fields))
