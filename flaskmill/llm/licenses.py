@@ -25,7 +25,7 @@ from flaskmill.llm.texts import slices
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 SPELLINGS = (
-    (r"\blicenc(e|es|ed|ing)\b", r"licens\1"),
+    (r"licenc(e|es|ed|ing)\b", r"licens\1"),
     (r"\bsub ?licens", "sublicens"),
     (r"\bnon ?infringement\b", "noninfringement"),
     (r"\backnowledgement", "acknowledgment"),
