@@ -117,7 +117,7 @@ def merge_chunks(
     pos: str = "record_pos",
 ) -> DataFrame:
     """Chunks one after the other, refusing differing settings; a repeated product keeps the
-    row of the first chunk that has it."""
+    row of the first chunk that has it, and records without a product all stay."""
     stacked = reduce(
         DataFrame.unionByName, [c.withColumn("chunk", F.lit(i)) for i, c in enumerate(chunks)]
     )
@@ -126,7 +126,9 @@ def merge_chunks(
     checked = stacked.where(
         F.assert_true(agree, "chunks were scored with different settings").isNull()
     )
-    return dedupe_first(checked, product, ["chunk", pos])
+    # A record without a product repeats no other: all of them stay.
+    empty = checked.where(~is_present(product))
+    return dedupe_first(checked, product, ["chunk", pos]).unionByName(empty)
 
 
 def answer_coverage(test: DataFrame, train: DataFrame, keys: dict[str, Column]) -> DataFrame:

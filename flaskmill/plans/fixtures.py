@@ -24,7 +24,6 @@ SPECIES = (
     "CCO", "OCC", "CC(=O)O", "ClCCl", "[Na+]", "[OH-]", "O", "c1ccccc1", "CC(=O)[O-]",
     "Br[Mg]c1ccccc1", "not-a-smiles", "[Pd]", "CN(C)C=O", "NaOH", "CCN(CC)CC", "PhBr",
 )
-LINES = range(1, 8)
 
 
 def sql_list(values) -> str:
@@ -243,8 +242,14 @@ CONDITION_RECORDS_SQL = f"""recs AS (
   FROM orders)"""
 
 
+def in_line_order(lines: DataFrame, order: str, number: str, text: Column, into: str) -> DataFrame:
+    """One row per order with the texts of all its lines, by line number and then text."""
+    listed = F.sort_array(F.collect_list(F.struct(F.col(number).alias("n"), text.alias("t"))))
+    return lines.groupBy(order).agg(listed.alias(into))
+
+
 def generations(spark: SparkSession, folder: str) -> DataFrame:
-    """Per order up to seven generated texts in compact form, some with a field missing."""
+    """Per order a generated text for every line, in compact form, some with a field missing."""
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
     heat = F.when(F.col("l_quantity") > 40, "?").otherwise(F.col("l_quantity").cast("string"))
     text = F.concat_ws(
@@ -255,22 +260,22 @@ def generations(spark: SparkSession, folder: str) -> DataFrame:
         heat,
         F.when(F.col("l_returnflag") != "R", (F.col("l_linenumber") * 10).cast("string")),
     )
-    firsts = [F.min(F.when(F.col("l_linenumber") == n, text)).alias(f"t{n}") for n in LINES]
-    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("record_pos"))
-    texts = F.array_compact(F.array(*[F.col(f"t{n}") for n in LINES]))
-    return lines.agg(*firsts).select("record_pos", texts.alias("candidates_raw"))
+    lines = table(spark, folder, "lineitem")
+    listed = in_line_order(lines, "l_orderkey", "l_linenumber", text, "lines")
+    texts = F.transform("lines", lambda x: x["t"])
+    return listed.select(F.col("l_orderkey").alias("record_pos"), texts.alias("candidates_raw"))
 
 
 GENERATIONS_SQL = f"""gens AS (
-  SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY ln) AS raw_rank, txt
-  FROM (SELECT l_orderkey AS rid, l_linenumber AS ln, min(
+  SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY ln, txt) AS raw_rank, txt
+  FROM (SELECT l_orderkey AS rid, l_linenumber AS ln,
           concat_ws('|',
             CASE WHEN l_suppkey % 6 = 0 THEN '?' ELSE {sql_species("l_suppkey % 11")} END,
             CASE WHEN l_partkey % 9 = 0 THEN '' ELSE {sql_species("l_partkey")} END,
             CASE WHEN l_suppkey % 4 = 0 THEN '?' ELSE {sql_species("l_partkey + l_suppkey")} END,
             CASE WHEN l_quantity > 40 THEN '?' ELSE l_quantity::VARCHAR END,
-            CASE WHEN l_returnflag <> 'R' THEN (l_linenumber * 10)::VARCHAR END)) AS txt
-        FROM lineitem GROUP BY 1, 2))"""
+            CASE WHEN l_returnflag <> 'R' THEN (l_linenumber * 10)::VARCHAR END) AS txt
+        FROM lineitem))"""
 
 PARSED_SQL = f"""{GENERATIONS_SQL},
 ranked AS (

@@ -23,7 +23,7 @@ def scratch(spark) -> str:
 
 
 def documents(spark, folder):
-    """Nested reaction documents: an order with up to seven input components."""
+    """Nested reaction documents: an order with an input component for each of its lines."""
     role = (
         F.when(F.col("l_returnflag") == "A", "REACTANT")
         .when(F.col("l_returnflag") == "R", "solvent")
@@ -31,28 +31,27 @@ def documents(spark, folder):
         .otherwise("REAGENT")
     )
     pick = F.concat_ws("|", X.species(F.col("l_partkey")), role)
-    firsts = [F.min(F.when(F.col("l_linenumber") == n, pick)).alias(f"t{n}") for n in X.LINES]
-    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*firsts)
+    lines = X.in_line_order(table(spark, folder, "lineitem"), "l_orderkey", "l_linenumber", pick, "lines")
+    lines = lines.withColumnRenamed("l_orderkey", "o_orderkey")
     empty = "ARRAY<STRUCT<type: STRING, value: STRING>>"
 
     def identifier(*pairs):
         return F.array(*[F.struct(F.lit(t).alias("type"), v.alias("value")) for t, v in pairs])
 
-    def entry(n):
-        parts = F.split(F.col(f"t{n}"), "[|]")
-        s, none = F.get(parts, F.lit(0)), F.lit(None).cast("string")
+    def entry(line, position):
+        parts = F.split(line["t"], "[|]")
+        s, none, kind = F.get(parts, F.lit(0)), F.lit(None).cast("string"), line["n"] % 3
         named = F.concat(F.lit("name-"), s)
-        ids, smiles, canonical = {
-            0: (identifier(("NAME", named), ("CXSMILES", s)), none, none),
-            1: (F.lit(None).cast(empty), s, none),
-            2: (identifier(("NAME", named)), F.when(F.col("o_custkey") % 2 == 0, ""), none),
-        }[n % 3]
+        ids = F.when(kind == 0, identifier(("NAME", named), ("CXSMILES", s))).when(
+            kind == 2, identifier(("NAME", named))
+        )
+        smiles = F.when(kind == 1, s).when((kind == 2) & (F.col("o_custkey") % 2 == 0), "")
         comp = F.struct(
-            ids.alias("identifiers"), smiles.alias("smiles"), canonical.alias("canonical_smiles"),
+            ids.alias("identifiers"), smiles.alias("smiles"), none.alias("canonical_smiles"),
             named.alias("name"), F.get(parts, F.lit(1)).alias("reaction_role"),
         ).cast(COMPONENT)
         value = F.struct(F.array(comp).alias("components"))
-        return F.when(F.col(f"t{n}").isNotNull(), F.struct(F.lit(f"in{n}").alias("key"), value.alias("value")))
+        return F.struct(F.concat(F.lit("in"), position.cast("string")).alias("key"), value.alias("value"))
 
     key, price = F.col("o_custkey"), F.col("o_totalprice")
 
@@ -75,7 +74,8 @@ def documents(spark, folder):
     unit = F.when(key % 3 == 0, "KELVIN").when(key % 3 == 1, "FAHRENHEIT").otherwise("CELSIUS")
     setpoint = F.struct(price.alias("value"), unit.alias("units"))
     heat = F.struct(F.struct(setpoint.alias("setpoint")).alias("temperature"))
-    inputs = F.map_from_entries(F.array_compact(F.array(*[entry(n) for n in X.LINES])))
+    known = F.coalesce("lines", F.array().cast("array<struct<n: bigint, t: string>>"))
+    inputs = F.map_from_entries(F.transform(known, entry))
     return heavy_table(spark, folder, "orders").join(lines, "o_orderkey", "left").select(
         F.col("o_orderkey").alias("index_in_file"),
         F.when(key % 2 == 1, F.concat(F.lit("r-"), F.col("o_orderkey"))).alias("reaction_id"),
@@ -87,11 +87,11 @@ def documents(spark, folder):
     )
 
 
-COMPONENTS_SQL = f"""picks AS (SELECT l_orderkey AS rid, l_linenumber AS ln, min(
+COMPONENTS_SQL = f"""picks AS (SELECT l_orderkey AS rid, l_linenumber AS ln,
     concat_ws('|', {X.sql_species("l_partkey")}, CASE WHEN l_returnflag = 'A' THEN 'REACTANT'
-      WHEN l_returnflag = 'R' THEN 'solvent' WHEN l_linestatus = 'O' THEN 'CATALYST' ELSE 'REAGENT' END)) AS t
-  FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1, 2),
-comps AS (SELECT rid, ln, string_split(t, '|')[1] AS s, string_split(t, '|')[2] AS role,
+      WHEN l_returnflag = 'R' THEN 'solvent' WHEN l_linestatus = 'O' THEN 'CATALYST' ELSE 'REAGENT' END) AS t
+  FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+comps AS (SELECT rid, ln, t, string_split(t, '|')[1] AS s, string_split(t, '|')[2] AS role,
   CASE WHEN ln % 3 = 2 THEN NULL ELSE string_split(t, '|')[1] END AS smiles,
   CASE WHEN ln % 3 = 2 THEN 'name-' || string_split(t, '|')[1] ELSE string_split(t, '|')[1] END AS label FROM picks)"""
 
@@ -146,7 +146,7 @@ def normalize_reaction(spark, folder):
 @query(
     "explode_inputs",
     f"""WITH {COMPONENTS_SQL} SELECT rid AS index_in_file,
-    (row_number() OVER (PARTITION BY rid ORDER BY ln) - 1)::INT AS pos, role,
+    (row_number() OVER (PARTITION BY rid ORDER BY ln, t) - 1)::INT AS pos, role,
     coalesce(smiles, 'none') AS identifier,
     CASE WHEN ln % 3 = 1 THEN 'name-' || s ELSE 'name-' || s END AS name FROM comps""",
 )
