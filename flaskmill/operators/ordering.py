@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flaskmill.operators.skew import join_spread
+from flaskmill.session import stage
 
 # Largest n for which the plain window or limit is used: up to here the rank limit is
-# applied before the shuffle, so a hot group sends n rows per task.
+# applied before the shuffle, so a hot group sends n rows per task. Results do not depend on it.
 SMALL_N = 1000
 HASH_DIGITS = 4
 
@@ -82,24 +83,78 @@ def cut_table(
 BEFORE_ALL, AFTER_ALL = "", "g"
 
 
+def tie_break(df: DataFrame) -> Column:
+    """Tells rows of equal position apart; rows that are alike in all columns are exchangeable."""
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType)]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+
+
+def group_text(group: str) -> Column:
+    """The group as a text that is never null and tells a null from every value."""
+    return F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
+
+
+def edges(buckets: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
+    """Per group the bucket ``_edge`` that holds the n-th row and how many of it are ``_need``ed.
+
+    ``buckets`` has the group's columns, ``_b`` and ``_n`` rows. A group of at most n rows keeps
+    everything: its edge lies after all its buckets.
+    """
+    whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    running = buckets.withColumn("_cum", F.sum("_n").over(whole.orderBy("_b")))
+    before = F.col("_cum") - F.col("_n")
+    inside = (F.col("_cum") > n) & (before <= n)
+    found = running.groupBy(*by).agg(
+        F.min(F.when(inside, F.struct(F.col("_b").alias("b"), (F.lit(n) - before).alias("need")))).alias("_e"),
+        F.max("_b").alias("_last"),
+    )
+    return found.select(
+        *by,
+        F.coalesce("_e.b", F.col("_last") + 1).alias("_edge"),
+        F.coalesce("_e.need", F.lit(0)).cast("bigint").alias("_need"),
+    )
+
+
+def up_to_edge(rows: DataFrame, order: Sequence, by: Sequence[str] = ()) -> DataFrame:
+    """Rows of the buckets before the edge, and the first of the edge's own.
+
+    ``rows`` carry ``_b``, ``_edge`` and ``_need``; only the edge's rows are ranked.
+    """
+    rank = F.row_number().over(W.partitionBy(*(by or [F.lit(0)])).orderBy(*order))
+    at_edge = rows.where(F.col("_b") == F.col("_edge")).withColumn("_rank", rank)
+    some = at_edge.where(F.col("_rank") <= F.col("_need")).drop("_rank")
+    return rows.where(F.col("_b") < F.col("_edge")).unionByName(some)
+
+
 def first_by_hash(df: DataFrame, n: int, key: str, seed) -> DataFrame:
-    """The first ``n`` rows in seeded order: a smaller n gives a subset of a larger one."""
-    hashed = df.withColumn("_h", seeded_hash(seed, key))
+    """The first ``n`` rows in seeded order: a smaller n gives a subset of a larger one.
+
+    Exactly n rows, or all of fewer. Rows of equal key are told apart by their other columns.
+    """
+    hashed = df.withColumn("_h", seeded_hash(seed, key)).withColumn("_tie", tie_break(df))
+    order = ["_h", key, "_tie"]
     if n <= SMALL_N:
-        return hashed.orderBy("_h", key).limit(n).drop("_h")
-    last = cut_table(df, key, seed, {"n": F.lit(n)}).scalar()
-    return hashed.where(_position(key) <= last).drop("_h")
+        return hashed.orderBy(*order).limit(n).select(*df.columns)
+    dealt = hashed.withColumn("_b", _bucket(F.col("_h")))
+    edge = edges(dealt.groupBy("_b").agg(F.count("*").alias("_n")), n)
+    known = dealt.join(F.broadcast(edge))  # one row
+    return up_to_edge(known, order).select(*df.columns)
+
+
+def _join_edges(dealt: DataFrame, edge: DataFrame, spread: list[str]) -> DataFrame:
+    return join_spread(dealt, edge, "_g", spread, "inner")
 
 
 def first_by_hash_per_group(df: DataFrame, n: int, key: str, group: str, seed) -> DataFrame:
-    """The first ``n`` rows of every group in seeded order; ``group`` must not be null."""
-    hashed = df.withColumn("_h", seeded_hash(seed, key))
+    """The first ``n`` rows of every group in seeded order; a null group is a group."""
+    hashed = df.withColumn("_h", seeded_hash(seed, key)).withColumn("_tie", tie_break(df))
+    order = ["_h", key, "_tie"]
     if n <= SMALL_N:
-        rank = F.row_number().over(W.partitionBy(group).orderBy("_h", key))
-        return hashed.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank", "_h")
-    cuts = cut_table(df, key, seed, {"n": F.lit(n)}, [group])
-    joined = join_spread(hashed, cuts.withColumnRenamed("n", "_last"), group, [key], "inner")
-    return joined.where(_position(key) <= F.col("_last")).select(*df.columns)
+        rank = F.row_number().over(W.partitionBy(group).orderBy(*order))
+        return hashed.withColumn("_rank", rank).where(F.col("_rank") <= n).select(*df.columns)
+    dealt = hashed.withColumn("_b", _bucket(F.col("_h"))).withColumn("_g", group_text(group))
+    edge = edges(dealt.groupBy("_g", "_b").agg(F.count("*").alias("_n")), n, ["_g"])
+    return up_to_edge(_join_edges(dealt, edge, ["_tie"]), order, ["_g"]).select(*df.columns)
 
 
 def label_by_cuts(
@@ -122,49 +177,55 @@ def label_by_cuts(
     return df.withColumn("_h", seeded_hash(seed, key)).withColumn(into, label).drop("_h")
 
 
-MAX_BLOCKS = 16**HASH_DIGITS
+#: Quantiles of a group's index values between which its rows are counted.
+QUANTILES = 256
 
 
-def index_cuts(df: DataFrame, n: int, index: str, source: str | None = None) -> DataFrame:
-    """Per source, the integer index of its n-th row, or of its last row when it has fewer.
+def first_per_group_by_index(df: DataFrame, n: int, index: str, group: str) -> DataFrame:
+    """The first ``n`` rows of every group by a number, nulls first; a null group is a group.
 
-    Indices are counted in at most MAX_BLOCKS equal blocks; only the block that holds the
-    n-th row is ranked, so no task sees more of a hot source than one block.
+    A large group is counted between its own quantiles, so one far-off index does not push all
+    others into one stretch, and only the stretch with the n-th row is ranked.
     """
-    by = [source] if source else []
-    lo, hi = F.min(index), F.max(index)
-    width = (F.floor((hi - lo) / MAX_BLOCKS) + 1).alias("width")
-    bounds = df.agg(F.struct(lo.alias("lo"), width).alias("b")).scalar()
-    block = F.floor((F.col(index) - bounds["lo"]) / bounds["width"])
-    narrow = df.select(*by, index).withColumn("_block", block)
-    sizes = narrow.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
-    whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    running = sizes.withColumn("_cum", F.sum("_n").over(whole.orderBy("_block"))).withColumn(
-        "_want", F.least(F.lit(n), F.sum("_n").over(whole))
-    )
-    edge = running.where(
-        (F.col("_cum") >= F.col("_want")) & (F.col("_cum") - F.col("_n") < F.col("_want"))
-    ).select(*by, "_block", (F.col("_want") - F.col("_cum") + F.col("_n")).alias("_need"))
-    rank = F.row_number().over(W.partitionBy(*by, "_block").orderBy(index))
-    return (
-        narrow.join(edge, [*by, "_block"])
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") == F.col("_need"))
-        .select(*by, F.col(index).alias("_last"))
-    )
+    order = [F.col(index).asc_nulls_first(), "_tie"]
+    tied = df.withColumn("_tie", tie_break(df))
+    if n <= SMALL_N:
+        rank = F.row_number().over(W.partitionBy(group).orderBy(*order))
+        return tied.withColumn("_rank", rank).where(F.col("_rank") <= n).select(*df.columns)
+    grouped = tied.withColumn("_g", group_text(group))
+    shares = [k / QUANTILES for k in range(1, QUANTILES)]
+    cuts = grouped.groupBy("_g").agg(F.percentile_approx(index, shares, 4 * QUANTILES).alias("_cuts"))
+    below = F.size(F.filter(F.coalesce("_cuts", F.array().cast(cuts.schema["_cuts"].dataType)), lambda c: c < F.col(index)))
+    bucket = F.when(F.col(index).isNull(), -1).otherwise(below)
+    dealt = _join_edges(grouped, cuts, ["_tie"]).withColumn("_b", bucket).drop("_cuts")
+    edge = edges(dealt.groupBy("_g", "_b").agg(F.count("*").alias("_n")), n, ["_g"])
+    return up_to_edge(_join_edges(dealt, edge, ["_tie"]), order, ["_g"]).select(*df.columns)
 
 
 def first_in_order(df: DataFrame, n: int, order: str) -> DataFrame:
-    """The first ``n`` rows by ``order``, which must be unique.
+    """The first ``n`` rows by ``order``, nulls first; exactly n rows, or all of fewer.
 
-    For a large n the n-th order value is looked up first and the rows are kept in place by
-    comparing with it: by counting blocks for an integer order, else by a top-n over the
-    order values alone.
+    For a large n the order values alone are sorted over ranges; the range that holds the n-th
+    is the only one looked into, and the rows are kept in place by comparing with that value.
     """
+    tied = df.withColumn("_tie", tie_break(df))
+    first = F.col(order).asc_nulls_first()
     if n <= SMALL_N:
-        return df.orderBy(order).limit(n)
-    if isinstance(df.schema[order].dataType, T.IntegralType):
-        last = index_cuts(df, n, order).scalar()
+        return tied.orderBy(first, "_tie").limit(n).select(*df.columns)
+    values = stage(df.select(order).repartitionByRange(first).withColumn("_b", F.spark_partition_id()))
+    edge = edges(values.groupBy("_b").agg(F.count("*").alias("_n")), n).first()
+    if edge is None or not edge["_need"] and values.where(F.col("_b") >= edge["_edge"]).isEmpty():
+        return df
+    ahead = F.col("_b") < edge["_edge"]
+    if edge["_need"]:
+        inside = values.where(F.col("_b") == edge["_edge"]).orderBy(first).limit(edge["_need"])
+        last = inside.agg(F.max(F.struct(F.col(order).isNotNull().alias("some"), order)).alias("v"))
     else:
-        last = df.select(order).orderBy(order).limit(n).agg(F.max(order)).scalar()
-    return df.where(F.col(order) <= last)
+        last = values.where(ahead).agg(F.max(F.struct(F.col(order).isNotNull().alias("some"), order)).alias("v"))
+    last = last.first()["v"]
+    if not last["some"]:
+        return tied.where(F.col(order).isNull()).orderBy("_tie").limit(n).select(*df.columns)
+    sooner = F.col(order).isNull() | (F.col(order) < F.lit(last[order]))
+    missing = n - values.where(sooner).count()
+    equal = tied.where(F.col(order) == F.lit(last[order])).orderBy("_tie").limit(missing)
+    return df.where(sooner).unionByName(equal.select(*df.columns))

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flaskmill.functions.text import has_any, is_present
@@ -20,11 +19,10 @@ from flaskmill.operators.ordering import (
     first_by_hash,
     first_by_hash_per_group,
     first_in_order,
-    index_cuts,
+    first_per_group_by_index,
     label_by_cuts,
     seeded_hash,
 )
-from flaskmill.operators.skew import join_spread
 from flaskmill.session import stage
 
 
@@ -138,9 +136,9 @@ def indexed_subset(df: DataFrame, n: int, seed, row_id: str) -> DataFrame:
 
 
 def first_n_passing(df: DataFrame, keep: Column, n: int, order: str) -> DataFrame:
-    """The first ``n`` rows that pass; an error if there are fewer."""
-    passing = first_in_order(df.where(keep), n, order)
-    found = passing.select(order).count()
+    """The first ``n`` rows that pass; an error if there are fewer. They are looked for once."""
+    passing = stage(first_in_order(df.where(keep), n, order))
+    found = passing.count()
     if found < n:
         raise ValueError(f"only {found} usable rows found, wanted {n}")
     return passing
@@ -149,15 +147,9 @@ def first_n_passing(df: DataFrame, keep: Column, n: int, order: str) -> DataFram
 def cap_first_per_source(df: DataFrame, n: int, source: str, index: str) -> DataFrame:
     """The first ``n`` rows of every file by index in the file, after any dropped rows.
 
-    With a small n the rank limit runs before the shuffle. With a large one a file's rows are
-    kept by comparing with the index of its n-th row.
+    Rows without an index come first; rows without a file count as one file.
     """
-    if n <= SMALL_N:
-        rank = F.row_number().over(W.partitionBy(source).orderBy(index))
-        return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
-    cuts = index_cuts(df, n, index, source)
-    joined = join_spread(df, cuts, source, [index], "inner")
-    return joined.where(F.col(index) <= F.col("_last")).select(*df.columns)
+    return first_per_group_by_index(df, n, index, source)
 
 
 def expand_copies(df: DataFrame, n: int, size: str, row_id: str, seed) -> DataFrame:

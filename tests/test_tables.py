@@ -235,3 +235,48 @@ def test_plans_hold_no_cross_join_and_no_python(spark):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         for bad in ("CartesianProduct", "NestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
             assert bad not in plan, (name, bad)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null groups, null and equal order values, far-off ones, and rows that are alike."""
+    rows = []
+    for i in range(4000):
+        group = None if i % 3 == 0 else ("" if i % 11 == 0 else f"g{i % 2}")
+        index = None if i % 50 == 0 else (10**15 + i if i % 97 == 0 else i // 4)
+        rows.append((i % 1500, index, group))
+    return spark.createDataFrame(rows, "id long, at long, grp string").repartition(5).cache()
+
+
+def sizes(df):
+    return {r["grp"]: r["n"] for r in df.groupBy("grp").agg(F.count("*").alias("n")).collect()}
+
+
+@pytest.mark.parametrize("n", [300, 999, 1001, 1200, 5000])
+def test_one_meaning_for_every_n(odd, n):
+    """The path for many rows gives what the path for few would."""
+    rows = [tuple(r) for r in odd.collect()]
+    place = lambda v: (v is not None, v or 0)
+    per_group = {}
+    for r in rows:
+        per_group.setdefault(r[2], []).append(r)
+    by_index = sampling.cap_first_per_source(odd, n, "grp", "at")
+    assert sizes(by_index) == {g: min(n, len(m)) for g, m in per_group.items()}
+    for g, members in per_group.items():
+        got = by_index.where(F.col("grp").eqNullSafe(F.lit(g))).select("at").collect()
+        want = sorted((r[1] for r in members), key=place)[:n]
+        assert sorted((r[0] for r in got), key=place) == want
+    by_hash = ordering.first_by_hash_per_group(odd, n, "id", "grp", 7)
+    assert sizes(by_hash) == {g: min(n, len(m)) for g, m in per_group.items()}
+    first = ordering.first_by_hash(odd, n, "id", 7)
+    assert sorted(r["id"] for r in first.collect()) == sorted(sorted((r[0] for r in rows), key=lambda i: (digest(7, i), i))[:n])
+    for order in ("at", "grp"):
+        got = [r[order] for r in ordering.first_in_order(odd, n, order).collect()]
+        want = sorted((r[1] if order == "at" else r[2] for r in rows), key=lambda v: (v is not None, v if v is not None else 0))[:n]
+        assert sorted(got, key=lambda v: (v is not None, v if v is not None else 0)) == want
+
+
+def test_the_draw_does_not_depend_on_partitions(odd):
+    a = ordering.first_by_hash(odd, 1100, "id", 3)
+    b = ordering.first_by_hash(odd.repartition(11), 1100, "id", 3)
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
