@@ -144,3 +144,8 @@ def atom_map_ids(c) -> Column:
 
 def strip_atom_maps(c) -> Column:
     return F.regexp_replace(as_column(c), r":\d+\]", "]")
+
+
+def text_digest(c) -> Column:
+    """256-bit digest of a text, to join and group by in its place; null stays null."""
+    return F.unhex(F.sha2(as_column(c).cast("string"), 256))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flaskmill.functions.molecules import canonical_set
-from flaskmill.functions.text import as_column, bind, is_present, split_fragments
+from flaskmill.functions.text import as_column, bind, is_present, split_fragments, text_digest
 
 # A canonical part may itself contain a dot, so sets are joined with a control character.
 SEPARATOR = "\x1f"
@@ -26,7 +26,9 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
 def dedupe_first(df: DataFrame, key: str, order: str | Sequence[str]) -> DataFrame:
     """First row per key in source order; rows with an empty key are dropped."""
     order = [order] if isinstance(order, str) else list(order)
-    return first_per(df.where(is_present(key)), [key], order)
+    # Rows meet by the digest, so a long key is not a shuffle and sort key as well.
+    keyed = df.where(is_present(key)).withColumn("_key", text_digest(key))
+    return first_per(keyed, ["_key"], order).drop("_key")
 
 
 def dedupe_pair(

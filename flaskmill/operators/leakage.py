@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flaskmill.operators.dedupe import dedupe_first, first_per
 from flaskmill.operators.ordering import seeded_hash
 from flaskmill.operators.skew import join_spread
-from flaskmill.functions.text import is_present
+from flaskmill.functions.text import is_present, text_digest
 
 
 def holdout_keys(holdouts: Sequence[DataFrame], key: str) -> DataFrame:
@@ -20,27 +20,35 @@ def holdout_keys(holdouts: Sequence[DataFrame], key: str) -> DataFrame:
     return reduce(DataFrame.unionByName, narrow).distinct()
 
 
-def exclude_holdout(df: DataFrame, holdout: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not held out; a null key stays.
+def without_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among ``keys``; rows meet by the key's digest, a null key stays.
 
-    No hint: Spark broadcasts the key list when its measured size allows, and splits skewed
-    partitions of the rows otherwise.
+    No hint: Spark broadcasts the digests when their measured size allows, and splits skewed
+    partitions of the rows otherwise. Deduplicate first where one key holds many rows.
     """
-    return df.join(holdout_keys([holdout], key), key, "left_anti")
+    held = keys.select(text_digest(key).alias("_key")).distinct()
+    return df.withColumn("_key", text_digest(key)).join(held, "_key", "left_anti").drop("_key")
+
+
+def exclude_holdout(df: DataFrame, holdout: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not held out; a null key stays."""
+    return without_keys(df, holdout.select(key).where(is_present(key)), key)
 
 
 def exclude_many(df: DataFrame, holdouts: Sequence[DataFrame], key: str) -> DataFrame:
-    return df.join(holdout_keys(holdouts, key), key, "left_anti")
+    return without_keys(df, holdout_keys(holdouts, key), key)
 
 
 def leak_report(test: DataFrame, train: DataFrame, key: str, pair: Sequence[str]) -> DataFrame:
     """Rows in, leaked, kept and kept share, and distinct overlap by key and by pair.
 
-    The test rows are first counted per distinct pair, so copies do not travel.
+    The test rows are first counted per distinct pair of digests, so copies do not travel and
+    neither does a text.
     """
     cols = list(dict.fromkeys([key, *pair]))
-    have = test.groupBy(*cols).agg(F.count("*").alias("_rows"))
-    known = train.select(*cols).where(is_present(key)).distinct()
+    short = [text_digest(c).alias(c) for c in cols]
+    have = test.select(*short).groupBy(*cols).agg(F.count("*").alias("_rows"))
+    known = train.where(is_present(key)).select(*short).distinct()
     keys = known.select(key).distinct().withColumn("_key_hit", F.lit(True))
     pairs = known.select(*pair).distinct().withColumn("_pair_hit", F.lit(True))
     marked = have.join(keys, key, "left").join(pairs, list(pair), "left")

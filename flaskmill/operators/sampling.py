@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flaskmill.functions.text import has_any, is_present
-from flaskmill.operators.dedupe import dedupe_first
+from flaskmill.functions.text import has_any, is_present, text_digest
+from flaskmill.operators.dedupe import dedupe_first, first_per
 from flaskmill.operators.leakage import exclude_holdout
 from flaskmill.operators.ordering import (
     SMALL_N,
@@ -43,10 +43,11 @@ def _once(df: DataFrame, *sizes: int) -> DataFrame:
 def seeded_sample_nested(df: DataFrame, n: int, seed, key: str, row_id: str) -> DataFrame:
     """Seeded shuffle, then the first row per key, up to ``n``: a smaller n is a prefix.
 
-    Rows are chosen on (id, key) alone; the wide rows are only filtered by the chosen ids.
+    Rows are chosen on (id, digest of the key) alone; the wide rows are only filtered by the chosen ids.
     """
-    shuffled = df.select(row_id, key).withColumn("_h", seeded_hash(seed, row_id))
-    unique = dedupe_first(shuffled, key, ["_h", row_id]).select(row_id)
+    short = df.where(is_present(key)).select(row_id, text_digest(key).alias("_text"))
+    shuffled = short.withColumn("_h", seeded_hash(seed, row_id))
+    unique = first_per(shuffled, ["_text"], ["_h", row_id]).select(row_id)
     return _kept_by_id(df, first_by_hash(_once(unique, n), n, row_id, seed), row_id)
 
 
@@ -58,17 +59,24 @@ def stratified_capped_sample(
     row_id: str,
     seed,
     cap: int | None = None,
+    holdout: DataFrame | None = None,
 ) -> DataFrame:
-    """Up to ``n`` rows with distinct keys, at most ``cap`` of them from one group.
+    """Up to ``n`` rows with distinct keys, at most ``cap`` of them from one group, none with a
+    key of ``holdout``.
 
-    Rows are chosen on (id, key, group) alone; the wide rows are only filtered by the chosen
-    ids. A null group counts as one group. The choice is uniform within a group over the
-    whole input.
+    Rows are chosen on (id, digest of the key, group) alone; the wide rows are only filtered by
+    the chosen ids. Copies collapse before held-out keys are taken away, so a key with many rows
+    reaches that join once. A null group counts as one group. The choice is uniform within a
+    group over the whole input.
     """
     cap = max(1, n // 10) if cap is None else cap
     named = F.when(is_present(group), F.col(group).cast("string")).otherwise("unknown")
-    narrow = df.select(row_id, key, named.alias("_group"))
-    unique = _once(dedupe_first(narrow, key, row_id).select(row_id, "_group"), n, cap)
+    narrow = df.where(is_present(key)).select(row_id, text_digest(key).alias("_text"), named.alias("_group"))
+    unique = first_per(narrow, ["_text"], [row_id])
+    if holdout is not None:
+        held = holdout.where(is_present(key)).select(text_digest(key).alias("_text")).distinct()
+        unique = unique.join(held, "_text", "left_anti")
+    unique = _once(unique.select(row_id, "_group"), n, cap)
     capped = _once(first_by_hash_per_group(unique, cap, row_id, "_group", seed), n)
     return _kept_by_id(df, first_by_hash(capped, n, row_id, seed), row_id)
 

@@ -207,8 +207,9 @@ def mix(spark, folder):
 )
 def stratified_capped_sample(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    open_docs = leakage.exclude_holdout(docs, holdout(spark, folder), "text")
-    drawn = sampling.stratified_capped_sample(open_docs, 300, "source", "text", "doc_id", SEED)
+    drawn = sampling.stratified_capped_sample(
+        docs, 300, "source", "text", "doc_id", SEED, holdout=holdout(spark, folder)
+    )
     return drawn.select("doc_id", "source")
 
 

@@ -36,17 +36,10 @@ NUMERIC = {
 }
 
 
-def open_reactions(
-    spark: SparkSession, documents: str, exclude: Sequence[str] = ()
-) -> DataFrame:
-    """Normalised reactions of a document tree whose product is not held out, with the place
-    they came from as ``row_id`` (file and index, one sortable text)."""
+def open_reactions(spark: SparkSession, documents: str) -> DataFrame:
+    """Normalised reactions of a document tree, with the place they came from as ``row_id``."""
     docs = readers.read_reaction_documents(spark, documents)
-    place = F.format_string("%s#%012d", F.col("source_dataset"), F.col("index_in_file"))
-    rows = normalize_reaction(docs.withColumn("row_id", place), keep=("row_id",))
-    if not exclude:
-        return rows
-    return rows.join(readers.read_exclusion_keys(spark, exclude, PRODUCT), PRODUCT, "left_anti")
+    return normalize_reaction(docs, keep=("row_id",))
 
 
 def build_eval_targets(
@@ -59,8 +52,11 @@ def build_eval_targets(
     exclude: Sequence[str] = (),
 ) -> None:
     """Distinct products, spread over sources, outside the excluded files."""
-    rows = stage(open_reactions(spark, documents, exclude))
-    drawn = sampling.stratified_capped_sample(rows, count, "source_dataset", PRODUCT, "row_id", seed, cap)
+    rows = stage(open_reactions(spark, documents))
+    held = readers.read_exclusion_keys(spark, exclude, PRODUCT) if exclude else None
+    drawn = sampling.stratified_capped_sample(
+        rows, count, "source_dataset", PRODUCT, "row_id", seed, cap, held
+    )
     writers.write_eval_targets(drawn, out, TARGET_FIELDS)
 
 
@@ -79,7 +75,7 @@ def build_flat_pool(spark: SparkSession, table: DataFrame, split: str, exclude:
     """First row per product of one split, without the held-out products."""
     rows = normalize_flat_row(readers.read_split(table, [split]), keep=("idx",))
     held = readers.read_exclusion_keys(spark, [exclude], PRODUCT)
-    kept = dedupe.dedupe_first(rows.join(held, PRODUCT, "left_anti"), PRODUCT, "idx")
+    kept = leakage.exclude_holdout(dedupe.dedupe_first(rows, PRODUCT, "idx"), held, PRODUCT)
     writers.write_jsonl(kept, out, REACTANT_FIELDS)
 
 
@@ -96,10 +92,11 @@ def build_train_pools(
     test_frac: float = 0.05,
 ) -> None:
     """Capped pool, split by count for the reactant task and by share for the conditions."""
-    rows = stage(open_reactions(spark, documents, [exclude]))
+    rows = stage(open_reactions(spark, documents))
+    held = readers.read_exclusion_keys(spark, [exclude], PRODUCT)
     pool = stage(
         sampling.stratified_capped_sample(
-            rows, pool_count, "source_dataset", PRODUCT, "row_id", seed, cap
+            rows, pool_count, "source_dataset", PRODUCT, "row_id", seed, cap, held
         )
     )
     halves = stage(sampling.split_count(pool, val_count, "row_id", seed))
@@ -121,7 +118,7 @@ def build_clean_test(spark: SparkSession, test: str, train: Sequence[str], out:
     """The test rows whose product occurs in none of the training files."""
     rows = readers.read_records(spark, test, POOL_SCHEMA)
     held = readers.read_exclusion_keys(spark, train, PRODUCT)
-    writers.write_jsonl(rows.join(held, PRODUCT, "left_anti"), out, rows.columns)
+    writers.write_jsonl(leakage.exclude_holdout(rows, held, PRODUCT), out, rows.columns)
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -147,7 +144,8 @@ def build_mixed_pool(
 ) -> None:
     """Every row with a temperature and a seeded number without, in seeded order."""
     rows = readers.read_records(spark, pool, POOL_SCHEMA)
-    rows = numbered(rows)
+    # Rows that are alike share an id and are exchangeable, so the draw depends on content only.
+    rows = rows.withColumn("row_id", F.md5(F.to_json(F.struct(*rows.columns))))
     held = readers.read_records(spark, test, POOL_SCHEMA)
     mixed = sampling.mix_by_presence(
         rows, "temperature_celsius", n_without, held, PRODUCT, "row_id", seed, fraction

@@ -55,14 +55,18 @@ def staging_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+#: A scan of this many splits at most holds some hundred megabytes, whatever the cluster.
+FEW_SPLITS = 4
+
+
 def balance(df: DataFrame) -> DataFrame:
-    """Spread a scan that comes in fewer splits than there are cores.
+    """Spread a scan of a few splits, whose rows would all be worked on in as many tasks.
 
-    Only a small table does, in one short file for instance, and its rows would all be worked
-    on in one task; a large one is left as it is. ``df`` must be a plain scan.
+    The bound is on the splits and so on the size, not on the number of cores: a scan of many
+    splits is never shuffled. ``df`` must be a plain scan.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if splits <= min(FEW_SPLITS, cores - 1) else df
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -8,31 +8,40 @@ from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flaskmill.functions.text import is_present
+from flaskmill.session import stage
 from flaskmill.sources.schemas import REACTION_DOCUMENT
 
 LOGGER = logging.getLogger("flaskmill.sources")
 
 
 def read_records(
-    spark: SparkSession, path: str, schema: str | None = None, form: str | None = None
+    spark: SparkSession,
+    path: str,
+    schema: str | None = None,
+    form: str | None = None,
+    mode: str = "FAILFAST",
 ) -> DataFrame:
     """A JSON array or JSON lines; blank lines are skipped.
 
-    ``form`` is ``array`` or ``lines``; left out, the first non-blank character decides.
+    ``form`` is ``array`` or ``lines``; left out, the first non-blank character decides. A line
+    that cannot be read is an error; in the mode PERMISSIVE it is a row of nulls, with its text in
+    ``_corrupt_record`` where the schema has that column.
     """
     if form is None:
         lines = spark.read.text(path).where(F.trim("value") != "")
         first = lines.select(F.substring(F.ltrim("value"), 1, 1).alias("c")).head()
         form = "array" if first is not None and first["c"] == "[" else "lines"
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.json(path, multiLine=form == "array")
+    return reader.option("mode", mode).json(path, multiLine=form == "array")
 
 
 def read_exclusion_keys(spark: SparkSession, paths: Sequence[str], key: str) -> DataFrame:
-    """Distinct non-empty keys of several files; a missing file is only a warning."""
+    """Distinct non-empty keys of several files; a missing file is only a warning, a line that
+    cannot be read is an error: its key would not be held out."""
     found = []
     for path in paths:
         try:
@@ -46,18 +55,55 @@ def read_exclusion_keys(spark: SparkSession, paths: Sequence[str], key: str) ->
     return reduce(DataFrame.unionByName, found).where(is_present(key)).distinct()
 
 
+def numbered_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """value, file_path, file_name, position: the non-blank lines of a file or tree, counted from
+    0 in every file, however Spark splits it.
+
+    The lines are written once with their place within their split; a split's start is the
+    number of lines in the splits before it, one row per split.
+    """
+    reader = spark.read.option("recursiveFileLookup", True)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    lines = reader.text(path).where(F.trim("value") != "")
+    place = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_name", "file_block_start")]
+    lines = stage(lines.select("value", *place, F.monotonically_increasing_id().alias("_at")))
+    split = ["file_path", "file_block_start"]
+    before = W.partitionBy("file_path").orderBy("file_block_start").rowsBetween(W.unboundedPreceding, -1)
+    starts = (
+        lines.groupBy(*split)
+        .agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    )
+    position = F.col("_before") + F.col("_at") - F.col("_first")
+    return lines.join(starts, split).select("value", "file_path", "file_name", position.alias("position"))
+
+
 def read_reaction_documents(
-    spark: SparkSession, path: str, schema: str = REACTION_DOCUMENT, pattern: str | None = None
+    spark: SparkSession,
+    path: str,
+    schema: str = REACTION_DOCUMENT,
+    pattern: str | None = None,
+    mode: str = "FAILFAST",
 ) -> DataFrame:
     """JSON-lines documents of one file or a whole tree, tagged with their file name.
 
-    The index in the file is a column of the documents: a split of a file does not know how
-    many rows come before it.
+    ``index_in_file`` is the document's own where it states one, else its line's place in the
+    file; ``row_id`` is the file's path and that place, never null and never twice. A line that
+    cannot be read is an error; in the mode PERMISSIVE it stands in ``_corrupt_record``.
     """
-    reader = spark.read.schema(schema).option("recursiveFileLookup", True)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.json(path).withColumn("source_dataset", F.col("_metadata.file_name"))
+    bad = "_corrupt_record"
+    parsed = F.from_json("value", f"{schema}, {bad} STRING", {"mode": mode, "columnNameOfCorruptRecord": bad})
+    docs = numbered_lines(spark, path, pattern).select(
+        parsed.alias("d"), "file_path", F.col("file_name").alias("source_dataset"), "position"
+    )
+    row_id = F.format_string("%s#%012d", F.col("file_path"), F.col("position"))
+    docs = docs.select("d.*", "source_dataset", row_id.alias("row_id"), "position")
+    if "index_in_file" in docs.columns:
+        docs = docs.withColumn("index_in_file", F.coalesce("index_in_file", "position"))
+    else:
+        docs = docs.withColumn("index_in_file", F.col("position"))
+    return docs.drop("position", *([bad] if mode == "FAILFAST" else []))
 
 
 def read_split(table: DataFrame, splits: Sequence[str] | None = None, split: str = "split") -> DataFrame:
@@ -81,8 +127,14 @@ def read_role_lookup(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_run(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Records of a run file with their position."""
+    """Records of one run file with their position; an error for a folder of several.
+
+    The format keeps a whole run in one JSON value, which one task has to read. Large runs are
+    kept as ``write_run`` leaves them.
+    """
     reader = spark.read.schema(schema) if schema else spark.read
-    whole = reader.json(path, multiLine=True)
+    whole = reader.option("mode", "FAILFAST").json(path, multiLine=True)
+    if len(whole.inputFiles()) > 1:
+        raise ValueError(f"{path} holds several runs, whose positions would repeat")
     records = whole.select(F.posexplode("records").alias("record_pos", "r"))
     return records.select(F.col("record_pos").cast("bigint").alias("record_pos"), "r.*")

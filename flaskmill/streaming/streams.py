@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from flaskmill.functions.text import is_present
+from flaskmill.functions.text import is_present, text_digest
 from flaskmill.operators.extract import normalize_reaction
-from flaskmill.operators.leakage import holdout_keys
+from flaskmill.operators.leakage import holdout_keys, without_keys
 from flaskmill.sources.schemas import REACTION_DOCUMENT
 
 
@@ -27,7 +27,7 @@ def stream_normalize(
 
 def stream_exclude(stream: DataFrame, holdout: DataFrame, key: str) -> DataFrame:
     """Stream-static anti join: held-out keys never pass, null keys do."""
-    return stream.join(holdout_keys([holdout], key), key, "left_anti")
+    return without_keys(stream, holdout_keys([holdout], key), key)
 
 
 def stream_dedupe(
@@ -35,14 +35,15 @@ def stream_dedupe(
 ) -> DataFrame:
     """First row seen per key; empty keys are dropped.
 
-    The state holds every key ever seen. With an event time and a delay the state forgets
+    The state holds the digest of every key ever seen. With an event time and a delay the state forgets
     keys older than the watermark, and a copy arriving later than that passes again. Kept on
     disk by the RocksDB state store when the session sets it.
     """
-    keyed = stream.where(is_present(key))
+    keyed = stream.where(is_present(key)).withColumn("_key", text_digest(key))
     if event_time is None:
-        return keyed.dropDuplicates([key])
-    return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+        return keyed.dropDuplicates(["_key"]).drop("_key")
+    late = keyed.withWatermark(event_time, delay)
+    return late.dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
 def stream_append(stream: DataFrame, path: str, checkpoint: str, form: str = "parquet") -> StreamingQuery:

@@ -88,3 +88,102 @@ def test_evaluation(spark):
     row = summary.head()
     assert row["solvent_exact_match_top1"] == 1.0 and row["temperature_celsius_within_tol_top1"] == 1.0
     assert len(records.head()["parsed"]) == 2
+
+
+def written(folder, name, products, index):
+    folder.mkdir(parents=True, exist_ok=True)
+    rows = []
+    for i, product in enumerate(products):
+        row = {
+            "inputs": {"x": {"components": [{"smiles": "CO", "reaction_role": "REACTANT"}]}},
+            "outcomes": [{"products": [{"smiles": product, "measurements": []}]}],
+        }
+        rows.append(row | ({"index_in_file": i} if index else {}))
+    (folder / name).write_text("\n".join(map(json.dumps, rows)) + "\n\n")
+
+
+def test_rows_are_told_apart_by_place(spark, tmp_path):
+    """Neither a missing index nor equal file names give more rows than asked for."""
+    chains = ["C" * n for n in range(1, 31)]
+    written(tmp_path / "a", "f.json", chains, False)
+    written(tmp_path / "b" / "x", "f.json", chains, True)
+    written(tmp_path / "b" / "y", "f.json", [c + "O" for c in chains], True)
+    for name in ("a", "b"):
+        jobs.build_eval_targets(spark, str(tmp_path / name), str(tmp_path / f"t{name}"), count=5, cap=5)
+        assert len(lines(tmp_path / f"t{name}")) == 5
+    rows = jobs.open_reactions(spark, str(tmp_path / "a")).select("row_id", "reaction_id").collect()
+    assert len({r["row_id"] for r in rows}) == len({r["reaction_id"] for r in rows}) == 30
+    assert {r["reaction_id"] for r in rows} == {f"ord_f_{i}" for i in range(30)}
+
+
+def test_places_do_not_depend_on_splits(spark, tmp_path):
+    written(tmp_path / "d", "f.json", ["C" * (1 + i % 40) for i in range(200)], False)
+    pool = tmp_path / "pool"
+    pool.mkdir()
+    texts = [json.dumps({"product_smiles": "C" * (1 + i % 60), "solvent": "O", "temperature_celsius": 20.0 if i % 9 == 0 else None}) for i in range(300)]
+    (pool / "p.json").write_text("\n".join(texts))
+    (tmp_path / "held.json").write_text('{"product_smiles": "CC"}')
+    places, pools = [], []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "4k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            places.append(sorted(r[0] for r in jobs.open_reactions(spark, str(tmp_path / "d")).select("row_id").collect()))
+            jobs.build_mixed_pool(spark, str(pool), str(tmp_path / "held.json"), str(tmp_path / f"mix{size}"), n_without=20)
+            pools.append(sorted(map(str, lines(tmp_path / f"mix{size}"))))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert places[0] == places[1] and len(set(places[0])) == 200
+    assert pools[0] == pools[1] and len(pools[0]) == 20 + 34
+
+
+def test_broken_lines_are_errors(spark, tmp_path):
+    from flaskmill.sources import readers
+
+    (tmp_path / "held.json").write_text('{"product_smiles": "A"}\n{"product_smiles": "B"\n{"product_smiles": "C"}')
+    with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
+        readers.read_exclusion_keys(spark, [str(tmp_path / "held.json")], "product_smiles").collect()
+    (tmp_path / "d.json").write_text('{"index_in_file": 4}\n{"index_in\n{}')
+    with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
+        readers.read_reaction_documents(spark, str(tmp_path / "d.json")).collect()
+    rows = readers.read_reaction_documents(spark, str(tmp_path / "d.json"), mode="PERMISSIVE")
+    assert [(r["index_in_file"], r["_corrupt_record"]) for r in rows.orderBy("row_id").collect()] == [
+        (4, None), (1, '{"index_in'), (2, None),
+    ]
+
+
+def test_several_run_files_are_refused(spark, tmp_path):
+    from flaskmill.sources import readers
+    from flaskmill.sources.schemas import TOPK_RUN
+
+    for n in "ab":
+        (tmp_path / f"{n}.json").write_text('{"summary": {}, "records": [{"product_smiles": "C"}]}')
+    assert readers.read_run(spark, str(tmp_path / "a.json"), TOPK_RUN).count() == 1
+    with pytest.raises(ValueError):
+        readers.read_run(spark, str(tmp_path), TOPK_RUN)
+
+
+def test_chunks_keep_records_without_a_product(spark):
+    chunk = spark.createDataFrame([(0, "p", 5), (1, None, 5), (2, "", 5), (3, "p", 5)], "record_pos long, product string, num_beams int")
+    from flaskmill.operators import leakage
+
+    merged = leakage.merge_chunks([chunk], ["num_beams"])
+    assert sorted(r["record_pos"] for r in merged.collect()) == [0, 1, 2]
+
+
+def test_sampling_shuffles_no_text(spark):
+    from flaskmill.operators import sampling
+
+    rows = spark.createDataFrame([(i, f"text {i % 50}", f"s{i % 3}") for i in range(300)], "id long, body string, grp string")
+    held = spark.createDataFrame([("text 3",)], "body string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        drawn = sampling.stratified_capped_sample(rows.select("id", "body", "grp"), 20, "grp", "body", "id", 1, holdout=held)
+        plan = drawn.select("id")._jdf.queryExecution().executedPlan().toString()
+        exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x or "Exchange SinglePartition" in x]
+        assert exchanges and not any("body" in x for x in exchanges)
+        assert "LeftAnti" in plan and "Partial" in plan[plan.index("LeftAnti") :]
+        assert plan[plan.index("LeftAnti") :].count("WindowGroupLimit") == 2  # before that join
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
