@@ -48,19 +48,47 @@ def normalize_token(c) -> Column:
     )
 
 
+#: What no structure text holds, bracket atoms read as one letter: a part that begins with a ring
+#: digit, branch or bond, an empty or atomless branch start, two bonds in a row, a bond that ends a
+#: branch or a part.
+MISPLACED = (
+    r"(?:^|\.)[0-9%()=#$:~-]|\([0-9%().]|\(\)|[-=#$:~]{2}|[-=#$:~](?:\)|\.|$)|\.(?:\.|$)"
+)
+
+
 def is_readable(text) -> Column:
-    """Only structure tokens, at least one atom, parentheses balanced in number."""
+    """Only structure tokens, at least one atom, nested branches, ring digits in pairs, no bond,
+    digit or branch out of place."""
     return bind(as_column(text), _readable)
 
 
 def _readable(text: Column) -> Column:
-    opened = F.length(F.replace(text, F.lit("("), F.lit("")))
-    closed = F.length(F.replace(text, F.lit(")"), F.lit("")))
     # Tokens are removed one after the other, which no length of text can make recurse.
     only_tokens = (text != "") & (F.regexp_replace(text, TOKEN, "") == "")
     # In a text of tokens every letter and star belongs to an atom.
-    ok = only_tokens & F.rlike(text, F.lit("[A-Za-z*]")) & (opened == closed)
-    return F.coalesce(ok, F.lit(False))
+    ok = only_tokens & F.rlike(text, F.lit("[A-Za-z*]"))
+    bare = F.regexp_replace(text, BRACKET_ATOM, "C")
+    sound = lambda t: ~F.rlike(t, F.lit(MISPLACED)) & _nested(t) & _rings_close(t)
+    return F.coalesce(ok & bind(bare, sound), F.lit(False))
+
+
+def _nested(text: Column) -> Column:
+    """Every branch that is closed was opened before, and all are closed."""
+    signs = F.regexp_extract_all(text, F.lit("[()]"), F.lit(0))
+    depth = F.aggregate(
+        signs,
+        F.lit(0),
+        lambda d, c: F.when(d < 0, d).when(c == "(", d + 1).otherwise(d - 1),
+    )
+    return depth == 0
+
+
+def _rings_close(text: Column) -> Column:
+    """Every ring number stands an even number of times."""
+    rings = F.regexp_extract_all(text, F.lit("%[0-9][0-9]|[0-9]"), F.lit(0))
+    even = lambda r, x: F.size(F.filter(r, lambda y: y == x)) % 2 == 0
+    # At most 110 different numbers, each counted once.
+    return bind(rings, lambda r: F.forall(F.array_distinct(r), lambda x: even(r, x)))
 
 
 def canonical_text(c) -> Column:

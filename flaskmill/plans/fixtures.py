@@ -16,7 +16,6 @@ from flaskmill.constants import (
     FORMULA_ALIASES,
     SOLVENT_GROUPS,
 )
-from flaskmill.functions.molecules import ATOM, CHARGE, ELEMENT, TOKEN
 from flaskmill.functions.text import literal_array
 from flaskmill.plans.registry import heavy_table, table
 
@@ -93,12 +92,26 @@ def run_sql(name: str, by: str = "l_partkey") -> str:
 # --- lexical attributes in SQL ------------------------------------------------------------
 
 
+# Written apart from the library's own patterns, so that the check can tell when those are wrong.
+_SQL_BRACKET = r"\[[0-9]*([A-Z][a-z]?|b|c|n|o|p|s|se|as|[*])[^\]\[]*\]"
+ATOM = _SQL_BRACKET + "|Cl|Br|B|C|N|O|P|S|F|I|b|c|n|o|p|s|[*]"
+ELEMENT = r"^\[?[0-9]*([A-Z][a-z]?|se|as|b|c|n|o|p|s)"
+CHARGE = r"([+]+[0-9]*|[-]+[0-9]*)(?::[0-9]+)?\]"
+#: A bare text: letters for atoms, at most one bond before an atom, ring number or branch.
+_SQL_ATOMS = "(Cl|Br|[BCNOPSFIbcnops*])"
+_SQL_SHAPE = (
+    r"^A([-=#$:~/\\]?(A|[0-9]|%[0-9][0-9])|[(][-=#$:~/\\]?A|[)]|[.]A)*$".replace("A", _SQL_ATOMS)
+)
+
+
 def _sql_readable(c: str) -> str:
-    return (
-        f"({c} <> '' AND regexp_replace({c}, '{TOKEN}', '', 'g') = '' "
-        f"AND regexp_matches({c}, '{ATOM}') "
-        f"AND length(replace({c}, '(', '')) = length(replace({c}, ')', '')))"
-    )
+    bare = f"regexp_replace({c}, '{_SQL_BRACKET}', 'C', 'g')"
+    signs = f"regexp_replace({bare}, '[^()]', '', 'g')"
+    for _ in range(12):  # no fixture nests deeper
+        signs = f"replace({signs}, '()', '')"
+    digits = f"regexp_replace({bare}, '%[0-9][0-9]', '', 'g')"
+    rings = " AND ".join(f"(length({digits}) - length(replace({digits}, '{d}', ''))) % 2 = 0" for d in range(10))
+    return f"(regexp_full_match({bare}, '{_SQL_SHAPE}') AND {signs} = '' AND {rings})"
 
 
 def _sql_elements(c: str) -> str:

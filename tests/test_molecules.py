@@ -98,6 +98,20 @@ def test_validity(one):
     assert one(M.is_valid("t"), t=F.lit(None).cast("string")) is False
 
 
+@pytest.mark.parametrize(
+    "text", ["C1CC", "C)(C", "()C", "C==C", "c1ccccc", "1C", "C()C", "C(", "C=", "=C", "C(=)C", "C%10C", "C..C", "(C)C", "C(1)C"]
+)
+def test_misplaced_signs_are_invalid(one, text):
+    assert one(M.is_valid("t"), t=text) is False
+
+
+@pytest.mark.parametrize(
+    "text", ["C1CC1", "C%12CC%12", "F/C=C/F", "C(=O)(O)C", "[13CH4]", "C=1CCCCC=1", "CC(C)(C(C)C)C", "[Na+].[Cl-]", "N#N", "*C"]
+)
+def test_sound_texts_are_valid(one, text):
+    assert one(M.is_valid("t"), t=text) is True
+
+
 def test_split_fragments(one):
     assert one(T.split_fragments("t"), t="CCO.CC(=O)O") == ["CCO", "CC(=O)O"]
     assert one(T.split_fragments("t"), t="") == []
