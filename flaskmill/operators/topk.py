@@ -378,6 +378,12 @@ def always_silent_baseline(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return df.agg(*[share(absent(f), None).alias(f"{f}_always_silent") for f in fields])
 
 
+TOP1_SCORES = (
+    "expected_count", "present_rate", "exact_match_rate", "any_overlap_rate",
+    "same_group_classifiable_count", "same_group_rate",
+)
+
+
 def score_summary(
     df: DataFrame,
     string_fields: Sequence[str],
@@ -386,8 +392,14 @@ def score_summary(
     num_beams: int | None = None,
     force_numeric: bool = False,
     classifiers: dict | None = None,
+    first_answer: bool = False,
+    slice_by: str | None = None,
 ) -> DataFrame:
-    """Every score of a conditions run as one row, in one pass over the records."""
+    """Every score of a conditions run as one row, in one pass over the records.
+
+    ``first_answer`` adds the rates of the first answer alone and the score of never answering;
+    ``slice_by`` the exact rates of records with and without that field.
+    """
     classifiers = CLASSIFIERS if classifiers is None else classifiers
     ks = usable_ks(num_beams)
     cols = [F.count("*").alias("total"), parsed_rate_top1(parsed).alias("parsed_rate_top1")]
@@ -398,4 +410,21 @@ def score_summary(
     for field, (tolerance, edges) in numeric_fields.items():
         df = numeric_field_ranks(df, field, tolerance, edges, parsed, force_numeric, num_beams)
         cols += numeric_field_scores(field, ks)
+    if first_answer:
+        answer = F.get(parsed, F.lit(0))
+        for field in string_fields:
+            for score, name in zip(
+                top1_field_scores(field, answer[field], classifiers.get(field)), TOP1_SCORES, strict=False
+            ):
+                cols.append(score.alias(f"{field}_top1_{name}"))
+            cols.append(share(F.col(f"{field}_ref").isNull(), None).alias(f"{field}_always_silent"))
+    if slice_by is not None:
+        for field in string_fields:
+            stated = F.col(f"{field}_ref").isNotNull()
+            for name, part in (("with", is_present(slice_by)), ("without", ~is_present(slice_by))):
+                counted = stated & part
+                cols.append(F.count_if(counted).alias(f"{field}_{name}_{slice_by}_count"))
+                for k in ks:
+                    hit = F.coalesce(F.col(f"{field}_rank") <= k, F.lit(False)).cast("int")
+                    cols.append(F.avg(F.when(counted, hit)).alias(f"{field}_{name}_{slice_by}_top{k}"))
     return df.agg(*cols)

@@ -173,7 +173,10 @@ def score_conditions(
     )
     strings = [f for f in fields if f not in NUMERIC]
     numeric = {f: NUMERIC[f] for f in fields if f in NUMERIC}
-    summary = topk.score_summary(records, strings, numeric, "parsed", num_beams, force_numeric)
+    sliced = "temperature_celsius" if "temperature_celsius" in raw.columns else None
+    summary = topk.score_summary(
+        records, strings, numeric, "parsed", num_beams, force_numeric, first_answer=True, slice_by=sliced
+    )
     return summary, records
 
 
@@ -209,3 +212,157 @@ def compare_runs(a: DataFrame, b: DataFrame, ks: Sequence[int] = TOP_KS) -> Data
         f"{kind}_top{k}": (hit(f"{kind}_a", k), hit(f"{kind}_b", k)) for kind in ("exact", "core") for k in ks
     }
     return stats.mcnemar_exact(leakage.pair_runs(ranks(a), ranks(b)), metrics)
+
+
+def structure_summary(run: DataFrame, num_beams: int | None = None) -> DataFrame:
+    """All scores of a run of structures as rows (score, value): exact, core, first answer valid,
+    readable share of the lists, and exact hits in both views."""
+    prepared = topk.prepare_run(run)
+    parts = {
+        "": topk.topk_scores(prepared, num_beams),
+        "list_": run.agg(F.avg(topk.structure_success_rate("candidates")).alias("success_rate")),
+        "as_written_": topk.topk_by_view(run, "as_written", num_beams=num_beams),
+        "substrates_": topk.topk_by_view(run, "substrates", num_beams=num_beams),
+    }
+    rows = None
+    for prefix, part in parts.items():
+        names = [c for c in part.columns if c != "total" or not prefix]
+        pairs = [F.struct(F.lit(prefix + c).alias("score"), F.col(c).cast("double").alias("value")) for c in names]
+        found = part.select(F.inline(F.array(*pairs)))
+        rows = found if rows is None else rows.unionByName(found)
+    return rows
+
+
+PAIRED_AT = 5
+
+
+def compare_condition_runs(a: DataFrame, b: DataFrame, k: int = PAIRED_AT) -> tuple[DataFrame, DataFrame]:
+    """(paired exact test, rates) of two conditions runs with ``parsed`` answers.
+
+    The test counts records that state the field. The rates of the text fields are given apart
+    for records with and without a temperature.
+    """
+    strings = ("reagents", "solvent", "catalyst")
+    heat = "temperature_celsius"
+
+    def hits(run):
+        ranked = run
+        for field in strings:
+            ranked = topk.string_field_ranks(ranked, field)
+        ranked = topk.numeric_field_ranks(ranked, heat, *NUMERIC[heat])
+        hit = lambda field, rank: F.when(
+            F.col(f"{field}_ref").isNotNull(), F.coalesce(F.col(rank) <= k, F.lit(False))
+        ).alias(field)
+        return ranked.select(
+            "record_pos",
+            F.col(PRODUCT).alias("product"),
+            *[hit(f, f"{f}_rank") for f in strings],
+            hit(heat, f"{heat}_tol_rank"),
+            F.col(f"{heat}_ref").isNotNull().alias("stated"),
+        )
+
+    both = leakage.pair_runs(hits(a), hits(b))
+    metrics = {f"{f}_top{k}": (F.col(f"{f}_a"), F.col(f"{f}_b")) for f in (*strings, heat)}
+    sides = [
+        F.struct(
+            F.lit(f).alias("field"), F.lit(run).alias("run"), F.col(f"stated_{run}").alias("with_temperature"),
+            F.col(f"{f}_{run}").alias("hit"),
+        )
+        for f in strings
+        for run in "ab"
+    ]
+    rates = (
+        both.select(F.inline(F.array(*sides)))
+        .where(F.col("hit").isNotNull())
+        .groupBy("field", "run", "with_temperature")
+        .agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("int")).alias("rate"))
+    )
+    return stats.mcnemar_exact(both, metrics), rates
+
+
+def oracle_ceiling(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(exact, core) rates of two runs, of their merged run, and of a choice that always takes
+    the run that hits."""
+    both = leakage.pair_runs(a, b)
+    lists = {"a": F.col("candidates_a"), "b": F.col("candidates_b"), "merged": combine.ensemble("candidates_a", "candidates_b")}
+    # One row per record and list, scored alike.
+    long = both.select(
+        "record_pos",
+        F.col("reference_a").alias("reference"),
+        F.inline(F.array(*[F.struct(F.lit(n).alias("list"), c.alias("candidates")) for n, c in lists.items()])),
+    )
+    ready = topk.prepare_run(long)
+    ranks = ready.select(
+        "record_pos",
+        "list",
+        topk.first_hit("cand_sets", "ref_set").alias("exact"),
+        topk.first_hit("cand_cores", "ref_core").alias("core"),
+    )
+    of = lambda kind: ranks.groupBy("record_pos").agg(
+        *[F.max(F.when(F.col("list") == n, F.col(kind))).alias(n) for n in lists]
+    )
+    return tuple(combine.oracle_ceiling(of(kind), "a", "b", "merged") for kind in ("exact", "core"))
+
+
+def rerank(run: DataFrame, flags: str = "flags", most: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(summary, records) with the verified of the first ``most`` candidates in front.
+
+    ``flags`` says of each candidate whether the round trip gave the product back.
+    """
+    records = run.withColumns(
+        {
+            "candidates": combine.rerank_verified("candidates", flags, most),
+            "verified": combine.any_verified(flags, most),
+        }
+    )
+    summary = topk.topk_scores(topk.prepare_run(records))
+    rate = records.agg(topk.share(F.col("verified")).alias("v")).scalar()
+    return summary.withColumn("verified_at_least_one_rate", rate), records
+
+
+def cascade_inputs(
+    spark: SparkSession, test: str, run: DataFrame, out: str, limit: int | None = None, seed: int = 0,
+    field: str = "full_reactants_smiles",
+) -> None:
+    """Test rows whose reactant side is the first stage's best valid answer, appended to ``out``.
+
+    ``run`` has the test row's place in its file as ``cascade_index`` and its candidates. A seeded
+    subset keeps its places; rows that ``out`` has already are not written again.
+    """
+    lines = readers.numbered_lines(spark, test)
+    rows = lines.select(
+        F.col("position").alias("cascade_index"),
+        F.inline(F.array(F.from_json("value", POOL_SCHEMA, {"mode": "FAILFAST"}))),
+    )
+    if limit is not None:
+        rows = sampling.indexed_subset(rows, limit, seed, "cascade_index").drop("subset_key")
+    made = combine.substitute_side(rows, run, field, "cascade_index")
+    writers.resume_append(made, out, "cascade_index")
+
+
+def demo_inputs(targets: DataFrame, predictions: DataFrame, count: int, order: str, keep) -> DataFrame:
+    """The first ``count`` targets that state a condition, pass ``keep`` and have a valid
+    prediction for their product, with that prediction as the reactant side."""
+    wanted = targets.where(keep & sampling.has_any(*CONDITIONS))
+    both = leakage.attach_predictions(
+        wanted, predictions.select(PRODUCT, "candidates", "position"), PRODUCT, "position", order
+    )
+    valid = F.filter("candidates", lambda c: combine.readable_fragments(c))
+    ready = both.withColumn("valid", valid).withColumn("served", F.get("valid", F.lit(0)))
+    chosen = sampling.first_n_passing(ready, F.col("served").isNotNull(), count, order)
+    scored = topk.prepare_run(
+        chosen.select(order, F.array("served").alias("candidates"), F.col("reactants_smiles").alias("reference"))
+    ).select(
+        order,
+        F.coalesce(topk.first_hit("cand_sets", "ref_set") == 1, F.lit(False)).alias("exact_match_top1"),
+        F.coalesce(topk.first_hit("cand_cores", "ref_core") == 1, F.lit(False)).alias("core_exact_match_top1"),
+    )
+    return chosen.select(
+        order,
+        PRODUCT,
+        F.col("served").alias("reactants_smiles"),
+        F.col("reactants_smiles").alias("reference_reactants_smiles"),
+        F.size("candidates").alias("candidates_generated"),
+        F.size("valid").alias("candidates_valid"),
+        F.struct(*CONDITIONS).alias("reference_conditions"),
+    ).join(scored, order)

@@ -187,3 +187,89 @@ def test_sampling_shuffles_no_text(spark):
         assert plan[plan.index("LeftAnti") :].count("WindowGroupLimit") == 2  # before that join
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+RUN = "record_pos long, product string, reference string, candidates array<string>"
+
+
+def test_structure_summary_oracle_and_rerank(spark):
+    a = spark.createDataFrame([(0, "p", "CO", ["CC", "CO"]), (1, "q", "CC", ["C"]), (2, "r", "CN", ["CN"])], RUN)
+    b = spark.createDataFrame([(0, "p", "CO", ["x?"]), (1, "q", "CC", ["CC"]), (2, "r", "CN", ["O"])], RUN)
+    scores = {r["score"]: r["value"] for r in jobs.structure_summary(a).collect()}
+    assert scores["total"] == 3 and scores["exact_match_top1"] == pytest.approx(1 / 3)
+    assert scores["exact_match_top3"] == scores["as_written_exact_match_top3"] == pytest.approx(2 / 3)
+    assert scores["list_success_rate"] == 1.0 and "substrates_exact_match_top1" in scores
+    exact, core = (t.head() for t in jobs.oracle_ceiling(a, b))
+    assert exact["a_top1"] == exact["b_top1"] == pytest.approx(1 / 3) and exact["oracle_top1"] == pytest.approx(2 / 3)
+    assert exact["merged_top3"] == core["merged_top3"] == 1.0 and exact["headroom_top3"] == pytest.approx(0)
+    flagged = spark.createDataFrame(
+        [(0, "p", "CO", ["CC", "CO", "C"], [False, True, True]), (1, "q", "CC", ["C", "CC"], [False, False])],
+        RUN + ", flags array<boolean>",
+    )
+    summary, records = jobs.rerank(flagged, most=2)
+    assert records.orderBy("record_pos").head()["candidates"] == ["CO", "CC", "C"]
+    assert summary.head()["verified_at_least_one_rate"] == 0.5 and summary.head()["exact_match_top1"] == 0.5
+
+
+def test_comparing_condition_runs(spark):
+    answer = "struct<reagents: string, solvent: string, catalyst: string, temperature_celsius: string>"
+    schema = (
+        "record_pos long, product_smiles string, reagents string, solvent string, catalyst string, "
+        f"temperature_celsius double, parsed array<{answer}>"
+    )
+    said = lambda solvent, heat: [(None, solvent, None, heat)]
+    refs = [(0, "p", None, "CO", None, 20.0), (1, "q", None, "O", None, None), (2, "r", None, "CCO", None, 50.0)]
+    a = spark.createDataFrame([(*r, said(s, h)) for r, s, h in zip(refs, ["CO", "O", "C"], ["25", None, "90"])], schema)
+    b = spark.createDataFrame([(*r, said(s, h)) for r, s, h in zip(refs, ["C", "O", "C"], ["80", None, "55"])], schema)
+    test, rates = jobs.compare_condition_runs(a, b)
+    got = {r["metric"]: (r["n"], r["only_a"], r["only_b"]) for r in test.collect()}
+    assert got == {"solvent_top5": (3, 1, 0), "temperature_celsius_top5": (2, 1, 1)}
+    shown = {(r["field"], r["run"], r["with_temperature"]): (r["n"], r["rate"]) for r in rates.collect()}
+    assert shown == {
+        ("solvent", "a", True): (2, 0.5), ("solvent", "a", False): (1, 1.0),
+        ("solvent", "b", True): (2, 0.0), ("solvent", "b", False): (1, 1.0),
+    }
+
+
+def test_cascade_and_demo_inputs(spark, tmp_path):
+    rows = [{"product_smiles": "C" * (i + 1), "full_reactants_smiles": "CO", "reactants_smiles": "CO", "solvent": "O"} for i in range(12)]
+    (tmp_path / "test.json").write_text("\n".join(map(json.dumps, rows)))
+    run = spark.createDataFrame(
+        [(i, ["?", "CO", "CC"] if i % 2 else []) for i in range(12)], "cascade_index long, candidates array<string>"
+    )
+    out = str(tmp_path / "out")
+    jobs.cascade_inputs(spark, str(tmp_path / "test.json"), run, out, limit=5, seed=3)
+    first = {r["cascade_index"] for r in spark.read.parquet(out).collect()}
+    assert len(first) == 5
+    jobs.cascade_inputs(spark, str(tmp_path / "test.json"), run, out, limit=9, seed=3)
+    done = spark.read.parquet(out).collect()
+    assert len(done) == len({r["cascade_index"] for r in done}) == 9 and first <= {r["cascade_index"] for r in done}
+    for r in done:
+        good = r["cascade_index"] % 2 == 1
+        assert r["full_reactants_smiles"] == ("CO" if good else "") and r["cascade_reference_reactants"] == "CO"
+        assert r["cascade_stage1_exact"] is good and r["cascade_candidates_valid"] == (2 if good else 0)
+    targets = spark.createDataFrame(
+        [(i, "C" * (i + 1), "CO", "O" if i % 3 else None, None, None, None) for i in range(9)],
+        "place long, product_smiles string, reactants_smiles string, solvent string, temperature_celsius double, catalyst string, yield_percent double",
+    )
+    from pyspark.sql import functions as F
+
+    found = spark.createDataFrame([("C" * (i + 1), ["?", "CO"] if i != 4 else ["?"], i) for i in range(9)], "product_smiles string, candidates array<string>, position long")
+    demo = jobs.demo_inputs(targets, found, 3, "place", F.length("product_smiles") > 1).orderBy("place").collect()
+    assert [r["place"] for r in demo] == [1, 2, 5]
+    assert all(r["exact_match_top1"] and r["candidates_valid"] == 1 and r["reactants_smiles"] == "CO" for r in demo)
+    with pytest.raises(ValueError):
+        jobs.demo_inputs(targets, found, 6, "place", F.lit(True))
+
+
+def test_summary_of_first_answers_and_slices(spark):
+    run = spark.createDataFrame(
+        [("CO", 20.0, ["CO|25"]), ("O", None, ["C|?"]), (None, None, ["?|?"])],
+        "solvent string, temperature_celsius double, candidates_raw array<string>",
+    )
+    summary, _ = jobs.score_conditions(run, "compact", ["temperature_celsius", "solvent"])
+    row = summary.head().asDict()
+    assert row["solvent_top1_exact_match_rate"] == 0.5 and row["solvent_top1_expected_count"] == 2
+    assert row["solvent_always_silent"] == pytest.approx(1 / 3)
+    assert row["solvent_with_temperature_celsius_top1"] == 1.0 and row["solvent_without_temperature_celsius_top1"] == 0.0
+    assert row["solvent_without_temperature_celsius_count"] == 1
