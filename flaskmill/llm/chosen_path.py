@@ -152,35 +152,31 @@ def _next_level(members: DataFrame) -> DataFrame:
     return members.select("id", "node", "sig").mapInArrow(run, "id long, node long")
 
 
-def spanning(n: int, pairs: np.ndarray) -> np.ndarray:
-    """Pairs that connect what ``pairs`` connect, at most ``n - 1``."""
-    root = list(range(n))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    kept = []
-    for a, b in pairs.tolist():
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return np.asarray(kept, np.int64).reshape(-1, 2)
-
-
-def near_pairs(sig: np.ndarray) -> np.ndarray:
-    """Pairs of rows that agree on ``NEAR`` coordinates at least."""
-    out = []
-    for i in range(len(sig) - 1):
-        same = (sig[i + 1 :] == sig[i]).sum(1) >= NEAR
-        j = np.flatnonzero(same) + i + 1
-        out.append(np.column_stack([np.full(len(j), i), j]))
+def spanning(near: np.ndarray) -> np.ndarray:
+    """(first row, other row) pairs that connect what the symmetric matrix ``near`` connects."""
+    seen, out = np.zeros(len(near), bool), []
+    for i in range(len(near)):
+        if seen[i]:
+            continue
+        seen[i] = True
+        members, front = [], np.asarray([i])
+        while len(front):
+            front = np.flatnonzero(near[front].any(0) & ~seen)
+            seen[front] = True
+            members.append(front)
+        members = np.concatenate(members)
+        out.append(np.column_stack([np.full(len(members), i), members]))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
+def near_rows(sig: np.ndarray) -> np.ndarray:
+    """Matrix of the rows that agree on ``NEAR`` coordinates at least."""
+    out = np.zeros((len(sig), len(sig)), bool)
+    for low in range(0, len(sig), 64):
+        out[low : low + 64] = (sig[low : low + 64, None, :] == sig[None, :, :]).sum(2, dtype=np.uint8) >= NEAR
+    return out
+
+
 def _groups(batches, keys: int):
     """Tables of the rows of one key (the first ``keys`` columns), from sorted batches."""
     rest = None
@@ -215,7 +211,7 @@ def _bucket_links(members: DataFrame) -> DataFrame:
             if group.num_rows < 2:
                 continue
             ids = group.column(1).to_numpy()
-            pairs = spanning(len(ids), near_pairs(_sig(group.column(2).combine_chunks())))
+            pairs = spanning(near_rows(_sig(group.column(2).combine_chunks())))
             first.append(ids[pairs[:, 0]])
             second.append(ids[pairs[:, 1]])
             held += len(pairs)
@@ -225,7 +221,8 @@ def _bucket_links(members: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], names=["a", "b"])
 
-    dealt = members.select("node", "id", "sig").repartition("node").sortWithinPartitions("node")
+    # in order of id, so that the runs name mostly the same links
+    dealt = members.select("node", "id", "sig").repartition("node").sortWithinPartitions("node", "id")
     return dealt.mapInArrow(run, LINKS)
 
 
@@ -248,15 +245,15 @@ def _block_links(members: DataFrame) -> DataFrame:
         for group in _groups(batches, 3):
             ids, own = group.column("id").to_numpy(), group.column("own").to_numpy()
             low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
-            pairs = near_pairs(_sig(group.column("sig").combine_chunks()))
+            near = near_rows(_sig(group.column("sig").combine_chunks()))
             if low != high:
-                pairs = pairs[own[pairs[:, 0]] != own[pairs[:, 1]]]
-            pairs = spanning(len(ids), pairs)
+                near &= own[:, None] != own[None, :]
+            pairs = spanning(near)
             yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], names=["a", "b"])
 
     dealt = _in_blocks(members, "node", "n", BLOCK).select("node", "low", "high", "own", "id", "sig")
     keys = ["node", "low", "high"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, LINKS)
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(run, LINKS)
 
 
 def candidates(texts: DataFrame) -> DataFrame:
@@ -302,8 +299,9 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     out = np.zeros((n, n), np.float32)
-    width = 4096
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = max(1, min(4096, columns))
+    for low in range(0, columns, width):
         a, b = np.searchsorted(column, [low, low + width])
         part = np.zeros((n, width), np.float32)
         part[owner[a:b], column[a:b] - low] = 1
@@ -312,7 +310,8 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verified(rows: DataFrame, least: float) -> DataFrame:
-    """id, text_links, doc_links of the row's pairs that are verified here, and one spanning link."""
+    """id, text_links, doc_links of the row's pairs that are verified here, and one link, which
+    together with the others' connects what these pairs connect."""
 
     def run(batches):
         for group in _groups(batches, 3):
@@ -330,26 +329,9 @@ def _verified(rows: DataFrame, least: float) -> DataFrame:
             np.fill_diagonal(linked, False)
             if low != high:
                 linked &= own[:, None] != own[None, :]
-            i, j = np.nonzero(np.triu(linked))
-            pairs = spanning(n, np.column_stack([i, j]))
+            pairs = spanning(linked)
             link = np.full(n, -1, np.int64)
-            # a spanning forest as one parent for each node but the roots
-            near: dict[int, list[int]] = {}
-            for a, b in pairs.tolist():
-                near.setdefault(a, []).append(b)
-                near.setdefault(b, []).append(a)
-            seen = np.zeros(n, bool)
-            for start in near:
-                if seen[start]:
-                    continue
-                seen[start], queue = True, [start]
-                while queue:
-                    a = queue.pop()
-                    for b in near[a]:
-                        if not seen[b]:
-                            seen[b] = True
-                            link[b] = a
-                            queue.append(b)
+            link[pairs[:, 1]] = pairs[:, 0]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids), pa.array(linked.sum(1).astype(np.int64)),
@@ -360,7 +342,7 @@ def _verified(rows: DataFrame, least: float) -> DataFrame:
             )
 
     keys = ["root", "low", "high"]
-    dealt = rows.select(*keys, "own", "id", "copies", "text").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = rows.select(*keys, "own", "id", "copies", "text").repartition(*keys).sortWithinPartitions(*keys, "id")
     return dealt.mapInArrow(run, "id long, text_links long, doc_links long, link long")
 
 
