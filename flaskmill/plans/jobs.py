@@ -7,6 +7,7 @@ in the shared folder.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +26,23 @@ from flaskmill.constants import (
 from flaskmill.functions.rendering import check_fields, parse_generation
 from flaskmill.operators import combine, dedupe, leakage, roles, sampling, stats, topk
 from flaskmill.operators.extract import normalize_flat_row, normalize_reaction
-from flaskmill.session import stage
+from flaskmill.session import stage, staging
 from flaskmill.sources import readers, writers
 
 PRODUCT = "product_smiles"
+
+
+def writes(job):
+    """What the job stages is deleted when it has written its results."""
+
+    @wraps(job)
+    def run(first, *args, **named):
+        with staging(first if isinstance(first, SparkSession) else first.sparkSession):
+            return job(first, *args, **named)
+
+    return run
+
+
 CONDITIONS = ("solvent", "temperature_celsius", "catalyst", "yield_percent")
 NUMERIC = {
     "temperature_celsius": (TEMPERATURE_TOLERANCE, TEMPERATURE_EDGES),
@@ -42,6 +56,7 @@ def open_reactions(spark: SparkSession, documents: str) -> DataFrame:
     return normalize_reaction(docs, keep=("row_id",))
 
 
+@writes
 def build_eval_targets(
     spark: SparkSession,
     documents: str,
@@ -60,6 +75,7 @@ def build_eval_targets(
     writers.write_eval_targets(drawn, out, TARGET_FIELDS)
 
 
+@writes
 def build_flat_targets(table: DataFrame, out: str, count: int = 100, seed: int = 0, splits=None) -> None:
     """Seeded distinct products of a flat table, or of its named splits only."""
     rows = stage(flat_reactions(table, splits))
@@ -71,6 +87,7 @@ def flat_reactions(table: DataFrame, splits=None) -> DataFrame:
     return normalize_flat_row(readers.read_split(table, splits))
 
 
+@writes
 def build_flat_pool(spark: SparkSession, table: DataFrame, split: str, exclude: str, out: str) -> None:
     """First row per product of one split, without the held-out products."""
     rows = normalize_flat_row(readers.read_split(table, [split]), keep=("idx",))
@@ -79,6 +96,7 @@ def build_flat_pool(spark: SparkSession, table: DataFrame, split: str, exclude:
     writers.write_jsonl(kept, out, REACTANT_FIELDS)
 
 
+@writes
 def build_train_pools(
     spark: SparkSession,
     documents: str,
@@ -114,6 +132,7 @@ POOL_SCHEMA = (
 )
 
 
+@writes
 def build_clean_test(spark: SparkSession, test: str, train: Sequence[str], out: str) -> None:
     """The test rows whose product occurs in none of the training files."""
     rows = readers.read_records(spark, test, POOL_SCHEMA)
@@ -126,6 +145,7 @@ def numbered(rows: DataFrame) -> DataFrame:
     return stage(rows.withColumn("row_id", F.monotonically_increasing_id()))
 
 
+@writes
 def build_roles_pool(
     spark: SparkSession, pool: str, out: str, lookup: str | None = None, drop_empty: bool = False
 ) -> None:
@@ -139,6 +159,7 @@ def build_roles_pool(
     writers.write_jsonl(split, out, [f.split()[0] for f in POOL_SCHEMA.split(", ")])
 
 
+@writes
 def build_mixed_pool(
     spark: SparkSession, pool: str, test: str, out: str, n_without: int = 80_000, seed: int = 42, fraction: float = 1.0
 ) -> None:
@@ -320,6 +341,7 @@ def rerank(run: DataFrame, flags: str = "flags", most: int = 10) -> tuple[DataFr
     return summary.withColumn("verified_at_least_one_rate", rate), records
 
 
+@writes
 def cascade_inputs(
     spark: SparkSession, test: str, run: DataFrame, out: str, limit: int | None = None, seed: int = 0,
     field: str = "full_reactants_smiles",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,13 +70,33 @@ def balance(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if splits <= min(FEW_SPLITS, cores - 1) else df
 
 
+# Folders staged so far, by application.
+_STAGED: dict[str, list[str]] = {}
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back.
 
     Cuts the lineage in a way that survives lost executors, keeps column pruning for the
-    passes that follow, and gives the planner real sizes.
+    passes that follow, and gives the planner real sizes. The folder stays until the enclosing
+    ``staging`` block ends; without one the caller's results may still need it.
     """
     spark = df.sparkSession
     path = f"{staging_dir(spark).rstrip('/')}/flaskmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staging(spark: SparkSession):
+    """Folders staged inside the block are deleted at its end: for jobs that write their results."""
+    folders = _STAGED.setdefault(spark.sparkContext.applicationId, [])
+    before = len(folders)
+    try:
+        yield
+    finally:
+        for path in folders[before:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del folders[before:]

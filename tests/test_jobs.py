@@ -90,6 +90,17 @@ def test_evaluation(spark):
     assert len(records.head()["parsed"]) == 2
 
 
+def test_jobs_leave_nothing_staged(spark, documents, tmp_path):
+    from pathlib import Path
+
+    from flaskmill import session
+
+    folder = Path(session.staging_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    jobs.build_eval_targets(spark, documents, str(tmp_path / "t"), count=7, cap=9)
+    assert len(lines(tmp_path / "t")) == 7 and set(folder.iterdir()) == before
+
+
 def written(folder, name, products, index):
     folder.mkdir(parents=True, exist_ok=True)
     rows = []
