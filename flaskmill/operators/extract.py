@@ -214,17 +214,18 @@ def normalize_reaction(
 
 def normalize_flat_row(
     df: DataFrame,
+    dataset: str,
     split: str = "split",
     index: str = "idx",
     source: str = "USPTO",
-    dataset: str = "uspto-50k",
     id_prefix: str = "uspto50k_",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Flat rows under any of the accepted column names to the same normalised schema.
 
-    Reactants keep their order and copies; unreadable parts are dropped, and if all are
-    unreadable the raw side is kept. Rows without a readable product are dropped.
+    ``dataset`` names the table the rows come from. Reactants keep their order and copies;
+    unreadable parts are dropped, and if all are unreadable the raw side is kept. Rows without a
+    readable product are dropped.
     """
 
     def pick(*names):

@@ -113,9 +113,13 @@ def subset_like(
     return checked.drop("_index", "_product")
 
 
-def lookup_join(df: DataFrame, key: str, lookup: DataFrame, spread: list[str]) -> DataFrame:
-    """Left join with a lookup that has one row per key."""
-    return join_spread(df, lookup, key, spread, "left")
+def lookup_join(df: DataFrame, key: str, lookup: DataFrame) -> DataFrame:
+    """Left join with a lookup that has one row per key.
+
+    A plain join: Spark sends a lookup of small measured size to all tasks, and splits the
+    partitions of frequent keys otherwise.
+    """
+    return df.join(lookup, key, "left")
 
 
 def merge_chunks(

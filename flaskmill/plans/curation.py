@@ -134,9 +134,9 @@ def lookup_join(spark, folder):
     members = [(m, g) for g, ms in X.SOLVENT_GROUPS.items() for m in ms]
     lookup = spark.createDataFrame(members, "species string, grp string")
     lines = table(spark, folder, "lineitem").select(
-        X.species(F.col("l_partkey")).alias("species"), "l_orderkey", "l_linenumber"
+        X.species(F.col("l_partkey")).alias("species")
     )
-    joined = leakage.lookup_join(lines, "species", lookup, ["l_orderkey", "l_linenumber"])
+    joined = leakage.lookup_join(lines, "species", lookup)
     return joined.groupBy(F.coalesce("grp", F.lit("none")).alias("grp")).agg(F.count("*").alias("n"))
 
 

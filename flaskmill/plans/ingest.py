@@ -248,7 +248,7 @@ _STRIP = "regexp_replace({}, ':[0-9]+\\]', ']', 'g')"
 def normalize_flat_row(spark, folder):
     rows = flat_rows(spark, folder)
     # The mapped text is what the row's own reaction column holds.
-    out = extract.normalize_flat_row(rows)
+    out = extract.normalize_flat_row(rows, "flat-rows")
     return out.select(
         "reaction_id", "product_smiles", "reactants_smiles", "reaction_smiles",
         F.coalesce("reaction_class_normalized", F.lit("none")).alias("reaction_class_normalized"),

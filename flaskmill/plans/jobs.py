@@ -76,21 +76,25 @@ def build_eval_targets(
 
 
 @writes
-def build_flat_targets(table: DataFrame, out: str, count: int = 100, seed: int = 0, splits=None) -> None:
+def build_flat_targets(
+    table: DataFrame, dataset: str, out: str, count: int = 100, seed: int = 0, splits=None
+) -> None:
     """Seeded distinct products of a flat table, or of its named splits only."""
-    rows = stage(flat_reactions(table, splits))
+    rows = stage(flat_reactions(table, dataset, splits))
     drawn = sampling.seeded_sample_nested(rows, count, seed, PRODUCT, "reaction_id")
     writers.write_eval_targets(drawn, out, REACTANT_FIELDS)
 
 
-def flat_reactions(table: DataFrame, splits=None) -> DataFrame:
-    return normalize_flat_row(readers.read_split(table, splits))
+def flat_reactions(table: DataFrame, dataset: str, splits=None) -> DataFrame:
+    return normalize_flat_row(readers.read_split(table, splits), dataset)
 
 
 @writes
-def build_flat_pool(spark: SparkSession, table: DataFrame, split: str, exclude: str, out: str) -> None:
+def build_flat_pool(
+    spark: SparkSession, table: DataFrame, dataset: str, split: str, exclude: str, out: str
+) -> None:
     """First row per product of one split, without the held-out products."""
-    rows = normalize_flat_row(readers.read_split(table, [split]), keep=("idx",))
+    rows = normalize_flat_row(readers.read_split(table, [split]), dataset, keep=("idx",))
     held = readers.read_exclusion_keys(spark, [exclude], PRODUCT)
     kept = leakage.exclude_holdout(dedupe.dedupe_first(rows, PRODUCT, "idx"), held, PRODUCT)
     writers.write_jsonl(kept, out, REACTANT_FIELDS)

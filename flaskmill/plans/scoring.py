@@ -293,7 +293,8 @@ def _mcnemar_sql() -> str:
         - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2.0))) AS tail
       FROM (SELECT *, unnest(range(0, least(only_a, only_b) + 1)) AS i FROM counts) GROUP BY metric"""
     return f"""{X.RUN_AB_SQL}, counts AS ({" UNION ALL ".join(rows)}), tails AS ({terms})
-    SELECT metric, n, rate_a, rate_b, only_a, only_b, round(least(1.0, 2 * tail), 6) AS p
+    SELECT metric, n, rate_a, rate_b, only_a, only_b, round(least(1.0, 2 * tail), 6) AS p,
+      CASE WHEN tail > 0 THEN round(log10(least(1.0, 2 * tail)), 6) ELSE -999.0 END AS log10_p
     FROM counts JOIN tails USING (metric)"""
 
 
@@ -308,7 +309,9 @@ def mcnemar_exact(spark, folder):
     tested = stats.mcnemar_exact(
         ranked_pair(spark, folder, ("candidates_a", "candidates_b")), metrics
     )
-    return tested.withColumn("p", F.round("p", 6))
+    # The logarithm tells small p-values apart, which six decimals do not.
+    small = F.when(F.col("p") > 0, F.round(F.log10("p"), 6)).otherwise(-999.0)
+    return tested.withColumn("log10_p", small).withColumn("p", F.round("p", 6))
 
 
 @query(

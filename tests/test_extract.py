@@ -123,7 +123,7 @@ def test_flat_rows(spark):
     df = spark.createDataFrame(
         rows, "idx int, split string, rxn_smiles string, reactants string, product string, id string, class string"
     )
-    out = {r["reaction_id"]: r for r in extract.normalize_flat_row(df).collect()}
+    out = {r["reaction_id"]: r for r in extract.normalize_flat_row(df, "flat").collect()}
     assert set(out) == {"uspto50k_train_0", "mine", "uspto50k_test_4"}
     assert out["uspto50k_train_0"]["reactants_smiles"] == "[CH3]C"
     assert out["uspto50k_train_0"]["product_smiles"] == "[OH]C"

@@ -64,10 +64,10 @@ def test_targets_and_pools(spark, documents, tmp_path):
 def test_flat_jobs(spark, tmp_path):
     rows = [(i, "test" if i % 5 == 0 else "train", f"CO.{'C' * (1 + i % 9)}>>{'C' * (1 + i % 30)}") for i in range(100)]
     table = spark.createDataFrame(rows, "idx long, split string, rxn_smiles string")
-    jobs.build_flat_targets(table, str(tmp_path / "t"), count=4, seed=0, splits=["test"])
+    jobs.build_flat_targets(table, "flat", str(tmp_path / "t"), count=4, seed=0, splits=["test"])
     held = {r["product_smiles"] for r in lines(tmp_path / "t")}
     assert len(held) == 4
-    jobs.build_flat_pool(spark, table, "train", str(tmp_path / "t"), str(tmp_path / "p"))
+    jobs.build_flat_pool(spark, table, "flat", "train", str(tmp_path / "t"), str(tmp_path / "p"))
     kept = [r["product_smiles"] for r in lines(tmp_path / "p")]
     assert len(kept) == len(set(kept)) and not held & set(kept)
 
