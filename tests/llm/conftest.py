@@ -4,15 +4,11 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from rows_of import prose
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def prose(rng, n):
-    stems = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt"]
-    return " ".join("".join(rng.choice(stems) for _ in range(rng.randint(1, 4))) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def awkward_rows():
     """Nulls in every column, empty, blank and long texts, copies, near copies, repeated rows."""

@@ -1,5 +1,10 @@
-"""Rows of a DataFrame in a fixed order."""
+"""Rows of a DataFrame in a fixed order, and invented text."""
 
 
 def as_rows(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+def prose(rng, n):
+    stems = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt"]
+    return " ".join("".join(rng.choice(stems) for _ in range(rng.randint(1, 4))) for _ in range(n))

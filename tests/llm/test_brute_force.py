@@ -372,6 +372,7 @@ def linked(rows):
 def test_chosen_path_join(spark, awkward_rows, bucket, block, monkeypatch):
     monkeypatch.setattr(chosen_path, "BUCKET", bucket)
     monkeypatch.setattr(chosen_path, "BLOCK", block)
+    monkeypatch.setattr(chosen_path, "NODE_BLOCK", block)
     rng = random.Random(6)
     rows = [r[:2] for r in awkward_rows]
     words = [f"x{rng.randint(0, 5000)}" for _ in range(100)]
