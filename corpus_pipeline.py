@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flaskmill.llm import chosen_path, compression, decontaminate, mixing, tokens
 from flaskmill.llm.queries import ship, table, tokenizer
-from flaskmill.llm.texts import shared_rows, staging_dir
+from flaskmill.session import staging, staging_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table.
+
+    What a stage keeps for itself is deleted as soon as its rows are written.
+    """
     docs = table(spark, sf_dir, "documents")
-    for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = shared_rows(docs)
-    return docs
+    folder = f"{staging_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    for at, (_, stage) in enumerate(STAGES[:-1]):
+        with staging(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{at}")
+        docs = spark.read.parquet(f"{folder}/{at}")
+    return STAGES[-1][1](spark, docs, sf_dir)

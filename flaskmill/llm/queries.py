@@ -16,9 +16,19 @@ from flaskmill.llm.texts import staging_dir
 _SHIPPED: set[str] = set()
 
 
+#: Rows and bytes that go to a Python worker at a time; whole texts are long rows.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, which may not have it installed. Once a session."""
+    """Send the package to the executors, which may not have it installed (once a session), and
+    keep the batches small that hold their texts."""
     context = spark.sparkContext
+    for name, value in BATCHES.items():
+        spark.conf.set(name, value)
     if context.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parents[1]
