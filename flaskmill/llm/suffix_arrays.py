@@ -248,24 +248,33 @@ def runs(flag: np.ndarray) -> np.ndarray:
     return edge.reshape(-1, 2)
 
 
-FOUND = "h long, c long, lows array<int>, highs array<int>, d1 long, d2 long, shard long"
-
-
-def _shard(length: int):
-    """Repeated windows of the contexts of one shard, and the digests of windows to be merged."""
+FOUND = (
+    "h long, c long, lows array<int>, highs array<int>, "
+    "range long, d1 array<long>, d2 array<long>, hs array<long>, cs array<long>, places array<int>"
+)
+_FOUND_TYPES = {
+    "h": pa.int64(), "c": pa.int64(), "lows": pa.list_(pa.int32()), "highs": pa.list_(pa.int32()),
+    "range": pa.int64(), "d1": pa.list_(pa.int64()), "d2": pa.list_(pa.int64()),
+    "hs": pa.list_(pa.int64()), "cs": pa.list_(pa.int64()), "places": pa.list_(pa.int32()),
+}
+
+
+def _shard(length: int, ranges: int):
+    """Repeated windows of the contexts of one shard: a row for each context that has some. For
+    contexts of a gram that lies in several shards too, the digests of their different windows,
+    as sorted lists: a row for each of the ``ranges`` that digests are merged in."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         h, c = table["h"].to_numpy(), table["c"].to_numpy()
         n, dealt = table["n"].to_numpy(), table["salts"].to_numpy() > 1
-        texts = table["bytes"].combine_chunks() if isinstance(table["bytes"], pa.ChunkedArray) else table["bytes"]
-        data, starts = buffer(texts)
+        data, starts = buffer(table["bytes"].combine_chunks())
         windows = np.zeros(len(data) + 1, np.int32)
         np.add.at(windows, starts[:-1], 1)
         np.add.at(windows, starts[1:] - length + 1, -1)
         windows = np.cumsum(windows[:-1]) > 0
         repeats, rank = repeated_windows(data, starts, windows, length)
-        out = {k: [] for k in ("h", "c", "lows", "highs", "d1", "d2")}
+        out = {k: [] for k in _FOUND_TYPES}
 
         def add(**row):
             for k in out:
@@ -276,43 +285,58 @@ def _shard(length: int):
             flag = repeats[starts[i] : starts[i] + size] if n[i] == 1 else np.ones(size, bool)
             if flag.any():
                 found = runs(flag)
-                add(h=int(h[i]), c=int(c[i]), lows=found[:, 0].tolist(), highs=found[:, 1].tolist())
+                add(h=int(h[i]), c=int(c[i]), lows=found[:, 0], highs=found[:, 1])
         if dealt.any():
             d1, d2 = window_digests(data, length)
-            mine = np.repeat(dealt, np.diff(starts)) & windows
             # one window of each group stands for it
-            place = np.flatnonzero(mine)
+            place = np.flatnonzero(np.repeat(dealt, np.diff(starts)) & windows)
             _, one = np.unique(rank[place], return_index=True)
-            place = np.sort(place[one])
+            place = place[one]
+            part = ((d1[place] >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
+            order = np.lexsort((d2[place], d1[place], part))
+            place, part = place[order], part[order]
             own = np.searchsorted(starts, place, "right") - 1
-            for p, i, x, y in zip(
-                (place - starts[own]).tolist(), own.tolist(),
-                d1[place].view(np.int64).tolist(), d2[place].view(np.int64).tolist(), strict=True,
-            ):
-                add(h=int(h[i]), c=int(c[i]), lows=[p], highs=[p + 1], d1=x, d2=y)
-        long, ints = pa.int64(), pa.list_(pa.int32())
-        kinds = {"h": long, "c": long, "lows": ints, "highs": ints, "d1": long, "d2": long}
-        columns = {k: pa.array(v, kinds[k]) for k, v in out.items()}
-        columns["shard"] = pa.array([table["shard"][0].as_py()] * len(out["h"]), long)
-        return pa.table(columns)
+            cut = np.flatnonzero(np.diff(part)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(place)], strict=True):
+                p, i = place[a:b], own[a:b]
+                add(range=int(part[a]), d1=d1[p].view(np.int64), d2=d2[p].view(np.int64), hs=h[i], cs=c[i], places=(p - starts[i]).astype(np.int32))
+        return pa.table({k: pa.array(v, _FOUND_TYPES[k]) for k, v in out.items()})
 
     return run
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """Windows that several shards hold, in one range of digests: looked up by binary search."""
-    d1 = table["d1"].to_numpy().view(np.uint64)
-    d2 = table["d2"].to_numpy().view(np.uint64)
+    """Windows that several shards hold, in one range of digests.
+
+    Every shard's list is sorted and holds a window once, so a window is in several lists if the
+    merged list, looked up by binary search, has its digest more than once. A row for each
+    context that has such windows.
+    """
+    flat = lambda name: table[name].combine_chunks().values.to_numpy(zero_copy_only=False)
+    d1, d2 = flat("d1").view(np.uint64), flat("d2").view(np.uint64)
     key = mix(d1) ^ (d2 * np.uint64(0x9E3779B97F4A7C15))
     merged = np.sort(key)
     n = np.searchsorted(merged, key, "right") - np.searchsorted(merged, key, "left")
     at = np.flatnonzero(n > 1)
     # equal keys are looked at in full
-    full = np.lexsort((d2[at], d1[at]))
-    at = at[full]
+    at = at[np.lexsort((d2[at], d1[at]))]
     same = np.zeros(len(at) + 1, bool)
     same[1:-1] = (d1[at][1:] == d1[at][:-1]) & (d2[at][1:] == d2[at][:-1])
-    return table.take(pa.array(at[same[1:] | same[:-1]])).select(["h", "c", "lows", "highs"])
+    at = at[same[1:] | same[:-1]]
+    h, c, place = flat("hs")[at], flat("cs")[at], flat("places")[at].astype(np.int64)
+    order = np.lexsort((place, c, h))
+    h, c, place = h[order], c[order], place[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (place[1:] != place[:-1] + 1)
+    head = np.flatnonzero(new)  # runs of windows side by side
+    end = place[np.concatenate((head[1:], [len(h)])) - 1] + 1 if len(head) else place
+    h, c, low = h[head], c[head], place[head]
+    first = np.ones(len(head), bool)
+    first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    group = np.flatnonzero(first)
+    offsets = pa.array(np.concatenate((group, [len(head)])).astype(np.int32))
+    ints = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32)))
+    return pa.table({"h": pa.array(h[group]), "c": pa.array(c[group]), "lows": ints(low), "highs": ints(end)})
 
 
 # --- the whole job ------------------------------------------------------------------------
@@ -347,14 +371,18 @@ def repeated(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
     ``texts``: k1, k2 (key of the text) and text, a row for each document.
     """
     every = shared_rows(find_anchors(texts, length, gram))
+    # Written first, so that both sides of the join are plain scans and Spark can split the
+    # partitions of very common grams.
     twice = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    twice = shared_rows(twice)
     some = shared_rows(every.join(twice, "h", "left_semi"))
     contexts = some.groupBy("h", "c").agg(
         F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "last")).alias("one")
     )
     contexts = shared_rows(contexts.select("h", "c", "n", "one.*"))
     salts = contexts.groupBy("h").agg(F.ceil(F.count("*") / TOGETHER).cast("long").alias("salts"))
-    wanted = contexts.join(salts, "h")
+    salts = shared_rows(salts.where("salts > 1"))
+    wanted = contexts.join(salts, "h", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     size = contexts.agg(F.sum(F.col("last") - F.col("first") + length)).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("h", F.when(F.col("salts") > 1, F.pmod("c", "salts")).otherwise(0)), F.lit(shards))
@@ -362,16 +390,14 @@ def repeated(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
         _contexts(wanted, texts, length)
         .withColumn("shard", shard)
         .groupBy("shard")
-        .applyInArrow(_shard(length), FOUND)
+        .applyInArrow(_shard(length, shards), FOUND)
     )
-    lists = found.where("d1 IS NOT NULL")
-    ranges = F.shiftrightunsigned("d1", 32) % F.lit(max(1, 4 * shards))
     merged = (
-        lists.withColumn("range", ranges)
+        found.where("range IS NOT NULL")
         .groupBy("range")
         .applyInArrow(_merge, "h long, c long, lows array<int>, highs array<int>")
     )
-    own = found.where("d1 IS NULL").select("h", "c", "lows", "highs")
+    own = found.where("range IS NULL").select("h", "c", "lows", "highs")
     covers = own.unionByName(merged).groupBy("h", "c").agg(
         F.flatten(F.collect_list(F.arrays_zip("lows", "highs"))).alias("windows")
     )
