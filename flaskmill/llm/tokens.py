@@ -38,10 +38,11 @@ from flaskmill.llm.texts import buffer, slices, span_hashes, words
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
-#: Encoded words that a worker remembers; it starts anew beyond this.
-REMEMBERED = 2_000_000
+#: Encoded words (arrays) and runs (Python objects) that a worker remembers; it starts anew beyond.
+REMEMBERED = 1_000_000
+REMEMBERED_RUNS = 50_000
 #: Bytes of text encoded at a time; a larger slice repeats more of its words.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 BLOCKS = T.StructType(
     [
@@ -137,6 +138,8 @@ class WordEncoder:
             got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             for i, e in zip(rest, got, strict=True):
                 found[i] = e.ids
+        if len(self.runs) > REMEMBERED_RUNS:
+            self.runs = {}
         length = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))
         used = int(self.offset[-1])
