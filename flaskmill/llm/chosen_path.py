@@ -43,7 +43,9 @@ RUNS = 16
 DEPTH = 3
 BUCKET = 128
 NEAR = 37
-#: Texts of a block in large nodes and in large groups of candidates.
+#: Texts of a block in large nodes (signatures of 128 bytes each) and in large groups of candidates
+#: (whole texts).
+NODE_BLOCK = 1024
 BLOCK = 256
 SEED = 29
 
@@ -251,7 +253,7 @@ def _block_links(members: DataFrame) -> DataFrame:
             pairs = spanning(near)
             yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], names=["a", "b"])
 
-    dealt = _in_blocks(members, "node", "n", BLOCK).select("node", "low", "high", "own", "id", "sig")
+    dealt = _in_blocks(members, "node", "n", NODE_BLOCK).select("node", "low", "high", "own", "id", "sig")
     keys = ["node", "low", "high"]
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(run, LINKS)
 
@@ -262,7 +264,8 @@ def candidates(texts: DataFrame) -> DataFrame:
     nodes = _first_level(texts)
     for level in range(1, DEPTH + 1):
         nodes = shared_rows(nodes)
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        # Written first, so that Spark can split the partitions of very common nodes in the join.
+        sizes = shared_rows(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
         members = shared_rows(nodes.join(sizes, "node").join(texts.select("id", "sig"), "id"))
         found = [_bucket_links(members.where(F.col("n") <= BUCKET))]
         large = members.where(F.col("n") > BUCKET)
