@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flaskmill.llm import labelled
 from flaskmill.llm.texts import buffer, slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -180,16 +181,12 @@ def messages(node: np.ndarray, edges: np.ndarray, factor: np.ndarray, rounds: in
 
 
 def fit(docs: DataFrame, documents: int = FIT_DOCUMENTS) -> dict:
-    """Potentials from at most ``documents`` documents with a digit or ``@``, by their digest."""
+    """Potentials from at most ``documents`` documents with a digit or ``@``, by their hash."""
     text = F.coalesce("text", F.lit(""))
-    rows = (
-        docs.select(text.alias("text"))
-        .where(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= FIT_BYTES))
-        .withColumn("at", F.md5("text"))
-        .orderBy("at")
-        .limit(documents)
-        .collect()
+    some = docs.select(text.alias("text")).where(
+        F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= FIT_BYTES)
     )
+    rows = labelled.drawn(some, F.xxhash64("text"), some.count(), documents).collect()
     feature, label = [], []
     pair, skips = np.ones((LABELS, LABELS)), np.ones((LABELS, LABELS))
     for row in dict.fromkeys(r["text"] for r in rows):
