@@ -401,9 +401,8 @@ def repeated(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
     covers = own.unionByName(merged).groupBy("h", "c").agg(
         F.flatten(F.collect_list(F.arrays_zip("lows", "highs"))).alias("windows")
     )
-    placed = (
-        some.select("k1", "k2", "h", "c", "first").distinct().join(covers, ["h", "c"])
-    )
+    covers = shared_rows(covers)  # a plain scan again, for contexts that many texts share
+    placed = some.select("k1", "k2", "h", "c", "first").distinct().join(covers, ["h", "c"])
     moved = F.transform(
         "windows",
         lambda w: F.struct((w["lows"] + F.col("first")).alias("low"), (w["highs"] + F.col("first") + (length - 1)).alias("high")),

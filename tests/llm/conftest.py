@@ -3,9 +3,18 @@
 import random
 
 import pytest
+from flaskmill.llm.queries import ship
 from pyspark.sql import functions as F
 from rows_of import prose
 
+
+
+@pytest.fixture(scope="session", autouse=True)
+def shipped(spark):
+    """Workers find the package wherever the tests are started."""
+    ship(spark)
+
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
