@@ -5,7 +5,7 @@ words with a digit or an ``@`` (all others are fixed to "outside"); its labels a
 "outside". Node potentials come from hashed word shapes, chain potentials join neighbouring
 nodes, and skip potentials join a word to the next word of the same document that is equal to it
 or similar (same digits, or same letters and shape), however distant. Loopy sum-product messages
-run over all edges at once. Words that base spans cover keep their kind as evidence; a word
+run over all edges at once until they settle, so evidence reaches every repeat. Words that base spans cover keep their kind as evidence; a word
 outside them whose most likely label is a kind adds a span. Node weights and potentials are
 estimated from a bounded sample of documents, labelled by their base spans.
 
@@ -32,8 +32,12 @@ OUTSIDE = len(KINDS)
 #: Documents the field is fitted on at most, and bytes of each.
 FIT_DOCUMENTS = 3000
 FIT_BYTES = 20_000
-ROUNDS = 12
 BITS = 12
+#: Messages have settled when no log changes by more in a round.
+TOLERANCE = 1e-8
+#: Turns of a message after which its changes are halved once more, and how often that is done.
+CALM = 8
+HALVINGS = 8
 
 _LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -154,10 +158,18 @@ class Nodes:
         return chain, skip
 
 
-def messages(node: np.ndarray, edges: np.ndarray, factor: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def messages(
+    node: np.ndarray, edges: np.ndarray, factor: np.ndarray, rounds: int | None = None, reach: np.ndarray | None = None
+) -> np.ndarray:
     """Loopy sum-product: log beliefs of nodes (n, L), given edges (e, 2) and their log factors.
 
-    Every round sends all messages along all edges in both directions at once, damped by half.
+    Messages go along all edges in both directions at once, damped by half, until none changes by
+    ``TOLERANCE``, however many rounds that takes (``rounds`` ends it earlier). A message is sent
+    again only after it or one into its source has changed, so a label that crosses a long document
+    costs the edges it passes and not the whole document at each step. ``reach`` (e) has the rounds
+    in which a label surely crosses an edge's document, by default twice the nodes. A message that
+    still turns back after them swings around a loop: its changes are halved at every ``CALM`` turns
+    and it stays in the middle of its swing after ``HALVINGS`` of them, so the rounds do end.
     On trees the beliefs are exact once messages have crossed the tree.
     """
     e = len(edges)
@@ -167,14 +179,33 @@ def messages(node: np.ndarray, edges: np.ndarray, factor: np.ndarray, rounds: in
     target = np.concatenate([edges[:, 1], edges[:, 0]])
     both = np.concatenate([factor, factor.transpose(0, 2, 1)])
     opposite = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
+    by_source = np.argsort(source, kind="stable")
+    first = np.searchsorted(source[by_source], np.arange(len(node) + 1))
     sent = np.zeros((2 * e, node.shape[1]))
-    for _ in range(rounds):
-        belief = node.copy()
-        np.add.at(belief, target, sent)
-        out = (belief[source] - sent[opposite])[:, :, None] + both
+    crossed = np.tile(np.full(e, 2 * len(node)) if reach is None else reach, 2)
+    way = np.zeros(sent.shape, np.int8)
+    turns = np.zeros(2 * e, np.int64)
+    belief = node.copy()
+    active, done = np.arange(2 * e), 0
+    while len(active) and done != rounds:
+        done += 1
+        out = (belief[source[active]] - sent[opposite[active]])[:, :, None] + both[active]
         new = np.logaddexp.reduce(out, axis=1)
         new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-        sent = 0.5 * sent + 0.5 * new
+        change = 0.5 ** (1.0 + turns[active] // CALM)[:, None] * (new - sent[active])
+        sent[active] += change
+        np.add.at(belief, target[active], change)
+        large = np.abs(change) > TOLERANCE
+        sign = np.where(large, np.sign(change), way[active]).astype(np.int8)
+        turns[active] += (sign * way[active] < 0).any(1) & (crossed[active] < done)
+        way[active] = sign
+        moved = active[large.any(1)]
+        # next: the messages that moved, and all that leave the nodes they went to
+        at = np.unique(target[moved])
+        count = first[at + 1] - first[at]
+        leaving = np.arange(count.sum()) + np.repeat(first[at] - np.cumsum(count) + count, count)
+        active = np.union1d(moved, by_source[leaving])
+        active = active[turns[active] < CALM * HALVINGS]
     belief = node.copy()
     np.add.at(belief, target, sent)
     return belief - np.logaddexp.reduce(belief, axis=1, keepdims=True)
@@ -229,14 +260,15 @@ def added_spans(found: list[Nodes], model: dict) -> list[list[tuple[int, int, in
     covered = label != OUTSIDE
     node[covered] = -30.0
     node[covered, label[covered]] = 0.0
-    links, factors = [], []
+    links, factors, reach = [], [], []
     for base, n in zip(start.tolist(), found, strict=False):
         for kind, pairs in zip(("chain", "skip"), n.edges(), strict=True):
             links += [(base + a, base + b) for a, b in pairs]
             factors += [model[kind]] * len(pairs)
+            reach += [2 * len(n.word)] * len(pairs)
     edges = np.asarray(links, np.int64).reshape(-1, 2)
     factor = np.asarray(factors).reshape(-1, LABELS, LABELS)
-    best = messages(node, edges, factor).argmax(1)
+    best = messages(node, edges, factor, reach=np.asarray(reach, np.int64)).argmax(1)
     for d, n in enumerate(found):
         for i in range(len(n.word)):
             kind = int(best[start[d] + i])

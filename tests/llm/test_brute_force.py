@@ -346,6 +346,45 @@ def test_distant_repeats_take_the_label(spark):
     assert all(got[i]["n_added"] == 0 for i in range(150))
 
 
+def test_the_last_of_many_repeats_takes_the_label():
+    # one chain of equal words, the first is evidence: exact beliefs by forward products
+    lift = np.full((pii.LABELS, pii.LABELS), -3.0)
+    np.fill_diagonal(lift, 4.0)
+    lift[pii.OUTSIDE, pii.OUTSIDE] = 0.2
+    for n in (40, 100, 1000):
+        node = np.zeros((n, pii.LABELS))
+        node[0] = -30
+        node[0, 2] = 0
+        edges = np.stack([np.arange(n - 1), np.arange(1, n)], 1)
+        got = pii.messages(node, edges, np.repeat(lift[None], n - 1, 0))
+        assert (got.argmax(1) == 2).all()
+        into = np.exp(node[0])
+        for _ in range(n - 1):
+            into = into @ np.exp(lift)
+            into /= into.sum()
+        assert np.allclose(np.exp(got[-1]), into)
+
+
+def test_messages_that_swing_come_to_an_end():
+    rng = np.random.default_rng(1)
+    edges = rng.integers(0, 40, (80, 2))
+    edges = edges[edges[:, 0] != edges[:, 1]]
+    got = pii.messages(rng.normal(size=(40, 3)), edges, 6 * rng.normal(size=(len(edges), 3, 3)))
+    assert np.isfinite(got).all()
+
+
+def test_a_hundred_repeats_take_the_label():
+    text = "pay 4111111111111111 now" + " and later x4111111111111111y" * 100
+    found = pii.Nodes(text, pii.base_spans(text))
+    assert len(found.word) == 101 and sum(k != pii.OUTSIDE for k in found.label) >= 1
+    found.label = [2] + [pii.OUTSIDE] * 100
+    lift = np.full((pii.LABELS, pii.LABELS), -3.0)
+    np.fill_diagonal(lift, 4.0)
+    weights = np.zeros((1 << pii.BITS, pii.LABELS))
+    [spans] = pii.added_spans([found], {"weights": weights, "chain": np.zeros_like(lift), "skip": lift})
+    assert len(spans) == 100 and all(kind == 2 for _, kind, _ in spans)
+
+
 # --- similarity join ----------------------------------------------------------------------
 
 
