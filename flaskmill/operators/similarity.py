@@ -110,7 +110,8 @@ def similar_topk(
     Both sides need ``row_id`` (unique), ``product``, ``reactants`` and ``rclass``. Copies are
     scored once per distinct signature. The shortlist is exact: two feature sets at or above
     the threshold always share one of their rarest features, so only those are joined on,
-    never the common ones. A row is no neighbour of itself.
+    never the common ones. A row is no neighbour of itself. Rows below ``min_similarity`` are left
+    out whatever their weighted score, so fewer than k neighbours can come back.
     """
     if not 0 < min_similarity <= 1:
         raise ValueError("min_similarity must be in (0, 1]")
