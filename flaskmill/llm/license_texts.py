@@ -1,7 +1,9 @@
-"""Known licences: how notices name them, and the full texts of short ones. Fixed values."""
+"""Known licences: how notices name them, their full texts and header notices. Fixed values."""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 #: SPDX id: names under which notices know the licence.
 NAMES = {
     "MIT": ("MIT License", "the MIT License", "The MIT License (MIT)", "the MIT licence"),
@@ -141,3 +143,91 @@ def known() -> list[tuple[str, str]]:
     out += [(i, form.format(i)) for i in NAMES for form in IDENTIFIER_FORMS]
     out += [(i, f"{title}\n\n{FULL[i]}") for i, titles in TITLES.items() for title in titles]
     return out
+
+
+#: Full texts kept as files, one for each SPDX id.
+FOLDER = Path(__file__).resolve().parent / "license_data"
+#: Known by names and notices only: no full text of these ships with the package.
+NAMES_ONLY = ("AGPL-3.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0")
+#: Texts are also handed on without what follows this line (how to apply the licence).
+END = "END OF TERMS AND CONDITIONS"
+
+THIRD_CLAUSE = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+BSD_3_TITLES = (
+    "", "BSD 3-Clause License", "The 3-Clause BSD License", "The BSD 3-Clause License",
+    "New BSD License", "Modified BSD License",
+)
+
+APACHE_LINES = (
+    'Licensed under the Apache License, Version 2.0 (the "License");',
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+)
+APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    {}://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at {}://mozilla.org/MPL/2.0/."""
+
+#: (SPDX id, name, version) of the licences with the notice of the GNU project.
+GNU = (
+    ("GPL-2.0", "GNU General Public License", "2"),
+    ("GPL-3.0", "GNU General Public License", "3"),
+    ("LGPL-3.0", "GNU Lesser General Public License", "3"),
+    ("AGPL-3.0", "GNU Affero General Public License", "3"),
+)
+#: Punctuation folds alike, so a comma stands for a semicolon too.
+GNU_GRANT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the {} as published by
+the Free Software Foundation{}"""
+GNU_VERSIONS = (
+    ", either version {0} of the License, or\n(at your option) any later version.",
+    ", version {0} of the License.",
+    ", version {0}.",
+)
+GNU_WARRANTY = """
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+{} for more details.
+"""
+GNU_COPY = """
+You should have received a copy of the {}
+along with this program.  If not, see <{}://www.gnu.org/licenses/>."""
+
+
+def more() -> list[tuple[str, str]]:
+    """(SPDX id, text) of the full texts and header notices beyond ``known``."""
+    out = []
+    for path in sorted(FOLDER.glob("*.txt")):
+        text = path.read_text()
+        out.append((path.stem, text))
+        if END in text:
+            out.append((path.stem, text[: text.index(END) + len(END)]))
+            out.append((path.stem, text[: text.index(END)]))
+    two = FULL["BSD-2-Clause"]
+    three = two.replace("THIS SOFTWARE IS", THIRD_CLAUSE + "THIS SOFTWARE IS", 1)
+    out += [("BSD-3-Clause", f"{title}\n\n{three}") for title in BSD_3_TITLES]
+    out += [("Apache-2.0", line) for line in APACHE_LINES]
+    for web in ("http", "https"):
+        out += [("Apache-2.0", APACHE_NOTICE.format(web)), ("MPL-2.0", MPL_NOTICE.format(web))]
+    for i, name, version in GNU:
+        for form in GNU_VERSIONS:
+            grant = GNU_GRANT.format(name, form.format(version))
+            warranty = GNU_WARRANTY.format(name)
+            out += [(i, grant), (i, grant + warranty)]
+            out += [(i, grant + warranty + GNU_COPY.format(name, web)) for web in ("http", "https")]
+    return out

@@ -59,6 +59,33 @@ def test_licenses(spark):
     ]
 
 
+def test_licenses_full_texts_and_header_notices(spark):
+    known, more = licenses.license_texts.known(), licenses.license_texts.more()
+    full = {}
+    for i, text in more:
+        full[i] = max(full.get(i, ""), text, key=len)
+    mit = next(t for i, t in known if i == "MIT" and t.startswith("MIT License"))
+    apache = licenses.license_texts.APACHE_NOTICE.format("http")
+    gpl = next(t for i, t in more if i == "GPL-3.0" and t.startswith("This program") and "copy of the" in t)
+    held = ["Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    assert set(licenses.license_texts.NAMES) == {*held, *licenses.license_texts.FULL, *licenses.license_texts.NAMES_ONLY}
+    texts = [full[i] for i in held]
+    texts.append("#!/bin/sh\n" + "".join(f"# {x}\n" for x in apache.split("\n")) + "echo 1\n")
+    texts.append("intro\n\n" + mit + "\n\nmore\nwords\n")
+    texts.append(gpl.replace("modify\nit under", "modify it\nunder") + "\nint main;")
+    texts += [mit, "x\n" + apache.rsplit("\n", 1)[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = as_rows(licenses.scan(docs), "doc_id", "scope", "line_no", "license")
+    n = len(held)
+    for d, i in enumerate(held):
+        assert (d, "text", 0, i) in got
+    assert sorted(r for r in got if r[0] >= n) == [
+        (n, "line", 2, "Apache-2.0"), (n, "lines", 2, "Apache-2.0"),
+        (n + 1, "lines", 3, "MIT"),
+        (n + 2, "lines", 1, "GPL-3.0"), (n + 3, "text", 0, "MIT"), (n + 4, "line", 2, "Apache-2.0"),
+    ]
+
+
 # --- decontamination ----------------------------------------------------------------------
 
 
