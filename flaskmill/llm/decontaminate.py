@@ -9,9 +9,10 @@ at least, so the index finds every item within the radius of a window. Each such
 verified by weighted Jaccard similarity of the shingle counts, sum of minima over sum of maxima.
 
 Windows reach from the first to the last place where a window can lie; a document shorter than
-an item is one window for it. Items or documents without words match nothing; a text of fewer
-than five words is one shingle, so an item that short is found only in documents that short. Null texts count as empty. Items with equal text give equal
-rows; repeated documents give repeated rows.
+an item is one window for it. Items or documents without words match nothing. An item of fewer
+than five words is one shingle of its own size: its windows match where all words are equal. Null
+texts count as empty. Items with a null id are items too and give a null id. Items with equal text
+give equal rows; repeated documents give repeated rows.
 """
 
 from __future__ import annotations
@@ -53,10 +54,19 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Index:
     """Items of one pass: shingle counts, fingerprints and the blocks of their bits."""
 
-    def __init__(self, ids: list[int], texts: pa.Array, radius: int = RADIUS):
-        self.ids = np.asarray(ids, np.int64)
+    def __init__(self, ids: list[int | None], texts: pa.Array, radius: int = RADIUS):
+        self.ids = np.asarray([0 if i is None else i for i in ids], np.int64)
+        self.no_id = np.asarray([i is None for i in ids], bool)
         word, first = bare_words(texts)
         self.length = np.diff(first)
+        # for each length under a shingle, the items' hashes in order and the items
+        self.short = {}
+        for size in range(1, SHINGLE):
+            items = np.flatnonzero(self.length == size)
+            if len(items):
+                key = window_hashes(word, size)[first[items]]
+                order = np.argsort(key, kind="stable")
+                self.short[size] = (key[order], items[order])
         value, owner = shingles(word, first)
         key = np.lexsort((value, owner))
         value, owner = value[key], owner[key]
@@ -166,15 +176,36 @@ def _document(word: np.ndarray, index: Index, seeds: np.ndarray, least: float):
     return [(item, w, n, s) for item, (s, w, n) in sorted(best.items())]
 
 
+def _short_items(word: np.ndarray, first: np.ndarray, index: Index) -> dict[int, dict[int, tuple[int, int]]]:
+    """text: {item: (first word, words)} of items under a shingle, at their first place in the text."""
+    out: dict[int, dict[int, tuple[int, int]]] = {}
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    for size, (keys, items) in index.short.items():
+        whole = window_hashes(word, size)
+        left, right = np.searchsorted(keys, whole, "left"), np.searchsorted(keys, whole, "right")
+        at = np.flatnonzero(right > left)
+        at = at[at + size <= first[text[at] + 1]]
+        _, once = np.unique(text[at] * (len(keys) + 1) + left[at], return_index=True)
+        for a in at[once].tolist():
+            mine = out.setdefault(int(text[a]), {})
+            for item in items[left[a] : right[a]].tolist():
+                mine[item] = (a - int(first[text[a]]), size)
+    return out
+
+
 def _matches(texts: pa.Array, index: Index, least: float):
     """(row, matches) of the texts that match some item."""
     word, first = bare_words(texts)
+    short = _short_items(word, first, index) if least <= 1 else {}
     value, text = shingles(word, first)
     hit = index.is_known(value)
     start = np.searchsorted(text, np.arange(len(texts) + 1))
-    for i in np.unique(text[hit]).tolist():
+    for i in np.union1d(text[hit], np.asarray(list(short), np.int64)).astype(np.int64).tolist():
         seeds = np.flatnonzero(hit[start[i] : start[i + 1]])
-        found = _document(word[first[i] : first[i + 1]], index, seeds, least)
+        found = _document(word[first[i] : first[i + 1]], index, seeds, least) if len(seeds) else []
+        if i in short:
+            rest = [f for f in found if f[0] not in short[i]]
+            found = sorted(rest + [(item, at, size, 1.0) for item, (at, size) in short[i].items()])
         if found:
             yield i, found
 
@@ -203,7 +234,7 @@ def _pass(docs: DataFrame, index: Index, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         *part.columns,
-                        pa.array(index.ids[np.asarray(item, np.int64)], pa.int64()),
+                        pa.array(index.ids[item := np.asarray(item, np.int64)], pa.int64(), mask=index.no_id[item]),
                         pa.array(w, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.float64()),
                     ],
                     names=[*names, *(f.name for f in FOUND)],
@@ -215,7 +246,7 @@ def _pass(docs: DataFrame, index: Index, least: float) -> DataFrame:
 
 def passes(benchmark: DataFrame, items: int = ITEMS):
     """Indexes of at most ``items`` items each, read one after another in order of their ids."""
-    texts = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where("item_id IS NOT NULL")
+    texts = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = max(1, -(-texts.count() // items))
     for k in range(parts):
         part = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else texts

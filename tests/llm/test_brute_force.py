@@ -149,6 +149,26 @@ def test_leaks(spark):
         assert got == pytest.approx(want) and len(rows) == len(want) > 20
 
 
+def test_short_items_and_items_without_an_id(spark):
+    long = "the item without an id has as many words as this"
+    rows = [(1, "Red, blue"), (2, "red blue"), (3, "one"), (4, "a b c d"), (None, long), (None, "x y z"), (5, None)]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    texts = [
+        "some words stand before red blue and red blue again", "red", "blue red", "one", "w a b c d", "a b c",
+        f"before it {long} after it", "x y z", "p q r s t u x y z", "red", "nothing of it stands in here at all", None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {
+        (0, 1, 4, 2), (0, 2, 4, 2), (3, 3, 0, 1), (4, 4, 1, 4), (6, None, 2, 11), (7, None, 0, 3), (8, None, 6, 3),
+    }
+    for per_pass in (20_000, 2):
+        got = [tuple(r) for r in decontaminate.leaks(docs, bench, items=per_pass).collect()]
+        assert {r[:4] for r in got} == want and len(got) == len(want)
+        assert all(r[4] == 1.0 for r in got)
+    kept = {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()}
+    assert kept == {1, 2, 5, 9, 10, 11}
+
+
 # --- token blocks -------------------------------------------------------------------------
 
 
