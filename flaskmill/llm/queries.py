@@ -9,7 +9,19 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flaskmill.llm import chosen_path, compression, decontaminate, licenses, link_graph, mixing, pii, quality_rules, suffix_arrays, tokens
+from flaskmill.llm import (
+    chat_windows,
+    chosen_path,
+    compression,
+    decontaminate,
+    licenses,
+    link_graph,
+    mixing,
+    pii,
+    quality_rules,
+    suffix_arrays,
+    tokens,
+)
 from flaskmill.llm.texts import staging_dir
 
 
@@ -94,6 +106,11 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return link_graph.judge(table(spark, folder, "pages"))
 
 
+def op13_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = chat_windows.with_control_strings(table(spark, folder, "conversations"))
+    return chat_windows.digests(chat_windows.windows(conversations))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
@@ -105,5 +122,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": op10_url_filter,
+    "op13_chat_windows": op13_chat_windows,
+}
+SQL: dict[str, str] = {
+    "op1_license_scan": licenses.scan_sql(),
+    "op13_chat_windows": chat_windows.digests_sql(),
 }
-SQL: dict[str, str] = {"op1_license_scan": licenses.scan_sql()}
