@@ -13,12 +13,14 @@ from flaskmill.llm import (
     chat_windows,
     chosen_path,
     compression,
+    conversation_repair,
     decontaminate,
     licenses,
     link_graph,
     mixing,
     pii,
     quality_rules,
+    source_divergence,
     suffix_arrays,
     tokens,
 )
@@ -106,6 +108,14 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return link_graph.judge(table(spark, folder, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, folder, "conversations"))
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.audit(table(spark, folder, "documents"))
+
+
 def op13_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     conversations = chat_windows.with_control_strings(table(spark, folder, "conversations"))
     return chat_windows.digests(chat_windows.windows(conversations))
@@ -122,9 +132,12 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_source_divergence": op12_source_divergence,
     "op13_chat_windows": op13_chat_windows,
 }
 SQL: dict[str, str] = {
     "op1_license_scan": licenses.scan_sql(),
+    "op12_source_divergence": source_divergence.audit_sql(),
     "op13_chat_windows": chat_windows.digests_sql(),
 }
