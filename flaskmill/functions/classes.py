@@ -21,9 +21,12 @@ def normalize_class(c) -> Column:
     return chain.otherwise(F.replace(words, F.lit(" "), F.lit("_")))
 
 
-def class_similarity(c, targets) -> Column:
-    """1 for a member of ``targets``, 0.5 for a class of a target's group, else 0."""
-    name, targets = normalize_class(c), as_column(targets)
+def class_similarity(c, targets, normal: bool = False) -> Column:
+    """1 for a member of ``targets``, 0.5 for a class of a target's group, else 0.
+
+    ``normal`` says that the label is a normalised one already.
+    """
+    name, targets = as_column(c) if normal else normalize_class(c), as_column(targets)
     chain = F.when(name.isNull() | targets.isNull(), 0.0)
     chain = chain.when(F.array_contains(targets, name), 1.0)
     for group in CLASS_GROUPS:

@@ -10,19 +10,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flaskmill.constants import FINGERPRINT_BITS
-from flaskmill.functions.text import as_column
+from flaskmill.functions.text import as_column, bind
 
 
 def shingles(text, width: int = 3) -> Column:
     """Distinct runs of ``width`` characters; a shorter text is one shingle."""
     text = as_column(text)
-    # Characters are split once and joined by position: linear in the length of the text.
-    chars = F.split(text, "")
-    runs = F.transform(
-        F.slice(chars, 1, F.greatest(F.size(chars) - (width - 1), F.lit(1))),
-        lambda c, i: F.concat_ws("", c, *[F.get(chars, i + j) for j in range(1, width)]),
-    )
-    return F.when(F.length(text) > 0, F.array_distinct(runs))
+
+    def runs(chars: Column) -> Column:
+        return F.transform(
+            F.slice(chars, 1, F.greatest(F.size(chars) - (width - 1), F.lit(1))),
+            lambda c, i: F.concat_ws("", c, *[F.get(chars, i + j) for j in range(1, width)]),
+        )
+
+    # The text is split once and joined by position: linear in its length.
+    return F.when(F.length(text) > 0, F.array_distinct(bind(F.split(text, ""), runs)))
 
 
 def feature_set(text, width: int = 3, bits: int = FINGERPRINT_BITS) -> Column:
@@ -49,3 +51,37 @@ def tanimoto(a, b) -> Column:
     shared = F.size(F.array_intersect(a, b))
     union = F.size(a) + F.size(b) - shared
     return F.when(union == 0, 0.0).otherwise(shared / union)
+
+
+#: Bits of a packed vector's words.
+WORD = 64
+
+
+def packed(on, bits: int = FINGERPRINT_BITS) -> Column:
+    """The dense form: on-bits as 64-bit words, so that overlaps are counted by the word."""
+    one = F.lit(1).cast("bigint")
+
+    def words(on: Column) -> Column:
+        def word(w: Column) -> Column:
+            inside = F.filter(on, lambda b: F.shiftright(b, WORD.bit_length() - 1) == w)
+            put = lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", one, b - w * WORD))
+            return F.aggregate(inside, F.lit(0).cast("bigint"), put)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(bits // WORD - 1)), word)
+
+    return bind(as_column(on), words)
+
+
+def overlap(a, b, bits: int = FINGERPRINT_BITS) -> Column:
+    """On-bits that two packed vectors share."""
+    a, b = as_column(a), as_column(b)
+    counts = [F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.get(b, F.lit(i)))) for i in range(bits // WORD)]
+    while len(counts) > 1:
+        counts = [x + y for x, y in zip(counts[::2], counts[1::2], strict=True)]
+    return counts[0]
+
+
+def tanimoto_of_counts(shared, a_size, b_size) -> Column:
+    """Shared over combined size, from the sizes; 0 when both are empty."""
+    shared, union = as_column(shared), as_column(a_size) + as_column(b_size) - as_column(shared)
+    return F.when(union == 0, 0.0).otherwise(shared / union)

@@ -1,4 +1,4 @@
-"""Similarity table and exact top-k search over it."""
+"""Similarity table, and top-k search over it: exact, or through an index."""
 
 from __future__ import annotations
 
@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 
 from flaskmill.constants import SIMILARITY_WEIGHTS
 from flaskmill.functions.classes import class_similarity, normalize_class
-from flaskmill.functions.fingerprints import combine_or, feature_set, tanimoto, transform_xor
+from flaskmill.functions.fingerprints import (
+    combine_or,
+    feature_set,
+    overlap,
+    packed,
+    tanimoto_of_counts,
+    transform_xor,
+)
 from flaskmill.functions.text import split_fragments
 from flaskmill.operators.leakage import holdout_keys
 from flaskmill.operators.skew import join_spread
@@ -54,103 +61,116 @@ def _text(name: str):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Rows of a block on either side of a scan: a task holds one block of each.
+BLOCK = 2048
+#: Index: sampled pivots, cells every row is filed under, cells a query looks into.
+MOST_PIVOTS = 4096
+OWN_CELLS = 2
+PROBED_CELLS = 12
+
+
 def _signatures(df: DataFrame, row_id: str) -> DataFrame:
-    """Distinct (product, reactants, class) with features.
+    """Distinct (product, reactants, class) with features, packed for counting.
 
     ``sig`` is the smallest row id among the copies, a short exact name for the joins below;
     ``digest`` finds the signature of a row.
     """
     distinct = df.groupBy(*[_text(c).alias(c) for c in SIGNATURE]).agg(F.min(row_id).alias("sig"))
-    return with_features(distinct).where(F.col("fp").isNotNull()).withColumn("digest", _digest())
+    return (
+        with_features(distinct)
+        .where(F.col("fp").isNotNull())
+        .select(
+            "sig", _digest().alias("digest"), normalize_class("rclass").alias("cls"),
+            F.size("fp").alias("fp_size"), F.size("tx").alias("tx_size"),
+            packed("fp").alias("fp"), packed("tx").alias("tx"),
+        )
+    )
+
+
+def _side(df: DataFrame, name: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{name}_{c}") for c in ("sig", "cls", "fp_size", "tx_size", "fp", "tx")])
+
 
+def _blocks(rows: int) -> int:
+    return max(1, -(-rows // BLOCK))
 
-def _prefix(df: DataFrame, frequency: DataFrame, threshold: float, name: str) -> DataFrame:
-    """The rarest features of every product with their position, enough of them that two
-    products at or above the threshold share at least one."""
-    long = df.select("sig", F.size("fp").alias("size"), F.explode("fp").alias("bit"))
-    # One row per feature, so at most FINGERPRINT_BITS rows.
-    ranked = long.join(F.broadcast(frequency), "bit").groupBy("sig", "size").agg(
-        F.sort_array(F.collect_list(F.struct("freq", "bit"))).alias("bits")
+
+def _scored(pairs: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """q, t, score of pairs that carry both sides' vectors."""
+    w_product, w_transform, w_class = weights
+    same = lambda v: overlap(f"q_{v}", f"t_{v}")
+    pairs = pairs.withColumn("fp_same", same("fp")).withColumn("tx_same", same("tx"))
+    alike = lambda v: tanimoto_of_counts(f"{v}_same", f"t_{v}_size", f"q_{v}_size")
+    targets = F.array_compact(F.array("q_cls"))
+    # Rounded, so that mixes that are equal tie whatever the order of addition.
+    score = F.round(
+        w_product * alike("fp") + w_transform * alike("tx") + w_class * class_similarity("t_cls", targets, normal=True), 9
     )
-    # The nudge keeps a product that is a whole number from being rounded up.
-    keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
-    head = F.slice("bits", 1, keep.cast("int"))
-    return ranked.select(
-        F.col("sig").alias(name),
-        F.col("size").alias(f"{name}_size"),
-        F.posexplode(head).alias(f"{name}_at", "b"),
-    ).select(name, f"{name}_size", f"{name}_at", F.col("b.bit").alias("bit"))
-
-
-def _near_pairs(q: DataFrame, t: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (q, t) that share a rare feature and can still reach the threshold.
-
-    A match at positions i and j leaves at most min(i, j) common features before it and the
-    shorter rest after it; a pair whose bound is below the overlap it needs is no pair, at
-    any of its matches.
+    return pairs.select(F.col("q_sig").alias("q"), F.col("t_sig").alias("t"), score.alias("score"))
+
+
+def _reachable(weights: Sequence[float]):
+    """No score is above this: sets of sizes a <= b are at most a / b alike."""
+    w_product, w_transform, w_class = weights
+
+    def most(v):
+        a, b = F.col(f"q_{v}_size"), F.col(f"t_{v}_size")
+        return F.when(F.greatest(a, b) == 0, 0.0).otherwise(F.least(a, b) / F.greatest(a, b))
+
+    kin = class_similarity("t_cls", F.array_compact(F.array("q_cls")), normal=True)
+    return w_product * most("fp") + w_transform * most("tx") + w_class * kin
+
+
+def _scan(q: DataFrame, t: DataFrame, n_q: int, n_t: int, weights: Sequence[float], floor: str | None = None) -> DataFrame:
+    """Scores of a set of queries against all rows, block by block.
+
+    Each side is sent once for every block of the other, so a task joins two blocks. Pairs whose
+    sizes and classes cannot lift them to the query's ``floor`` are dropped before their vectors
+    are looked at.
     """
-    sizes = F.col("q_size") + F.col("t_size")
-    needed = F.ceil(sizes * threshold / (1 + threshold) - 1e-9)
-    rest = F.least(F.col("q_size") - F.col("q_at"), F.col("t_size") - F.col("t_at"))
-    reachable = F.least(F.col("q_at"), F.col("t_at")) + rest >= needed
-    return q.join(t, "bit").where(reachable).select("q", "t").distinct()
+    q_blocks, t_blocks = _blocks(n_q), _blocks(n_t)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("q_block", block("q_sig", q_blocks)).withColumn("t_block", every(t_blocks))
+    t = t.withColumn("t_block", block("t_sig", t_blocks)).withColumn("q_block", every(q_blocks))
+    pairs = q.join(t, ["q_block", "t_block"])
+    if floor is not None:
+        pairs = pairs.where(_reachable(weights) >= F.col(floor) - 1e-9)
+    return _scored(pairs, weights)
 
 
-def similar_topk(
-    queries: DataFrame,
-    table: DataFrame,
-    k: int,
-    min_similarity: float,
-    weights: Sequence[float] = SIMILARITY_WEIGHTS,
-    row_id: str = "row_id",
-) -> DataFrame:
-    """The k best table rows per query among those whose products are at least
-    ``min_similarity`` alike, by the weighted product, transform and class similarity.
+def _best(scored: DataFrame, n: int, by: str = "q", of: str = "t") -> DataFrame:
+    """The ``n`` best of each; every task keeps ``n`` of its own before anything is moved."""
+    order = W.partitionBy(by).orderBy(F.desc("score"), of)
+    return scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
 
-    Both sides need ``row_id`` (unique), ``product``, ``reactants`` and ``rclass``. Copies are
-    scored once per distinct signature. The shortlist is exact: two feature sets at or above
-    the threshold always share one of their rarest features, so only those are joined on,
-    never the common ones. A row is no neighbour of itself. Rows below ``min_similarity`` are left
-    out whatever their weighted score, so fewer than k neighbours can come back.
+
+def _cells(rows: DataFrame, pivots: DataFrame, n_rows: int, n_pivots: int, n: int, weights) -> DataFrame:
+    """sig, cell: the ``n`` pivots that each row is most alike, the pivots being the queries."""
+    near = _scan(_side(pivots, "q"), _side(rows, "t"), n_pivots, n_rows, weights)
+    return _best(near, n, "t", "q").select(F.col("t").alias("sig"), F.col("q").alias("cell"))
+
+
+def _probed(q_sig: DataFrame, t_sig: DataFrame, n_q: int, n_t: int, weights, probes: int) -> DataFrame:
+    """q, t, score of pairs that meet in a cell of the index.
+
+    Pivots are ``4 sqrt(n)`` signatures, the first by a hash of their id, ``MOST_PIVOTS`` at most.
+    Every row is filed under its ``OWN_CELLS`` best pivots and every query looks into its
+    ``probes`` best ones, so pairs grow with the power 1.5 of the rows and not with their square.
     """
-    if not 0 < min_similarity <= 1:
-        raise ValueError("min_similarity must be in (0, 1]")
-    # The vectors are read by several joins below and are dear to compute: written once.
-    t_sig = stage(_signatures(table, row_id))
-    q_sig = t_sig if queries is table else stage(_signatures(queries, row_id))
-    frequency = t_sig.select(F.explode("fp").alias("bit")).groupBy("bit").agg(F.count("*").alias("freq"))
-    if q_sig is not t_sig:
-        # Every feature of a query needs a place in the order, also one the table lacks.
-        asked_bits = q_sig.select(F.explode("fp").alias("bit")).distinct()
-        frequency = asked_bits.join(frequency, "bit", "full_outer").select(
-            "bit", F.coalesce("freq", F.lit(0)).alias("freq")
-        )
-    q = _prefix(q_sig, frequency, min_similarity, "q")
-    t = _prefix(t_sig, frequency, min_similarity, "t")
-    side = lambda df, s: df.select(
-        F.col("sig").alias(s), F.col("fp").alias(f"{s}_fp"), F.col("tx").alias(f"{s}_tx"),
-        F.col("rclass").alias(f"{s}_class"),
-    )
-    w_product, w_transform, w_class = weights
-    targets = F.array_compact(F.array(normalize_class("q_class")))
-    scored = (
-        _near_pairs(q, t, min_similarity)
-        .join(side(q_sig, "q"), "q")
-        .join(side(t_sig, "t"), "t")
-        .withColumn("product_similarity", tanimoto("t_fp", "q_fp"))
-        .where(F.col("product_similarity") >= min_similarity)
-        .select(
-            "q",
-            "t",
-            # Rounded, so that mixes that are equal tie whatever the order of addition.
-            F.round(
-                w_product * F.col("product_similarity")
-                + w_transform * tanimoto("t_tx", "q_tx")
-                + w_class * class_similarity("t_class", targets),
-                9,
-            ).alias("score"),
-        )
-    )
+    n_pivots = min(n_t, MOST_PIVOTS, int(4 * n_t**0.5) + 1)
+    pivots = stage(t_sig.orderBy(F.xxhash64(F.lit(29), "sig"), "sig").limit(n_pivots))
+    filed = _cells(t_sig, pivots, n_t, n_pivots, OWN_CELLS, weights).select("cell", F.col("sig").alias("t"))
+    asked = _cells(q_sig, pivots, n_q, n_pivots, probes, weights).select("cell", F.col("sig").alias("q"))
+    met = asked.join(filed, "cell").select("q", "t").distinct()
+    met = met.join(_side(q_sig, "q").withColumn("q", F.col("q_sig")), "q")
+    return _scored(met.join(_side(t_sig, "t").withColumn("t", F.col("t_sig")), "t"), weights)
+
+
+def _listed(
+    best: DataFrame, queries: DataFrame, table: DataFrame, q_sig: DataFrame, t_sig: DataFrame, k: int, row_id: str
+) -> DataFrame:
+    """query, rank, neighbour, score of rows, from the ``k + 1`` best signatures of each signature."""
     # Copies tie on the score and are told apart by id: only k + 1 of them can matter, one
     # more than k because the query itself may be among them.
     first = W.partitionBy("digest").orderBy("neighbour")
@@ -161,13 +181,7 @@ def similar_topk(
         .join(t_sig.select("digest", F.col("sig").alias("t")), "digest")
         .select("t", "neighbour")
     )
-    per_signature = W.partitionBy("q").orderBy(F.desc("score"), "neighbour")
-    best = (
-        scored.join(members, "t")
-        .withColumn("_r", F.row_number().over(per_signature))
-        .where(F.col("_r") <= k + 1)
-        .select("q", "neighbour", "score")
-    )
+    best = _best(best.join(members, "t"), k + 1, "q", "neighbour")
     # At most k + 1 per signature, so the list fits in a row and each query reads its own.
     near = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "neighbour")))
     listed = (
@@ -188,3 +202,44 @@ def similar_topk(
             (-F.col("x.minus")).alias("score"),
         )
     )
+
+
+def similar_topk(
+    queries: DataFrame,
+    table: DataFrame,
+    k: int,
+    weights: Sequence[float] = SIMILARITY_WEIGHTS,
+    row_id: str = "row_id",
+    exact: bool = True,
+    probes: int = PROBED_CELLS,
+) -> DataFrame:
+    """The k best table rows per query by the weighted product, transform and class similarity;
+    k rows whenever the table has k others with features.
+
+    Both sides need ``row_id`` (unique), ``product``, ``reactants`` and ``rclass``. Copies are
+    scored once per distinct signature, and a row is no neighbour of itself.
+
+    An index of sampled pivots gives each query a first list. With ``exact`` its last score is a
+    floor: all rows are then scanned in blocks, and a pair is counted out only if its sizes and
+    classes keep it below that floor. The scan is linear in the table for a given set of queries.
+    Without ``exact`` the first list is the result: rows that meet the query in no cell are
+    missed, and the work grows with the power 1.5 of the rows. That is the form for asking
+    about every row of a large table.
+    """
+    # The vectors are read by several joins below and are dear to compute: written once.
+    t_sig = stage(_signatures(table, row_id))
+    q_sig = t_sig if queries is table else stage(_signatures(queries, row_id))
+    n_t, n_q = t_sig.count(), q_sig.count()
+    if not n_t or not n_q:
+        return _listed(
+            t_sig.select(F.col("sig").alias("q"), F.col("sig").alias("t"), F.lit(0.0).alias("score")),
+            queries.limit(0), table, q_sig, t_sig, k, row_id,
+        )
+    best = stage(_best(_probed(q_sig, t_sig, n_q, n_t, weights, probes), k + 1))
+    if exact:
+        # The list may hold the query itself: one more than k signatures are at least k rows.
+        enough = F.when(F.count("*") > k, F.min("score")).otherwise(F.lit(0.0)).alias("floor")
+        floors = best.groupBy(F.col("q").alias("q_sig")).agg(enough)
+        asked = _side(q_sig, "q").join(floors, "q_sig", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+        best = _best(_scan(asked, _side(t_sig, "t"), n_q, n_t, weights, "floor"), k + 1)
+    return _listed(best, queries, table, q_sig, t_sig, k, row_id)

@@ -18,8 +18,8 @@ def _bits(text: str) -> str:
     )
 
 
-ITEMS_SQL = f"""items AS (SELECT page_id AS row_id, url AS product,
-      regexp_replace(url, '^https?://', '') AS reactants,
+ITEMS_SQL = f"""items AS (SELECT page_id AS row_id, html AS product,
+      regexp_replace(html, '<[^>]*>', ' ', 'g') AS reactants,
       CASE regexp_extract(url, '/([a-z][a-z])/', 1) WHEN 'fr' THEN 'oxidation' WHEN 'de' THEN 'reduction'
         WHEN 'en' THEN 'suzuki' ELSE '' END AS rclass FROM pages),
     fp AS (SELECT row_id, product, rclass, {_bits("product")} AS fp,
@@ -30,14 +30,13 @@ ITEMS_SQL = f"""items AS (SELECT page_id AS row_id, url AS product,
 
 
 def items(spark, folder):
-    url = F.col("url")
-    lang = F.regexp_extract(url, "/([a-z][a-z])/", 1)
+    lang = F.regexp_extract("url", "/([a-z][a-z])/", 1)
     rclass = (
         F.when(lang == "fr", "oxidation").when(lang == "de", "reduction").when(lang == "en", "suzuki").otherwise("")
     )
     return heavy_table(spark, folder, "pages").select(
-        F.col("page_id").alias("row_id"), url.alias("product"),
-        F.regexp_replace(url, "^https?://", "").alias("reactants"), rclass.alias("rclass"),
+        F.col("page_id").alias("row_id"), F.col("html").alias("product"),
+        F.regexp_replace("html", "<[^>]*>", " ").alias("reactants"), rclass.alias("rclass"),
     )
 
 
@@ -84,7 +83,9 @@ def similarity_table_report(spark, folder):
     return similarity.similarity_table_report(items(spark, folder), held(spark, folder))
 
 
-K, THRESHOLD = 5, 0.5
+K = 5
+#: The stated set of queries: every row whose id is divisible by this.
+EVERY = 50
 W1, W2, W3 = SIMILARITY_WEIGHTS
 
 
@@ -102,13 +103,19 @@ def _jaccard(a: str, b: str) -> str:
         ({_jaccard("t.tx", "q.tx")}) AS ts,
         CASE WHEN t.cls IS NULL OR q.cls IS NULL THEN 0.0 WHEN t.cls = q.cls THEN 1.0
              WHEN t.cls IN ('oxidation', 'reduction') AND q.cls IN ('oxidation', 'reduction') THEN 0.5 ELSE 0.0 END AS cs
-      FROM named q JOIN named t ON q.row_id <> t.row_id),
-    scored AS (SELECT query, neighbour, {W1}::DOUBLE * ps + {W2}::DOUBLE * ts + {W3}::DOUBLE * cs AS score
-      FROM pairs WHERE ps >= {THRESHOLD})
+      FROM named q JOIN named t ON q.row_id <> t.row_id WHERE q.row_id % {EVERY} = 0),
+    scored AS (SELECT query, neighbour, {W1}::DOUBLE * ps + {W2}::DOUBLE * ts + {W3}::DOUBLE * cs AS score FROM pairs)
     SELECT query, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, neighbour)::INT AS rank,
       neighbour, round(score, 9) AS score
     FROM scored QUALIFY rank <= {K}""",
 )
 def similar_topk(spark, folder):
     rows = items(spark, folder)
-    return similarity.similar_topk(rows, rows, K, THRESHOLD)
+    return similarity.similar_topk(rows.where(F.col("row_id") % EVERY == 0), rows, K)
+
+
+@query("similar_topk_indexed")
+def similar_topk_indexed(spark, folder):
+    """Neighbours of every row, through the index."""
+    rows = items(spark, folder)
+    return similarity.similar_topk(rows, rows, K, exact=False)

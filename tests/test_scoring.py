@@ -280,14 +280,8 @@ def test_set_similarity(one):
     assert one(fingerprints.feature_set("t"), t="") is None
 
 
-def test_similar_topk_against_all_pairs(spark):
-    texts = ["abcdef", "abcdeg", "abcxyz", "hijklm", "abcdef", "hijkln", "bcdefg", "abcdefabcdef"]
-    rows = [(i, texts[i % len(texts)], f"{texts[(i * 3) % 8]}.q", ("heck", "suzuki", "oxidation", "")[i % 4]) for i in range(60)]
-    df = spark.createDataFrame(rows, "row_id long, product string, reactants string, rclass string")
-    got = {}
-    for r in similarity.similar_topk(df, df, 3, 0.3).collect():
-        got.setdefault(r["query"], []).append((r["rank"], r["neighbour"], round(r["score"], 9)))
-    vec = {r["row_id"]: r for r in similarity.with_features(df).collect()}
+def plain_neighbours(vec, queries, k):
+    """{query: best (rank, neighbour, score)} over all pairs."""
     alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if set(a) | set(b) else 0.0
 
     def kin(a, b):
@@ -295,14 +289,77 @@ def test_similar_topk_against_all_pairs(spark):
             return 0.0
         return 1.0 if a == b else 0.5 if {a, b} == {"heck", "suzuki"} else 0.0
 
-    for q in vec.values():
+    out = {}
+    for q in queries:
         scored = []
-        for t in vec.values():
-            if t["row_id"] != q["row_id"] and alike(q["fp"], t["fp"]) >= 0.3:
+        for t in vec:
+            if t["row_id"] != q["row_id"]:
                 s = 0.5 * alike(q["fp"], t["fp"]) + 0.3 * alike(q["tx"], t["tx"]) + 0.2 * kin(q["rclass"], t["rclass"])
                 scored.append((-round(s, 9), t["row_id"]))
-        want = [(i + 1, n, -s) for i, (s, n) in enumerate(sorted(scored)[:3])]
-        assert sorted(got.get(q["row_id"], [])) == want
+        out[q["row_id"]] = [(i + 1, n, -s) for i, (s, n) in enumerate(sorted(scored)[:k])]
+    return out
+
+
+def neighbours(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["neighbour"], round(r["score"], 9)))
+    return {q: sorted(rows) for q, rows in got.items()}
+
+
+def items(spark):
+    texts = ["abcdef", "abcdeg", "abcxyz", "hijklm", "abcdef", "hijkln", "bcdefg", "abcdefabcdef"]
+    rows = [(i, texts[i % len(texts)], f"{texts[(i * 3) % 8]}.q", ("heck", "suzuki", "oxidation", "")[i % 4]) for i in range(60)]
+    rows += [(100, "zz", None, None), (101, "", "a", "heck"), (102, None, None, None), (103, "mno" * 900, "pqr", "heck")]
+    return spark.createDataFrame(rows, "row_id long, product string, reactants string, rclass string")
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_similar_topk_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    df = items(spark)
+    vec = similarity.with_features(df).where("fp IS NOT NULL").collect()
+    assert neighbours(similarity.similar_topk(df, df, 3)) == plain_neighbours(vec, vec, 3)
+    some = df.where("row_id % 7 = 0 OR row_id = 100")
+    asked = [v for v in vec if v["row_id"] % 7 == 0 or v["row_id"] == 100]
+    got = neighbours(similarity.similar_topk(some, df, 70))
+    # More than there are others: all of them come back, unlike ones with score 0 as well.
+    assert got == plain_neighbours(vec, asked, 70)
+    assert all(len(rows) == len(vec) - 1 for rows in got.values())
+
+
+def test_similar_topk_of_empty_tables(spark):
+    df = items(spark)
+    assert similarity.similar_topk(df, df.limit(0), 3).count() == 0
+    assert similarity.similar_topk(df.limit(0), df, 3).count() == 0
+
+
+def test_index_finds_nine_in_ten_with_fewer_pairs(spark):
+    """Against the exact search, on pages; the pairs looked at grow slower than their square."""
+    from flaskmill.plans import similar
+
+    pairs = {}
+    for sf in ("sf0.001", "sf0.01"):
+        rows = similar.items(spark, f"/root/testdata/{sf}")
+        sig = similarity.stage(similarity._signatures(rows, "row_id"))
+        n = sig.count()
+        pairs[n] = similarity._probed(sig, sig, n, n, similarity.SIMILARITY_WEIGHTS, similarity.PROBED_CELLS).count()
+    (small, large), (few, many) = pairs, pairs.values()
+    assert many < (large / small) ** 1.8 * few
+    exact = neighbours(similarity.similar_topk(rows, rows, 5))
+    found = neighbours(similarity.similar_topk(rows, rows, 5, exact=False))
+    assert len(exact) == large and all(len(v) == 5 for v in exact.values())
+    hits = sum(s >= exact[q][-1][2] for q, best in found.items() for _, _, s in best)
+    assert hits >= 0.9 * 5 * large
+
+
+def test_packed_vectors(one):
+    ints = lambda *v: F.array(*[F.lit(x) for x in v]) if v else F.array().cast("array<int>")
+    assert one(fingerprints.packed(ints(0, 63, 64, 2047)))[:2] == [-(2**63) + 1, 1]
+    assert one(fingerprints.packed(ints(2047)))[31] == -(2**63)
+    shared = lambda a, b: one(fingerprints.overlap(fingerprints.packed(a), fingerprints.packed(b)))
+    assert shared(ints(1, 63, 64, 2047), ints(63, 64, 65, 2047)) == 3
+    assert shared(ints(), ints(1)) == 0
 
 
 def test_similarity_table_counts(spark):
