@@ -58,18 +58,31 @@ WORD = 64
 
 
 def packed(on, bits: int = FINGERPRINT_BITS) -> Column:
-    """The dense form: on-bits as 64-bit words, so that overlaps are counted by the word."""
-    one = F.lit(1).cast("bigint")
-
-    def words(on: Column) -> Column:
-        def word(w: Column) -> Column:
-            inside = F.filter(on, lambda b: F.shiftright(b, WORD.bit_length() - 1) == w)
-            put = lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", one, b - w * WORD))
-            return F.aggregate(inside, F.lit(0).cast("bigint"), put)
+    """The dense form of sorted on-bits: 64-bit words, so that overlaps are counted by the word."""
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    start = F.struct(
+        F.array().cast("array<struct<key:int,value:bigint>>").alias("full"), F.lit(0).alias("key"), zero.alias("value")
+    )
+
+    def put(acc: Column, b: Column) -> Column:
+        """Words follow each other, so one word is open at a time."""
+        key = F.shiftright(b, WORD.bit_length() - 1)
+        bit = F.call_function("shiftleft", one, b - key * WORD)
+        same = key == acc["key"]
+        closed = F.array(F.struct(acc["key"].alias("key"), acc["value"].alias("value")))
+        return F.struct(
+            F.when(same, acc["full"]).otherwise(F.concat(acc["full"], closed)).alias("full"),
+            key.alias("key"),
+            F.when(same, acc["value"].bitwiseOR(bit)).otherwise(bit).alias("value"),
+        )
 
-        return F.transform(F.sequence(F.lit(0), F.lit(bits // WORD - 1)), word)
+    def words(acc: Column) -> Column:
+        last = F.array(F.struct(acc["key"].alias("key"), acc["value"].alias("value")))
+        found = F.map_from_entries(F.concat(acc["full"], last))
+        dense = lambda m: F.transform(F.sequence(F.lit(0), F.lit(bits // WORD - 1)), lambda w: F.coalesce(m[w], zero))
+        return bind(found, dense)
 
-    return bind(as_column(on), words)
+    return F.aggregate(as_column(on), start, put, words)
 
 
 def overlap(a, b, bits: int = FINGERPRINT_BITS) -> Column:

@@ -21,7 +21,7 @@ from flaskmill.functions.fingerprints import (
 from flaskmill.functions.text import split_fragments
 from flaskmill.operators.leakage import holdout_keys
 from flaskmill.operators.skew import join_spread
-from flaskmill.session import stage
+from flaskmill.session import balance, stage
 
 SIGNATURE = ("product", "reactants", "rclass")
 
@@ -38,7 +38,8 @@ def build_similarity_table(
     """Rows outside the holdout that have features, with the payload columns and vectors."""
     kept = df.join(holdout_keys([holdout], key), key, "left_anti")
     cols = list(df.columns if payload is None else payload)
-    return with_features(kept).where(F.col("fp").isNotNull()).select(*cols, "fp", "tx")
+    # No features means no text; asked of the text, they are not computed twice.
+    return with_features(kept.where(F.length("product") > 0)).select(*cols, "fp", "tx")
 
 
 def similarity_table_report(df: DataFrame, holdout: DataFrame, key: str = "product") -> DataFrame:
@@ -77,8 +78,8 @@ def _signatures(df: DataFrame, row_id: str) -> DataFrame:
     """
     distinct = df.groupBy(*[_text(c).alias(c) for c in SIGNATURE]).agg(F.min(row_id).alias("sig"))
     return (
-        with_features(distinct)
-        .where(F.col("fp").isNotNull())
+        # Much work a row: a small table must not end up in one task.
+        with_features(balance(stage(distinct.where(F.length("product") > 0))))
         .select(
             "sig", _digest().alias("digest"), normalize_class("rclass").alias("cls"),
             F.size("fp").alias("fp_size"), F.size("tx").alias("tx_size"),
@@ -160,11 +161,11 @@ def _probed(q_sig: DataFrame, t_sig: DataFrame, n_q: int, n_t: int, weights, pro
     """
     n_pivots = min(n_t, MOST_PIVOTS, int(4 * n_t**0.5) + 1)
     pivots = stage(t_sig.orderBy(F.xxhash64(F.lit(29), "sig"), "sig").limit(n_pivots))
-    filed = _cells(t_sig, pivots, n_t, n_pivots, OWN_CELLS, weights).select("cell", F.col("sig").alias("t"))
-    asked = _cells(q_sig, pivots, n_q, n_pivots, probes, weights).select("cell", F.col("sig").alias("q"))
-    met = asked.join(filed, "cell").select("q", "t").distinct()
-    met = met.join(_side(q_sig, "q").withColumn("q", F.col("q_sig")), "q")
-    return _scored(met.join(_side(t_sig, "t").withColumn("t", F.col("t_sig")), "t"), weights)
+    filed = _cells(t_sig, pivots, n_t, n_pivots, OWN_CELLS, weights).withColumnRenamed("sig", "t_sig")
+    asked = _cells(q_sig, pivots, n_q, n_pivots, probes, weights).withColumnRenamed("sig", "q_sig")
+    asked = balance(stage(asked)).join(_side(q_sig, "q"), "q_sig")
+    met = asked.join(filed.join(_side(t_sig, "t"), "t_sig"), "cell")
+    return _scored(met, weights).distinct()
 
 
 def _listed(
@@ -227,8 +228,8 @@ def similar_topk(
     about every row of a large table.
     """
     # The vectors are read by several joins below and are dear to compute: written once.
-    t_sig = stage(_signatures(table, row_id))
-    q_sig = t_sig if queries is table else stage(_signatures(queries, row_id))
+    t_sig = balance(stage(_signatures(table, row_id)))
+    q_sig = t_sig if queries is table else balance(stage(_signatures(queries, row_id)))
     n_t, n_q = t_sig.count(), q_sig.count()
     if not n_t or not n_q:
         return _listed(
