@@ -1,10 +1,16 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-Each source is dealt into shards, each shard is one seeded order of documents and is cut into
-blocks of ``BLOCK_WORDS`` words. Highest quotients ``target / (2 q + 1)`` share the blocks among
-sources, then a source's blocks among its shards, so every shard gets an integer quota. A shard
-takes each of its blocks ``quota // blocks`` times and a seeded choice of ``quota % blocks`` of
-them once more.
+Highest quotients ``target / (2 q + 1)`` share the blocks among sources, then a source's blocks
+among its shards, so every shard gets an integer quota. The block that quotas are counted in is
+one word: with larger ones sources of a few words miss their targets. No quota is above three
+times what there is; its blocks go to the next quotient. A shard is one seeded order of
+documents. It takes all its words ``quota // words`` times, and of the rest whole runs of
+``RUN`` words in a seeded order, the last run in part, so that its words come to the quota.
+
+Both apportionments are sums over tables: the divisor at which rounding ``votes / divisor`` gives
+about the right number of seats is narrowed in a few passes for all groups at once, and only the
+seats at that edge are ranked. The level of the targets is found by sums as well. Small sources
+share tasks, large ones have as many shards as they need.
 
 Null texts have no words, and documents without words are taken 0 times. A null source is a
 source of its own, last in order. Repeated rows are documents of their own. Nothing depends on
@@ -16,138 +22,177 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window as W
 
 from flaskmill.llm.texts import shared_rows
 
-WEIGHTS = (5.0, 2.0, 1.0)
+WEIGHTS = (5, 2, 1)
 MOST = 3
-BLOCK_WORDS = 16
-#: Words (and documents) of a shard, and the most shards of one source: a larger source has
-#: larger shards, never more of them.
+#: Words of a run that a seeded choice takes together.
+RUN = 16
+#: Words (and documents) that a shard holds about.
 SHARD = 1 << 20
-SHARDS = 1 << 16
 SEED = 17
+#: Divisors tried in a pass, and passes: the divisor is known to twelve digits then.
+TRIED, PASSES = 255, 5
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
-    """Seats by highest quotients ``v / (2 q + 1)``; equal quotients go to the earlier entry.
+def apportion(entries: DataFrame) -> DataFrame:
+    """Adds ``quota``: the seats of each group ``of`` by highest quotients ``votes / (2 q + 1)``.
 
-    Rounding ``votes / divisor`` gives the apportionment of some number of seats; from there
-    seats are added or taken back one by one.
+    ``entries``: of (no nulls), name (unique in its group, decides ties), votes, cap, seats (one
+    number in a group). A table that is read several times.
     """
-    import heapq
-
-    votes = np.asarray(votes, float)
-    if seats <= 0 or votes.sum() <= 0:
-        return np.zeros(len(votes), np.int64)
-    q = np.ceil(votes * (seats / votes.sum()) - 0.5).astype(np.int64)
-    q = np.where(votes > 0, np.maximum(q, 0), 0)
-    left = int(seats - q.sum())
-    if left > 0:
-        heap = [(-v / (2 * n + 1), i) for i, (v, n) in enumerate(zip(votes, q, strict=True)) if v > 0]
-        heapq.heapify(heap)
-        for _ in range(left):
-            _, i = heapq.heappop(heap)
-            q[i] += 1
-            heapq.heappush(heap, (-votes[i] / (2 * q[i] + 1), i))
-    elif left < 0:
-        heap = [(v / (2 * n - 1), -i) for i, (v, n) in enumerate(zip(votes, q, strict=True)) if n > 0]
-        heapq.heapify(heap)
-        for _ in range(-left):
-            _, i = heapq.heappop(heap)
-            q[-i] -= 1
-            if q[-i] > 0:
-                heapq.heappush(heap, (votes[-i] / (2 * q[-i] - 1), i))
-    return q
-
-
-def fill(weights: np.ndarray, caps: np.ndarray, total: float) -> np.ndarray:
-    """Share ``total`` by weight; what exceeds a cap is shared again until none is above."""
-    target, free = np.zeros(len(weights)), np.ones(len(weights), bool)
-    while free.any():
-        rest = total - caps[~free].sum()
-        share = rest * weights / weights[free].sum()
-        over = free & (share > caps)
-        if not over.any():
-            target[free] = share[free]
-            break
-        free &= ~over
-    target[~free] = caps[~free]
-    return target
-
-
-def _sources(weights, most, block, shard):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        by_null = pdf["source"].isna()
-        pdf = pdf.assign(_null=by_null, _key=[s.encode() if isinstance(s, str) else b"" for s in pdf["source"]])
-        pdf = pdf.sort_values(["_null", "_key"]).reset_index(drop=True)
-        w = np.asarray([weights[i % len(weights)] for i in range(len(pdf))])
-        size = pdf["source_size"].to_numpy(np.float64)
-        pdf["target"] = fill(w, most * size, size.sum())
-        pdf["quota"] = sainte_lague(pdf["target"].to_numpy(), int(round(size.sum() / block)))
-        n = -(-(pdf["source_size"] + pdf["n_docs"]) // shard)
-        pdf["shards"] = n.clip(1, SHARDS)
-        return pdf[["source", "source_size", "target", "quota", "shards"]]
 
-    return run
+    def rounded(divisor: Column) -> Column:
+        return F.floor(F.least(F.col("cap").cast("double"), F.col("votes") / divisor + 0.5))
+
+    n, total, least = F.count("*"), F.sum("votes"), F.min("votes")
+    some = F.col("seats") - F.col("n") / 2 - 1
+    bounds = (
+        entries.where(F.col("votes") > 0)
+        .groupBy("of", "seats")
+        .agg(n.alias("n"), total.alias("total"), least.alias("least"), F.max("votes").alias("most"))
+        .select(
+            "of",
+            # Rounding gives more seats than there are at the lower divisor, no more at the higher.
+            (F.least(F.col("least") / (F.col("least") + 0.5), F.col("total") / (F.col("seats") + F.col("n") / 2)) / 1000).alias("lo"),
+            F.least(2 * F.col("most") + 1, F.when(some > 0, F.col("total") / some * 1.001)).alias("hi"),
+        )
+    )
+    between = F.transform(
+        F.sequence(F.lit(1), F.lit(TRIED)),
+        lambda c: F.col("lo") * F.pow(F.col("hi") / F.col("lo"), c / F.lit(TRIED + 1)),
+    )
+    for _ in range(PASSES):
+        tried = entries.join(bounds, "of").withColumn("d", F.explode(between))
+        sums = tried.groupBy("of", "seats", "lo", "hi", "d").agg(F.sum(rounded(F.col("d"))).alias("sum"))
+        enough = F.col("sum") <= F.col("seats")
+        bounds = sums.groupBy("of").agg(
+            F.coalesce(F.max(F.when(~enough, F.col("d"))), F.min("lo")).alias("lo"),
+            F.coalesce(F.min(F.when(enough, F.col("d"))), F.max("hi")).alias("hi"),
+        )
+    fixed = shared_rows(
+        entries.join(bounds, "of", "left").withColumns(
+            {
+                # Groups without votes have no bounds and get nothing.
+                "sure": F.when(F.col("hi").isNull(), 0).otherwise(rounded(F.col("hi"))).cast("long"),
+                "most": F.when(F.col("lo").isNull(), 0).otherwise(rounded(F.col("lo"))).cast("long"),
+            }
+        )
+    )
+    given = fixed.groupBy("of").agg(F.sum("sure").alias("given"))
+    best = W.partitionBy("of").orderBy(F.desc("quotient"), "name")
+    edge = (
+        fixed.where(F.col("most") > F.col("sure"))
+        .join(given, "of")
+        .select("of", "name", "votes", (F.col("seats") - F.col("given")).alias("left"), F.explode(F.sequence(F.col("sure") + 1, F.col("most"))).alias("seat"))
+        .withColumn("quotient", F.col("votes") / (2 * F.col("seat") - 1))
+        .withColumn("nth", F.row_number().over(best))
+        .where(F.col("nth") <= F.col("left"))
+        .groupBy("of", "name")
+        .agg(F.count("*").alias("more"))
+    )
+    return (
+        fixed.join(edge, ["of", "name"], "left")
+        .withColumn("quota", F.col("sure") + F.coalesce("more", F.lit(0)))
+        .drop("lo", "hi", "sure", "most", "more")
+    )
 
 
-SOURCES = "source string, source_size long, target double, quota long, shards long"
+def _key(source) -> Column:
+    """A source's name, never null."""
+    return F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), source))
 
 
-def targets(
-    sized: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK_WORDS, shard: int = SHARD
-) -> DataFrame:
-    """source, source_size, target, quota (blocks), shards; one row a source.
+def _weighed(totals: DataFrame, weights) -> DataFrame:
+    """Adds weight: sources by code point, null last, take the weights in turn."""
+    order = [F.col("source").isNull(), F.col("source")]
+    placed = shared_rows(totals.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = placed.groupBy("part").agg(F.count("*").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    nth = F.row_number().over(W.partitionBy("part").orderBy(*order)) - 1 + F.col("ahead")
+    turn = F.array(*[F.lit(float(w)) for w in weights])
+    # A row for each task of the step before.
+    placed = placed.join(F.broadcast(parts), "part")
+    return placed.withColumn("weight", F.get(turn, (nth % len(weights)).cast("int"))).drop("part", "ahead")
 
-    ``sized`` has source and size. Sources rank by code point, null last, and take the weights in
-    turn. All source names, with four numbers each, meet in one task.
-    """
-    totals = sized.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.count("*").alias("n_docs")
-    )
-    return totals.groupBy().applyInPandas(_sources(weights, most, block, shard), SOURCES)
 
+SOURCES = "of string, source_size long, target double, quota long, shards long"
 
-def _shard_quotas(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Quotas of the shards of one source (``SHARDS`` rows at most)."""
-    pdf = pdf.sort_values("shard").reset_index(drop=True)
-    pdf["shard_quota"] = sainte_lague(pdf["blocks"].to_numpy(), int(pdf["quota"].iloc[0]))
-    return pdf[["source", "shard", "blocks", "shard_quota"]]
 
+def targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST, shard: int = SHARD) -> DataFrame:
+    """of (the source's key), source_size, target, quota (words), shards; one row a source.
 
-def _choice(source, shard: int, blocks: int, n: int, seed: int) -> np.ndarray:
-    """A seeded choice of ``n`` of the shard's blocks."""
-    name = b"\x00" if source is None else b"\x01" + source.encode()
-    picked = np.zeros(blocks, bool)
-    picked[np.random.default_rng([seed, zlib.crc32(name), shard]).permutation(blocks)[:n]] = True
-    return picked
+    ``sized`` has source and size. What exceeds a cap is shared again until none is above: the
+    level ``rest / free weights`` only rises, so a few sums find it.
+    """
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    rows = shared_rows(_weighed(totals, weights))
+    cap = F.col("source_size") * most
+    rest, free, capped = 0.0, 1.0, None
+    while True:
+        over = F.lit(False) if capped is None else F.lit(rest) * F.col("weight") / F.lit(free) > cap
+        sums = rows.agg(
+            F.coalesce(F.sum("source_size"), F.lit(0)).alias("total"),
+            F.coalesce(F.sum(F.when(over, cap)), F.lit(0)).alias("caps"),
+            F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0)).alias("free"),
+            F.count_if(over).alias("capped"),
+        ).first()
+        if sums["capped"] == capped:
+            break
+        rest, free, capped = float(sums["total"] - sums["caps"]), sums["free"] or 1.0, sums["capped"]
+    share = F.lit(rest) * F.col("weight") / F.lit(free)
+    entries = shared_rows(
+        rows.select(
+            F.lit("").alias("of"),
+            _key("source").alias("name"),
+            F.when(share > cap, cap.cast("double")).otherwise(share).alias("votes"),
+            cap.alias("cap"),
+            F.lit(sums["total"]).alias("seats"),
+            "source_size",
+            F.ceil((F.col("source_size") + F.col("n_docs")) / shard).alias("shards"),
+        )
+    )
+    return apportion(entries).select(
+        F.col("name").alias("of"), "source_size", F.col("votes").alias("target"), "quota",
+        F.greatest("shards", F.lit(1)).cast("long").alias("shards"),
+    )
 
 
-def _placed(table: pa.Table, block: int, seed: int):
-    """Documents of one shard in order: first and end word, times all are taken, extra blocks."""
+def _placed(table: pa.Table, seed: int):
+    """Documents of one shard in order: first and end word, times all are taken, and how many of
+    the words before each place the seeded runs take."""
     at, tie = table["at"].to_numpy(), table["tie"].to_numpy()
     table = table.take(pa.array(np.lexsort((tie, at))))
     first = lambda name: table[name][0].as_py()
-    blocks, quota = first("blocks"), first("shard_quota")
     size = table["size"].to_numpy().astype(np.int64)
     end = size.cumsum()
-    times, rest = divmod(quota, blocks) if blocks else (0, 0)
-    return table, end - size, end, times, _choice(first("source"), first("shard"), blocks, rest, seed)
-
-
-def _taken(begin, end, times: int, extra: np.ndarray, block: int) -> np.ndarray:
-    before = np.concatenate(([0], np.cumsum(extra))) * block
-    padded = np.concatenate((extra, [False]))
-    until = lambda x: before[x // block] + (x % block) * padded[x // block]
+    words, quota = int(end[-1]), first("shard_quota")
+    times, rest = divmod(quota, words) if words else (0, 0)
+    runs = -(-words // RUN)
+    length = np.full(runs, RUN, np.int64)
+    if runs:
+        length[-1] = words - (runs - 1) * RUN
+    order = np.random.default_rng([seed, zlib.crc32(first("of").encode()), first("shard")]).permutation(runs)
+    upto = np.cumsum(length[order])
+    taken = np.zeros(runs, np.int64)
+    taken[order] = np.clip(rest - (upto - length[order]), 0, length[order])
+    return table, end - size, end, times, taken
+
+
+def _taken(begin, end, times: int, taken: np.ndarray):
+    before = np.concatenate(([0], np.cumsum(taken)))
+    padded = np.concatenate((taken, [0]))
+    until = lambda x: before[x // RUN] + np.minimum(x % RUN, padded[x // RUN])
     return times * (end - begin) + until(end) - until(begin)
 
 
@@ -155,6 +200,7 @@ def sized(docs: DataFrame) -> DataFrame:
     """Adds size (words of the whole text) and the seeded place of each row in its source."""
     return docs.withColumns(
         {
+            "of": _key("source"),
             "size": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"),
             "tie": F.xxhash64(F.coalesce("text", F.lit(""))),
             "at": F.xxhash64(F.lit(SEED), F.col("doc_id")),
@@ -163,40 +209,63 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, narrow: DataFrame, sources: DataFrame) -> DataFrame:
-    """Rows with their shard, its blocks and its quota."""
+    """Rows with their shard, its quota, and the task (``bucket``) that works on it: shards of one
+    source are tasks of their own, whole sources share tasks of about the same size."""
     place = F.pmod(F.xxhash64(F.lit(SEED + 1), "at", "tie"), F.col("shards"))
-    join = lambda df: (
-        df.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-        .drop("of")
-        .withColumn("shard", place)
-    )
-    shards = (
+    join = lambda df: df.join(sources, "of").withColumn("shard", place)
+    entries = shared_rows(
         join(narrow)
-        .groupBy("source", "shard", "quota")
-        .agg(F.ceil(F.sum("size") / BLOCK_WORDS).cast("long").alias("blocks"))
-        .groupBy("source")
-        .applyInPandas(_shard_quotas, "source string, shard long, blocks long, shard_quota long")
-        .select(F.col("source").alias("of"), F.col("shard").alias("of_shard"), "blocks", "shard_quota")
+        .groupBy("of", "shard", "quota")
+        .agg(F.sum("size").alias("words"))
+        .select(
+            "of",
+            F.col("shard").alias("name"),
+            F.col("words").cast("double").alias("votes"),
+            (F.col("words") * MOST).alias("cap"),
+            F.col("quota").alias("seats"),
+        )
     )
-    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("of_shard"))
-    return join(rows).join(shards, same).drop("of", "of_shard")
+    shards = apportion(entries).select("of", F.col("name").alias("shard"), F.col("quota").alias("shard_quota"))
+    small = sources.where(F.col("shards") == 1)
+    total = small.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"]
+    together = F.pmod(F.xxhash64(F.lit(SEED), "of"), F.lit(1 + total // SHARD))
+    bucket = F.when(F.col("shards") > 1, F.xxhash64("of", "shard")).otherwise(together)
+    return join(rows).join(shards, ["of", "shard"]).withColumn("bucket", bucket)
 
 
-NARROW = ["doc_id", "source", "size", "tie", "at"]
+def _by_shard(table: pa.Table):
+    """The shards of one task, one after another."""
+    table = table.combine_chunks()
+    if not len(table):
+        return
+    of, shard = table["of"].combine_chunks().dictionary_encode(), table["shard"].to_numpy()
+    unit = of.indices.to_numpy()
+    order = np.lexsort((shard, unit))
+    edge = np.flatnonzero((np.diff(unit[order]) != 0) | (np.diff(shard[order]) != 0)) + 1
+    for rows in np.split(order, edge):
+        yield table.take(pa.array(rows))
+
+
+NARROW = ["doc_id", "of", "size", "tie", "at"]
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target (of the source), taken (words, repeats counted)."""
-    narrow = shared_rows(sized(docs.select("doc_id", "text", "source")).select(*NARROW))
+    narrow = shared_rows(sized(docs.select("doc_id", "text", "source")).select(*NARROW, "source"))
     sources = shared_rows(targets(narrow))
+    schema = T._parse_datatype_string("doc_id long, size long, source_size long, target double, taken long")
+    arrow = to_arrow_schema(schema)
 
     def run(table: pa.Table) -> pa.Table:
-        table, begin, end, times, extra = _placed(table, BLOCK_WORDS, SEED)
-        taken = pa.array(_taken(begin, end, times, extra, BLOCK_WORDS))
-        return table.select(["doc_id", "size", "source_size", "target"]).append_column("taken", taken)
+        out = []
+        for one in _by_shard(table):
+            one, begin, end, times, taken = _placed(one, SEED)
+            words = pa.array(_taken(begin, end, times, taken))
+            out.append(one.select(["doc_id", "size", "source_size", "target"]).append_column("taken", words))
+        return pa.concat_tables(out).cast(arrow)
 
-    schema = "doc_id long, size long, source_size long, target double, taken long"
-    return _dealt(narrow, narrow, sources).groupBy("source", "shard").applyInArrow(run, schema)
+    narrow = narrow.drop("source")
+    return _dealt(narrow, narrow, sources).groupBy("bucket").applyInArrow(run, schema)
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -209,14 +278,14 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each time a document is taken whole
-    and one for the words that extra blocks take of it; n_chars counts the row's own text.
+    and one for the words that seeded runs take of it; n_chars counts the row's own text.
 
     Documents of which nothing is taken are left out. Columns may have any names except those
     with a leading ``_mix_``, which this step adds for a while.
     """
     names = docs.columns
     kept = {n: f"_mix_{i}" for i, n in enumerate(names)}
-    narrow = shared_rows(sized(docs.select("doc_id", "text", "source")).select(*NARROW))
+    narrow = shared_rows(sized(docs.select("doc_id", "text", "source")).select(*NARROW, "source"))
     sources = shared_rows(targets(narrow))
     others = [n for n in names if n not in ("doc_id", "source")]
     renamed = [F.col(f"`{n}`").alias(kept[n]) for n in others]
@@ -224,17 +293,20 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     fields = list(docs.schema.fields)
     arrow = to_arrow_schema(T.StructType(fields))
 
-    def run(table: pa.Table) -> pa.Table:
-        table, begin, end, times, extra = _placed(table, BLOCK_WORDS, SEED)
+    def taken_rows(table: pa.Table) -> pa.Table:
+        table, begin, end, times, taken = _placed(table, SEED)
         take, texts = [], []
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], extra.view(np.int8), [0]))))
-        runs = edge.reshape(-1, 2) * BLOCK_WORDS
+        run = np.flatnonzero(taken)
+        low, high = run * RUN, run * RUN + taken[run]
+        # Neighbouring runs that are taken whole are one span.
+        joined = np.flatnonzero(low[1:] == high[:-1])
+        low, high = np.delete(low, joined + 1), np.delete(high, joined)
         for i in np.flatnonzero(end > begin).tolist():
             text = table[kept["text"]][i].as_py()
             take += [i] * times
             texts += [text] * times
             spans = []
-            for a, b in runs[np.searchsorted(runs[:, 1], begin[i], "right") :]:
+            for a, b in zip(low[(k := np.searchsorted(high, begin[i], "right")) :], high[k:], strict=True):
                 if a >= end[i]:
                     break
                 spans.append((max(a, begin[i]) - begin[i], min(b, end[i]) - begin[i]))
@@ -248,5 +320,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
             columns["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
         return pa.table(columns).cast(arrow)
 
-    dealt = _dealt(wide, narrow, sources)
-    return dealt.groupBy("source", "shard").applyInArrow(run, T.StructType(fields))
+    def run(table: pa.Table) -> pa.Table:
+        return pa.concat_tables([taken_rows(one) for one in _by_shard(table)])
+
+    dealt = _dealt(wide, narrow.drop("source"), sources)
+    return dealt.groupBy("bucket").applyInArrow(run, T.StructType(fields))
