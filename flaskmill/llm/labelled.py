@@ -17,16 +17,17 @@ def held_out(doc_id="doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def drawn(df: DataFrame, at: Column, rows: int, wanted: int) -> DataFrame:
-    """The rows with the lowest ``at`` (a long that is spread evenly), ``wanted`` of ``rows``.
+def drawn(df: DataFrame, at: Column, key: str, rows: int, wanted: int) -> DataFrame:
+    """The rows with the lowest ``at`` (a long that is spread evenly), ``wanted`` of about ``rows``
+    different ``key``s; equal places go by the key, and a key counts once.
 
     A cut that about twice as many pass comes before the exact one, so what the last step sees
-    does not grow with the input.
+    does not grow with the input, and neither does it shrink: places have 64 bits.
     """
     share = min(1.0, (2 * wanted + 100) / max(1, rows))
-    df = df.withColumn("at", F.shiftrightunsigned(at, 33))
-    some = df.where(F.col("at") < int(share * 2**31) + 1).dropDuplicates(["at"])
-    return some.orderBy("at").limit(wanted)
+    low, high = -(1 << 63), (1 << 63) - 1
+    some = df.withColumn("at", at).where(F.col("at") <= min(high, low + int(share * (1 << 64))))
+    return some.dropDuplicates([key]).orderBy("at", key).limit(wanted)
 
 
 def sample(
@@ -49,7 +50,7 @@ def sample(
     share = ((count["good"] or 0) + 1) / (count["n"] + 2)
     good = count["good"] or 0
     parts = [
-        drawn(one.where(F.col("label") == k), F.xxhash64("doc_id"), rows, per_label)
+        drawn(one.where(F.col("label") == k), F.xxhash64("doc_id"), "doc_id", rows, per_label)
         for k, rows in ((0, count["n"] - good), (1, good))
     ]
     chosen = parts[0].unionByName(parts[1])

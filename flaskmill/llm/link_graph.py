@@ -6,7 +6,8 @@ personalised PageRank from trusted hosts along links, and the same from blocked
 the links (who links to a blocked host is distrusted). Seeds come from the rules: a host is
 trusted if allowing rules decide more of its pages than blocking ones, and blocked if blocking
 rules decide more than half of all its pages. A host is blocked if its distrust, as a share of
-both scores, is over the threshold; a host that neither reaches is allowed.
+both scores, is over the threshold; a host that neither reaches is allowed. Rounds go on until
+the hosts reached and their scores settle, however far a host is from the seeds.
 
 Links are absolute links in the pages' html, and the step between a host and the domain above
 it. A null url, and one without ``://``, has an empty host and path: no rule fits, and it is
@@ -29,9 +30,10 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 DAMPING = 0.85
-ROUNDS = 20
-#: Rounds between two tables that cut the lineage.
+#: Rounds between two tables that cut the lineage; rounds end with a block that reached no new
+#: host and moved the scores of a kind (which sum to 1) by no more than SETTLED in all.
 CUT = 5
+SETTLED = 1e-3
 BLOCK_OVER = 0.5
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 
@@ -100,26 +102,40 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """kind, host, score: personalised PageRank of each kind.
+def _moved(before: DataFrame, after: DataFrame) -> tuple[int, float]:
+    """New hosts, and the change of the scores in all."""
+    both = after.join(before.withColumnRenamed("score", "was"), ["kind", "host"], "left")
+    change = F.abs(F.col("score") - F.coalesce("was", F.lit(0.0)))
+    row = both.agg(F.count_if(F.col("was").isNull()).alias("new"), F.sum(change).alias("change")).first()
+    return row["new"], row["change"] or 0.0
+
+
+def propagate(seeds: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """kind, host, score: personalised PageRank of each kind, until it settles or for ``rounds``.
 
     ``seeds``: kind, host, share (shares of a kind sum to 1). ``links``: kind, src, dst, share
     (shares of a source sum to 1). What reaches a host without links ends there. Each round is a
     join with one row per host and a sum that is combined before its shuffle.
     """
     start = seeds.select("kind", "host", (F.col("share") * (1 - DAMPING)).alias("score"))
-    score = start
-    for turn in range(1, rounds + 1):
-        moved = score.withColumnRenamed("host", "src").join(links, ["kind", "src"])
-        gain = F.col("score") * F.col("share") * DAMPING
-        moved = moved.select("kind", F.col("dst").alias("host"), gain.alias("score"))
-        score = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if turn % CUT == 0 and turn < rounds:
-            score = shared_rows(score)
+    score, turn = start, 0
+    while rounds is None or turn < rounds:
+        before = score
+        for _ in range(CUT if rounds is None else min(CUT, rounds - turn)):
+            moved = score.withColumnRenamed("host", "src").join(links, ["kind", "src"])
+            gain = F.col("score") * F.col("share") * DAMPING
+            moved = moved.select("kind", F.col("dst").alias("host"), gain.alias("score"))
+            score = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+            turn += 1
+        score = shared_rows(score)
+        if rounds is None:
+            new, change = _moved(before, score)
+            if not new and change <= SETTLED:
+                break
     return score
 
 
-def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, block_over: float = BLOCK_OVER) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, rounds: int | None = None, block_over: float = BLOCK_OVER) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust (of the host) of every page.
 
     ``rules``: (verdict, host, path) rows, or a DataFrame verdict, rule_host, rule_path.

@@ -217,7 +217,9 @@ def fit(docs: DataFrame, documents: int = FIT_DOCUMENTS) -> dict:
     some = docs.select(text.alias("text")).where(
         F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= FIT_BYTES)
     )
-    rows = labelled.drawn(some, F.xxhash64("text"), some.count(), documents).collect()
+    place = F.xxhash64("text")
+    different = some.agg(F.approx_count_distinct(place).alias("n")).first()["n"]
+    rows = labelled.drawn(some, place, "text", different, documents).collect()
     feature, label = [], []
     pair, skips = np.ones((LABELS, LABELS)), np.ones((LABELS, LABELS))
     for row in dict.fromkeys(r["text"] for r in rows):

@@ -276,6 +276,21 @@ def test_held_out_labels_are_not_used(marked):
     assert as_rows(compression.classify(marked, marked), "doc_id", "score") == as_rows(compression.classify(marked, flipped), "doc_id", "score")
 
 
+# --- fitting samples ----------------------------------------------------------------------
+
+
+def test_samples_do_not_shrink_as_tables_grow(spark):
+    """3,100 of 10^10 rows lie under the cut: all that are wanted come back, the lowest first."""
+    step = 2**64 // 10**10
+    rows = [(i, -(2**63) + i * step) for i in range(3100)] + [(10**6, 5), (10**6 + 1, 2**63 - 1)]
+    df = spark.createDataFrame(rows, "doc_id long, place long").repartition(5)
+    got = labelled.drawn(df, F.col("place"), "doc_id", 10**10, 1500).collect()
+    assert [r["doc_id"] for r in got] == list(range(1500))
+    tied = spark.createDataFrame([(i % 40, 0) for i in range(400)], "doc_id long, place long")
+    got = labelled.drawn(tied, F.col("place"), "doc_id", 40, 30).collect()
+    assert [r["doc_id"] for r in got] == list(range(30))
+
+
 # --- mixing -------------------------------------------------------------------------------
 
 
@@ -629,3 +644,13 @@ def test_links_spread_trust_and_distrust(spark):
     assert got == {
         1: ("com/", "allow"), 2: (None, "allow"), 3: ("example.com/en/", "block"), 4: (None, "block"), 5: (None, "allow"),
     }
+
+
+def test_a_long_chain_of_links_is_followed_to_its_end(spark):
+    """Thirty hosts, each linking to the next, the last to a blocked one: all are distrusted."""
+    link = lambda h: f'<a href="http://{h}/">x</a>'
+    rows = [(i, f"http://h{i}.org/", link(f"h{i + 1}.org" if i < 29 else "evil.example.com")) for i in range(30)]
+    rows += [(30, "http://evil.example.com/en/", "x" * 2_500_000), (31, "http://far.org/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in link_graph.judge(pages).collect()}
+    assert got == {i: "block" for i in range(31)} | {31: "allow"}
