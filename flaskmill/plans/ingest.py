@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flaskmill.functions.nested import find_first_path, measurement_unit, numeric_value
@@ -396,3 +397,45 @@ def stream_append(spark, folder):
         stream = spark.readStream.schema(schema).parquet(path)
         streams.stream_append(stream, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return spark.read.schema(schema).parquet(f"{out}/rows")
+
+
+def _list_files(docs, path: str, head, tail: str = "") -> None:
+    """A file for each source: ``head``, the source's documents as a JSON list, ``tail``."""
+    order = W.partitionBy("bucket").orderBy("doc_id")
+    nth, n = F.row_number().over(order), F.count("*").over(W.partitionBy("bucket"))
+    rows = docs.select(F.coalesce("source", F.lit("none")).alias("bucket"), "doc_id", "source", "text")
+    rows = rows.withColumns({"nth": nth, "n": n})
+    value = F.concat(
+        F.when(F.col("nth") == 1, head).otherwise(F.lit(",")),
+        F.to_json(F.struct("doc_id", "source", "text")),
+        F.when(F.col("nth") == F.col("n"), F.lit("]" + tail)).otherwise(F.lit("")),
+    )
+    lines = rows.repartition("bucket").sortWithinPartitions("bucket", "nth").select("bucket", value.alias("value"))
+    lines.write.partitionBy("bucket").text(path)
+
+
+LISTED = "doc_id BIGINT, source STRING, text STRING"
+
+
+@query("json_arrays", "SELECT doc_id, source, md5(text) AS digest, length(text) AS n_chars FROM documents")
+def json_arrays(spark, folder):
+    """Whole documents through files that are one JSON array each."""
+    path = scratch(spark)
+    _list_files(table(spark, folder, "documents"), path, F.lit("["))
+    back = readers.read_records(spark, path, LISTED, form="array")
+    return back.select("doc_id", "source", F.md5("text").alias("digest"), F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query(
+    "read_runs",
+    """SELECT doc_id, source, md5(text) AS digest,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS record_pos FROM documents""",
+)
+def read_runs(spark, folder):
+    """Run files of one JSON value each: a summary, then the records in their order."""
+    path = scratch(spark)
+    summary = F.concat(F.lit('{"summary":'), F.to_json(F.struct("bucket", "n")), F.lit(',"records":['))
+    docs = table(spark, folder, "documents")
+    _list_files(docs, path, summary, "}")
+    back = readers.read_run(spark, path, f"records ARRAY<STRUCT<{LISTED}>>", several=True)
+    return back.select("doc_id", "source", F.md5("text").alias("digest"), "record_pos")

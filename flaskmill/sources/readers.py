@@ -10,9 +10,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flaskmill.functions.text import is_present
 from flaskmill.session import stage
+from flaskmill.sources.json_split import json_records
 from flaskmill.sources.schemas import REACTION_DOCUMENT
 
 LOGGER = logging.getLogger("flaskmill.sources")
@@ -29,14 +31,27 @@ def read_records(
 
     ``form`` is ``array`` or ``lines``; left out, the first non-blank character decides. A line
     that cannot be read is an error; in the mode PERMISSIVE it is a row of nulls, with its text in
-    ``_corrupt_record`` where the schema has that column.
+    ``_corrupt_record`` where the schema has that column. Large files are read by several tasks
+    in both forms.
     """
     if form is None:
         lines = spark.read.text(path).where(F.trim("value") != "")
         first = lines.select(F.substring(F.ltrim("value"), 1, 1).alias("c")).head()
         form = "array" if first is not None and first["c"] == "[" else "lines"
+    if form == "array":
+        return _parsed(json_records(spark, path), schema, mode).select("r.*")
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.option("mode", mode).json(path, multiLine=form == "array")
+    return reader.option("mode", mode).json(path)
+
+
+def _parsed(texts: DataFrame, schema: str | None, mode: str = "FAILFAST") -> DataFrame:
+    """Adds ``r``: the record in ``value``, by the schema given or found in all of them."""
+    if schema is None:
+        spark = texts.sparkSession
+        strings = getattr(texts.select("value")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        schema = DataFrame(spark._jsparkSession.read().json(strings), spark).schema
+    options = {"mode": mode, "columnNameOfCorruptRecord": "_corrupt_record"}
+    return texts.withColumn("r", F.from_json("value", schema, options))
 
 
 def read_exclusion_keys(spark: SparkSession, paths: Sequence[str], key: str) -> DataFrame:
@@ -126,15 +141,20 @@ def read_role_lookup(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_run(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Records of one run file with their position; an error for a folder of several.
+def read_run(spark: SparkSession, path: str, schema: str | None = None, several: bool = False) -> DataFrame:
+    """Records of a run file with their position.
 
-    The format keeps a whole run in one JSON value, which one task has to read. Large runs are
-    kept as ``write_run`` leaves them.
+    The format keeps a whole run in one JSON value; it is read by as many tasks as the file has
+    splits. A folder of several is an error unless ``several`` says that it is meant: positions are
+    then those of each file, which ``run`` names. ``schema`` is the whole file's.
     """
-    reader = spark.read.schema(schema) if schema else spark.read
-    whole = reader.option("mode", "FAILFAST").json(path, multiLine=True)
-    if len(whole.inputFiles()) > 1:
+    texts = json_records(spark, path, "records")
+    if not several and texts.select("file_path").distinct().limit(2).count() > 1:
         raise ValueError(f"{path} holds several runs, whose positions would repeat")
-    records = whole.select(F.posexplode("records").alias("record_pos", "r"))
-    return records.select(F.col("record_pos").cast("bigint").alias("record_pos"), "r.*")
+    if schema is not None:
+        record = T.StructType.fromDDL(schema)["records"].dataType.elementType
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in record.fields)
+    names = ["file_name"] if several else []
+    return _parsed(texts, schema).select(
+        *[F.col(n).alias("run") for n in names], F.col("position").alias("record_pos"), "r.*"
+    )

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from flaskmill.functions import nested as N
@@ -158,6 +159,58 @@ def test_read_run(spark, tmp_path):
         (0, "P", ["a", "b"]), (1, "Q", [])]
 
 
+AWKWARD = [
+    {"product_smiles": 'a "quoted" }{][ \\" }', "other": 1}, {}, {"product_smiles": "\\\\", "other": 2},
+    {"product_smiles": "}", "deep": {"list": [{"records": [{"product_smiles": "no"}]}, "]"]}},
+    {"product_smiles": "né\n\t\\", "other": None}, {"product_smiles": ",{", "other": 5}, {"product_smiles": "\"records\": [{"},
+]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_large_arrays_and_runs_are_read_by_several_tasks(spark, tmp_path, indent):
+    """Texts full of brackets, nested lists, lists of the same name; splits of 700 bytes."""
+    from flaskmill.sources import json_split
+
+    rows = [r | {"n": i} for i, r in enumerate(AWKWARD * 40)]
+    run = {"summary": {"records": [{"n": -1}], "x": "\"records\": ["}, "first": "{", "records": rows, "after": [{"n": -2}], "z": 1}
+    (tmp_path / "rows.json").write_text(json.dumps(rows, indent=indent))
+    (tmp_path / "run.json").write_text(json.dumps(run, indent=indent, ensure_ascii=False) + "\n" * (indent or 0))
+    schema = "product_smiles string, other int, n long"
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        pieces = json_split._pieces(spark, str(tmp_path / "rows.json"))
+        assert pieces.select("file_block_start").distinct().count() > 5
+        want = [(r.get("product_smiles"), r.get("other"), r["n"]) for r in rows]
+        got = readers.read_records(spark, str(tmp_path / "rows.json"), schema, form="array")
+        assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == want
+        found = readers.read_run(spark, str(tmp_path / "run.json"), f"records array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")
+        assert sorted(map(tuple, found.collect())) == [(i, *w) for i, w in enumerate(want)]
+        inferred = readers.read_run(spark, str(tmp_path / "run.json")).orderBy("record_pos").collect()
+        assert [(r["record_pos"], r["n"]) for r in inferred] == [(i, i) for i in range(len(rows))]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_broken_and_empty_arrays(spark, tmp_path):
+    read = lambda text, form="array": (
+        (tmp_path / "x.json").write_text(text), readers.read_records(spark, str(tmp_path / "x.json"), "a int", form).sort("a").collect()
+    )[1]
+    assert read(" [ \n ]\n") == []
+    assert [r["a"] for r in read('[{"a": 1}, {"a": 2}]')] == [1, 2]
+    for broken in ('[{"a": 1},', '[{"a": "x}]', '{"a": 1}', '[{"a": 1}, 7, {"a": 2}]'):
+        with pytest.raises(Exception):  # noqa: B017
+            read(broken)
+    for cut in ('{"records": [{"a": 1}]', '{"other": [{"a": 1}]}'):
+        (tmp_path / "y.json").write_text(cut)
+        with pytest.raises(ValueError):
+            readers.read_run(spark, str(tmp_path / "y.json"), "records array<struct<a:int>>")
+    (tmp_path / "y.json").write_text('{"records": [ ], "b": [{"a": 1}]}')
+    assert readers.read_run(spark, str(tmp_path / "y.json"), "records array<struct<a:int>>").count() == 0
+
+
 def test_role_lookup(spark, tmp_path):
     (tmp_path / "roles.tsv").write_text('smiles\trole\tname\nCC"O\treagent\tx\n\nCI\tsubstrate\ty\nB\tother\tz\n')
     got = readers.read_role_lookup(spark, str(tmp_path / "roles.tsv"))
