@@ -1,6 +1,7 @@
 """Searches through nested columns, resolved against the declared schema at plan time.
 
-Each search becomes one coalesce over the paths the schema offers, in schema order.
+Each search becomes one coalesce over the paths the schema offers, in schema order. The searches
+through JSON text need no schema and keep the order of each document.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flaskmill.constants import NUMERIC_KEYS, TEMPERATURE_KEYS
+from flaskmill.functions.text import as_column, bind
 
 NUMBER_TEXT = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|nan|inf|infinity)\s*$"
 
@@ -147,3 +149,74 @@ def temperature_to_celsius(col: Column, dtype: T.DataType) -> Column:
 
 def find_temperature(col: Column, dtype: T.DataType) -> Column:
     return find_first_path(col, dtype, TEMPERATURE_KEYS, temperature_to_celsius)
+
+
+#: Levels that a search through JSON text goes down.
+JSON_DEPTH = 8
+
+
+def _json_items(text: Column) -> Column:
+    """key (null in arrays), value (a text's own characters, else JSON) and kind of the members
+    of an object or array, as they stand in the document; null for anything else."""
+
+    def members(rows: Column, types: Column, key: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
+        kind = lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+        return F.zip_with(
+            rows, types, lambda r, v: F.struct(key(r).alias("key"), value(r).alias("value"), kind(v).alias("kind"))
+        )
+
+    read = lambda kind: F.from_json(text, kind)
+    return F.coalesce(
+        members(
+            F.map_entries(read("MAP<STRING, STRING>")), F.map_values(read("MAP<STRING, VARIANT>")),
+            lambda r: r["key"], lambda r: r["value"],
+        ),
+        members(read("ARRAY<STRING>"), read("ARRAY<VARIANT>"), lambda r: F.lit(None).cast("string"), lambda r: r),
+    )
+
+
+def find_first_json(text, keys: Collection[str], depth: int = JSON_DEPTH) -> Column:
+    """struct(value, kind) of the first filled value under one of ``keys`` in a JSON text, in the
+    order of the document; null when there is none.
+
+    A level's own keys come before anything deeper; null, empty text and empty arrays are passed
+    over, an empty object is not. ``kind`` is the JSON value's type. Needs no schema; members more
+    than ``depth`` levels down are not looked at, and text that is no JSON has none.
+    """
+
+    def filled(x: Column) -> Column:
+        nothing = (x["kind"] == "STRING") & (x["value"] == "") | (x["kind"] == "ARRAY") & (x["value"] == "[]")
+        return (x["kind"] != "VOID") & ~nothing
+
+    def walk(level: Column, left: int) -> Column:
+        def look(items: Column) -> Column:
+            own = F.get(F.filter(items, lambda x: x["key"].isin(*keys) & filled(x)), F.lit(0))
+            own = F.when(own.isNotNull(), F.struct(own["value"].alias("value"), own["kind"].alias("kind")))
+            if not left:
+                return own
+            nested = F.filter(items, lambda x: x["kind"].isin("OBJECT", "ARRAY"))
+            return F.coalesce(own, _first_in_array(nested, lambda x: walk(x["value"], left - 1)))
+
+        return bind(_json_items(level), look)
+
+    return walk(as_column(text), depth - 1)
+
+
+def json_number(hit: Column, depth: int = 4) -> Column:
+    """A found JSON value as a number: a number, a numeric text, or the first readable number key
+    of an object."""
+    value, kind = hit["value"], hit["kind"]
+    plain = (
+        F.when(kind == "STRING", F.when(F.rlike(value, F.lit(NUMBER_TEXT)), value.try_cast("double")))
+        .when(kind == "BOOLEAN", (value == "true").cast("double"))
+        .when(~kind.isin("OBJECT", "ARRAY", "VOID"), value.try_cast("double"))
+    )
+    if not depth:
+        return plain
+    names = F.array(*[F.lit(k) for k in NUMERIC_KEYS])
+
+    def member(items: Column) -> Column:
+        child = lambda k: F.get(F.filter(items, lambda x: x["key"] == k), F.lit(0))
+        return _first_in_array(names, lambda k: json_number(child(k), depth - 1))
+
+    return F.coalesce(plain, F.when(kind == "OBJECT", bind(_json_items(value), member)))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flaskmill.functions.nested import find_first_path, measurement_unit, numeric_value
+from flaskmill.functions.nested import find_first_json, find_first_path, json_number, measurement_unit, numeric_value
 from flaskmill.operators import extract
 from flaskmill.plans import chemistry, curation
 from flaskmill.plans import fixtures as X
@@ -198,6 +198,28 @@ def nested_search(spark, folder):
     )
 
 
+@query(
+    "nested_search_json",
+    """SELECT o_orderkey, (CASE WHEN o_custkey % 4 IN (0, 2) THEN o_orderkey ELSE o_custkey END)::DOUBLE AS value,
+    CASE o_custkey % 4 WHEN 2 THEN 'STRING' WHEN 3 THEN 'BIGINT' ELSE 'OBJECT' END AS kind FROM orders""",
+)
+def nested_search_json(spark, folder):
+    """Documents that name the same fields in different orders."""
+    first, second = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    a = F.concat(F.lit('"a":{"setpoint":{"unit":"c","value":'), second, F.lit("}}"))
+    b = F.concat(F.lit('"b":{"setpoint":{"units":"K","mean":"'), first, F.lit('"}}'))
+    way = F.col("o_custkey") % 4
+    doc = (
+        F.when(way == 0, F.concat(F.lit("{"), b, F.lit(","), a, F.lit("}")))
+        .when(way == 1, F.concat(F.lit("{"), a, F.lit(","), b, F.lit("}")))
+        .when(way == 2, F.concat(F.lit('{"a":{"setpoint":[]},"b":[{"x":1},{"setpoint":"'), first, F.lit('"}]}')))
+        .otherwise(F.concat(F.lit('{"a":[[{"deep":{"setpoint":'), second, F.lit('}}]],"setpoint":""}')))
+    )
+    docs = heavy_table(spark, folder, "orders").select("o_orderkey", doc.alias("doc"))
+    hits = docs.select("o_orderkey", find_first_json("doc", {"setpoint"}).alias("hit"))
+    return hits.select("o_orderkey", json_number(F.col("hit")).alias("value"), F.col("hit.kind").alias("kind"))
+
+
 @query(
     "role_matches",
     f"""WITH {COMPONENTS_SQL} SELECT role, count(*) AS n, bool_or(upper(role) LIKE '%SOLVENT%' OR upper(role) LIKE '%CATALYST%') AS hit

@@ -159,6 +159,38 @@ def test_read_run(spark, tmp_path):
         (0, "P", ["a", "b"]), (1, "Q", [])]
 
 
+def plain_search(data, keys):
+    """The first filled value in document order: own keys, then the values one after another."""
+    inside = list(data.values()) if isinstance(data, dict) else data if isinstance(data, list) else []
+    own = [v for k, v in data.items() if k in keys] if isinstance(data, dict) else []
+    hits = [v for v in own if v not in (None, "", [])]
+    for v in inside if not hits else []:
+        hits += [h for h in [plain_search(v, keys)] if h not in (None, "", [])]
+    return hits[0] if hits else None
+
+
+def test_json_search_keeps_document_order(spark):
+    docs = [
+        {"z": {"t": 5}, "a": {"t": 6}}, {"a": {"t": 6}, "z": {"t": 5}}, {"z": {"q": {"t": 1}}, "t": 0}, {"t": "", "b": [{"t": []}, {"t": "x"}]},
+        {"b": {"u": None}, "u": "[]", "t": {}}, {"u": [], "t": None}, [[{"t": False}], {"t": 2}], {"t": [1, {"u": 2}]}, 7, {}, [], {"t": 1.5, "u": 2},
+        {"b": 1, "c": [{"k": {"t": {"value": None, "mean": "3e2"}}}]}, {"u": {"value": {"lower": 4}}}, {"t": "é \"}"},
+    ]
+    rows = [(i, json.dumps(d)) for i, d in enumerate(docs)] + [(99, "no json {"), (100, None)]
+    df = spark.createDataFrame(rows, "i int, doc string")
+    hit = N.find_first_json("doc", {"t", "u"})
+    got = {r["i"]: r for r in df.select("i", hit.alias("hit"), N.json_number(hit).alias("n")).collect()}
+    for i, d in enumerate(docs):
+        want, found = plain_search(d, {"t", "u"}), got[i]["hit"]
+        if want is None:
+            assert found is None, d
+        elif isinstance(want, str):
+            assert (found["value"], found["kind"]) == (want, "STRING")
+        else:
+            assert json.loads(found["value"]) == want, d
+    assert [got[i]["n"] for i in (0, 1, 2, 3, 6, 11, 12, 13)] == [5.0, 6.0, 0.0, None, 0.0, 1.5, 300.0, 4.0]
+    assert got[99]["hit"] is None and got[100]["hit"] is None
+
+
 AWKWARD = [
     {"product_smiles": 'a "quoted" }{][ \\" }', "other": 1}, {}, {"product_smiles": "\\\\", "other": 2},
     {"product_smiles": "}", "deep": {"list": [{"records": [{"product_smiles": "no"}]}, "]"]}},
