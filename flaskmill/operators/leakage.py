@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flaskmill.operators.dedupe import dedupe_first, first_per
@@ -170,5 +171,64 @@ def answer_coverage(test: DataFrame, train: DataFrame, keys: dict[str, Column])
 
 
 def mix(a: DataFrame, b: DataFrame, seed, key: str, into: str = "shuffle_key") -> DataFrame:
-    """Both tables together with the seeded order as a column; sort by it when writing."""
+    """Both tables together with the seeded order as a column; ``write_mixed`` writes in it."""
     return a.unionByName(b, allowMissingColumns=True).withColumn(into, seeded_hash(seed, key))
+
+
+#: Bits of the filter in front of a large holdout: 16 MB however many keys there are.
+FILTER_BITS = 1 << 27
+
+
+def _place(key: str, bits: int) -> Column:
+    """A key's bit; functions of bitmaps count from 1."""
+    return F.pmod(F.xxhash64(F.lit(5), key), F.lit(bits)) + 1
+
+
+def key_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """One bit for every key, as bitmaps of 4 KB: a table of ``bits / 8`` bytes at most."""
+    placed = keys.where(is_present(key)).select(_place(key, bits).alias("place"))
+    return placed.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap")
+    )
+
+
+def exclude_large(df: DataFrame, holdout: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows whose key is not held out, for a holdout that is too large to broadcast.
+
+    Only the bitmaps are broadcast, which have a size of their own. Rows whose bit is not set are
+    kept where they stand; only the others, the rows held out and one in ``bits / keys`` of the
+    rest, are moved to be compared with the keys. ``df`` is read twice. A null key stays.
+    """
+    place = _place(key, bits)
+    bit = F.bitmap_bit_position(place)
+    maps = F.broadcast(key_filter(holdout.select(key), key, bits).withColumnRenamed("bucket", "_bucket"))
+    marked = df.withColumn("_bucket", F.when(is_present(key), F.bitmap_bucket_number(place)))
+    marked = marked.join(maps.withColumnRenamed("bitmap", "_bitmap"), "_bucket", "left")
+    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0, F.lit(False))
+    sure = marked.where(~hit).select(*df.columns)
+    rest = marked.where(hit).select(*df.columns)
+    return sure.unionByName(exclude_holdout(rest, holdout, key))
+
+
+def write_mixed(df: DataFrame, path: str, by: str = "shuffle_key", files: int | None = None) -> None:
+    """Rows in the order of ``by`` over all files, which are read in the order of their names.
+
+    Files are ranges of ``by``, sorted inside; a seeded hash makes them of about equal size. Equal
+    places go by the rest of the row, so reruns agree.
+    """
+    columns = [by, F.xxhash64(*[c for c in df.columns if c != by])]
+    ranges = df.repartitionByRange(files, *columns) if files else df.repartitionByRange(*columns)
+    ranges.sortWithinPartitions(*columns).write.mode("overwrite").parquet(path)
+
+
+def read_mixed(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of ``write_mixed`` with their ``place``, counted over files and rows alone."""
+    rows = spark.read.parquet(path).select(
+        "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    )
+    files = rows.groupBy("_file").agg(F.count("*").alias("_n"))  # a row for each file
+    before = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
+    files = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = rows.join(F.broadcast(files), "_file")
+    return placed.withColumn("place", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from flaskmill.functions.molecules import canonical_text
@@ -15,7 +17,7 @@ from flaskmill.functions.text import (
 from flaskmill.operators import dedupe, leakage, ordering, roles, sampling
 from flaskmill.plans import fixtures as X
 from flaskmill.plans.registry import query, table
-from flaskmill.session import stage
+from flaskmill.session import stage, staging_dir
 
 SEED = 42
 HOLDOUT_SEED = 7
@@ -193,6 +195,30 @@ def mix(spark, folder):
     return leakage.mix(a, b, SEED, "doc_key")
 
 
+@query(
+    "mix_written",
+    f"""SELECT doc_key, row_number() OVER (ORDER BY {h('doc_key')}, doc_key) - 1 AS place FROM (
+      SELECT 'd' || doc_id AS doc_key FROM documents UNION ALL SELECT 'b' || item_id FROM benchmark)""",
+)
+def mix_written(spark, folder):
+    """The mix as files whose names and rows are in the seeded order."""
+    path = f"{staging_dir(spark).rstrip('/')}/flaskmill-{uuid.uuid4().hex}"
+    leakage.write_mixed(mix(spark, folder), path)
+    return leakage.read_mixed(spark, path).select("doc_key", "place")
+
+
+@query(
+    "exclude_large",
+    """WITH held AS (SELECT text FROM documents WHERE lang = 'fr' AND text <> '' UNION SELECT text FROM benchmark)
+    SELECT doc_id, lang FROM documents WHERE text IS NULL OR text NOT IN (SELECT text FROM held WHERE text IS NOT NULL)""",
+)
+def exclude_large(spark, folder):
+    """Documents whose whole text is neither a French document's nor a benchmark item's."""
+    docs = table(spark, folder, "documents")
+    held = docs.where("lang = 'fr'").select("text").unionByName(table(spark, folder, "benchmark").select("text"))
+    return leakage.exclude_large(docs.select("doc_id", "lang", "text"), held, "text").select("doc_id", "lang")
+
+
 # --- sampling -----------------------------------------------------------------------------
 
 

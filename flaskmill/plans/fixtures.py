@@ -1,7 +1,8 @@
 """Reaction-like inputs derived from the given tables, in Spark and as SQL.
 
-Order and line numbers pick structure texts from a short palette, so that records, ranked
-candidates and condition fields grow with the tables.
+Order and line numbers pick structure texts from a palette or spell a chain of their own, so that
+records, ranked candidates, condition fields and the different texts among them grow with the
+tables.
 """
 
 from __future__ import annotations
@@ -29,12 +30,23 @@ def sql_list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
+#: One number in so many has a text of its own, so that there are more of them in larger tables.
+OWN_TEXT = 5
+ATOMS = "CNOS"
+
+
 def species(number: Column) -> Column:
-    return F.get(literal_array(SPECIES), (number % len(SPECIES)).cast("int"))
+    """A structure text: mostly of the palette, else a chain that spells the number."""
+    named = F.get(literal_array(SPECIES), (number % len(SPECIES)).cast("int"))
+    turn = F.floor(number / OWN_TEXT).cast("string")
+    chain = F.translate(F.conv(turn, 10, len(ATOMS)), "0123", ATOMS)
+    return F.when(number % OWN_TEXT == 0, chain).otherwise(named)
 
 
 def sql_species(number: str) -> str:
-    return f"{sql_list(SPECIES)}[1 + ({number}) % {len(SPECIES)}]"
+    chain = f"translate(to_base(({number}) // {OWN_TEXT}, {len(ATOMS)}), '0123', '{ATOMS}')"
+    named = f"{sql_list(SPECIES)}[1 + ({number}) % {len(SPECIES)}]"
+    return f"(CASE WHEN ({number}) % {OWN_TEXT} = 0 THEN {chain} ELSE {named} END)"
 
 
 # --- ranked runs --------------------------------------------------------------------------
@@ -60,9 +72,8 @@ RECORDS_SQL = f"""recs AS (
 
 
 def run(spark: SparkSession, folder: str, by: str = "l_partkey") -> DataFrame:
-    """Records with their candidates: one per line number, the set of its species.
-
-    A record holds at most 7 x 16 distinct picks, whatever the number of its lines.
+    """Records with their candidates: one per line number, the set of its lines' species. The tables
+    repeat line numbers within an order; such lines are one candidate of several species.
     """
     lines = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("record_pos"),

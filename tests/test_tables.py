@@ -138,6 +138,35 @@ def test_bernoulli_share(spark):
     assert abs(share - 0.25) < 0.02
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_large_holdouts_are_filtered_before_the_join(spark, bits):
+    """Exact whatever the filter lets through; only the filter is broadcast."""
+    rows = [(i, None if i % 50 == 0 else "" if i % 50 == 1 else f"t{i % 3000}" if i % 3 else "hot") for i in range(9000)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    for held in ({f"t{i}" for i in range(0, 4000, 7)}, {"hot", ""}, set()):
+        keys = spark.createDataFrame([(t,) for t in held] + [(None,)], "text string")
+        got = [r["id"] for r in leakage.exclude_large(df, keys, "text", bits).collect()]
+        assert sorted(got) == [i for i, t in rows if not t or t not in held]
+    plan = leakage.exclude_large(df, keys, "text", bits)._jdf.queryExecution().toString()
+    assert "bitmap_construct_agg" in plan
+    assert leakage.key_filter(keys.limit(0), "text").count() == 0
+
+
+def test_a_mix_is_written_in_seeded_order(spark, tmp_path):
+    a = spark.createDataFrame([(f"a{i}", i) for i in range(500)], "key string, n int")
+    b = spark.createDataFrame([(f"b{i}",) for i in range(300)] * 2, "key string")
+    path = str(tmp_path / "mixed")
+    leakage.write_mixed(leakage.mix(a, b, 9, "key"), path, files=6)
+    files = sorted(p for p in (tmp_path / "mixed").glob("part-*.parquet"))
+    assert len(files) == 6
+    keys = [r["key"] for f in files for r in spark.read.parquet(str(f)).collect()]
+    want = sorted([f"a{i}" for i in range(500)] + [f"b{i}" for i in range(300)] * 2, key=lambda k: digest(9, k))
+    assert keys == want
+    rows = leakage.read_mixed(spark, path).collect()
+    assert [r["key"] for r in sorted(rows, key=lambda r: r["place"])] == want
+    assert sorted(r["place"] for r in rows) == list(range(1100))
+
+
 def test_exclusion_keeps_null_keys(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id long, k string")
     held = spark.createDataFrame([("a",), (None,), ("",)], "k string")
