@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flaskmill.functions import rendering as R
@@ -157,6 +158,22 @@ def length_buckets(spark, folder):
     return laid_out.select("doc_id", F.length("text").alias("chars"))
 
 
+@query("length_layout", "SELECT true AS in_order, true AS even, count(*) AS n, sum(length(text)) AS chars FROM documents")
+def length_layout(spark, folder):
+    """Partitions of the layout hold lengths that follow each other, and about as many rows each."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    laid_out = audits.length_buckets(docs, "text", "doc_id", 16)
+    parts = laid_out.groupBy(F.spark_partition_id().alias("part")).agg(
+        F.min(F.length("text")).alias("low"), F.max(F.length("text")).alias("high"),
+        F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"),
+    )
+    follows = F.col("low") >= F.coalesce(F.lag("high").over(W.orderBy("part")), F.col("low"))
+    return parts.withColumn("follows", follows).agg(  # a row for each partition
+        F.bool_and("follows").alias("in_order"), (F.max("n") * 16 <= 3 * F.sum("n")).alias("even"),
+        F.sum("n").alias("n"), F.sum("chars").alias("chars"),
+    )
+
+
 @query(
     "parse_generation_compact",
     f"""WITH {X.PARSED_SQL} SELECT rid AS record_pos, rank::INT AS rank, ok,

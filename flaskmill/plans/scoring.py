@@ -591,6 +591,38 @@ for _field in ("reagents", "solvent", "catalyst"):
     _top1_query(_field)
 
 
+SLICE = "temperature_celsius"
+
+
+def _whole_summary_sql() -> str:
+    """The summary, the first answers and the slices side by side."""
+    strings = ("reagents", "solvent", "catalyst")
+    parts = [f"({_summary_sql()})"]
+    for field in strings:
+        names = topk.TOP1_SCORES if field != "reagents" else topk.TOP1_SCORES[:4]
+        cols = ", ".join(f"{field}_{n} AS {field}_top1_{n}" for n in names)
+        parts.append(f"(SELECT {cols} FROM ({_top1_sql(field)}))")
+        slices = []
+        for name, part in (("with", f"{SLICE} IS NOT NULL"), ("without", f"{SLICE} IS NULL")):
+            slices.append(f"count(*) FILTER (stated AND {part}) AS {field}_{name}_{SLICE}_count")
+            for k in KS:
+                hit = f"avg(coalesce(rank <= {k}, false)::INT) FILTER (stated AND {part})"
+                slices.append(f"{hit} AS {field}_{name}_{SLICE}_top{k}")
+        parts.append(
+            f"({X.CONDITIONS_SQL}, {_string_ctes(field)} SELECT {', '.join(slices)} FROM {field}_s JOIN recs USING (rid))"
+        )
+    silent = ", ".join(f"avg((coalesce({f}, '') IN ('', 'not specified'))::INT) AS {f}_always_silent" for f in strings)
+    parts.append(f"(WITH {X.CONDITION_RECORDS_SQL} SELECT {silent} FROM recs)")
+    return "SELECT * FROM " + ", ".join(parts)
+
+
+@query("score_summary_sliced", _whole_summary_sql())
+def score_summary_sliced(spark, folder):
+    return topk.score_summary(
+        X.condition_run(spark, folder), ("reagents", "solvent", "catalyst"), NUMBERS, first_answer=True, slice_by=SLICE
+    )
+
+
 @query(
     "slice_rate",
     f"""{X.CONDITIONS_SQL}, {_string_ctes("solvent")}
