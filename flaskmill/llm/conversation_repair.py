@@ -542,3 +542,85 @@ def repair(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
             zero("n_repaired"),
         )
     )
+
+
+def repair_sql() -> str:
+    """The same in DuckDB, one row of every conversation at a time, backward and then forward."""
+    spaces = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
+    late = f"CASE WHEN r.truncated THEN {TRUNCATED} ELSE 0 END"
+    own = []
+    for state in (START, SYSTEM, USER, ASSISTANT):
+        ways = [f"{DELETE} + b[{state + 1}]", f"CASE WHEN NOT gone THEN late + {REROLE} + b[{NEXT[state] + 1}] END"]
+        for initial, kept in ((i, KEPT[c][state]) for i, c in CLASSES.items()):
+            if kept is not None:
+                ways.append(f"CASE WHEN NOT gone AND initial = '{initial}' THEN late + {KEEP} + b[{kept + 1}] END")
+        own.append(f"least({', '.join(ways)})")
+    may_keep = " OR ".join(
+        f"(initial = '{i}' AND state = {s} AND late + {KEEP} + after[{KEPT[c][s] + 1}] = before[{s + 1}])"
+        for i, c in CLASSES.items() for s in range(4) if KEPT[c][s] is not None
+    )
+    to_next = f"[{', '.join(map(str, NEXT))}][state + 1]"
+    kept_to = "CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END"
+    crc = (
+        "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(place, ''), lambda c: ascii(c)::BIGINT)), "
+        "lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), "
+        "lambda x, n: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+    )
+    return rf"""
+WITH RECURSIVE given AS (
+  SELECT coalesce(conv_id::VARCHAR, '') AS conv, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations
+), faulty AS (SELECT *, {crc} % 20 AS fault FROM given),
+damaged AS (
+  SELECT conv, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM faulty
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+    left(role, 1) AS initial, rtrim(text, {spaces}) AS bare FROM damaged
+), rows AS (
+  SELECT *, bare = '' AS blank, bare <> '' AND right(bare, 1) NOT IN ('.', '!', '?') AS open,
+    row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again,
+    lag(initial) OVER (PARTITION BY conv ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS illegal FROM ordered
+), flagged AS (
+  SELECT *, blank OR again AS gone, open AND NOT again AS truncated FROM rows
+), costs AS (
+  SELECT conv, max(i) + 1 AS i, {list(END)}::BIGINT[] AS b FROM flagged GROUP BY conv
+  UNION ALL
+  SELECT conv, i, [least(c[1], {INSERT} + u), least(c[2], {INSERT} + u), u, least(c[4], {INSERT} + c[3])]
+  FROM (SELECT conv, i, c, least(c[3], {INSERT} + c[4]) AS u FROM (
+    SELECT conv, i, [{", ".join(own)}] AS c FROM (
+      SELECT r.conv, r.i, r.gone, r.initial, {late} AS late, costs.b
+      FROM costs JOIN flagged r ON r.conv = costs.conv AND r.i = costs.i - 1)))
+), walk AS (
+  SELECT conv, 1::BIGINT AS i, 0 AS state, '' AS audit, []::VARCHAR[] AS lines FROM flagged GROUP BY conv
+  UNION ALL
+  SELECT conv, CASE WHEN edit = 'I' THEN i ELSE i + 1 END,
+    CASE edit WHEN 'D' THEN state WHEN 'K' THEN {kept_to} ELSE {to_next} END, audit || edit,
+    CASE edit WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text)
+      ELSE list_append(lines, CASE {to_next} WHEN 2 THEN 'user' ELSE 'assistant' END || ':'
+        || CASE edit WHEN 'I' THEN '' ELSE text END) END
+  FROM (
+    SELECT *, CASE
+      WHEN after IS NOT NULL AND {DELETE} + after[state + 1] = before[state + 1] THEN 'D'
+      WHEN before[state + 1] = {INSERT} + before[{to_next} + 1] THEN 'I'
+      WHEN NOT gone AND ({may_keep}) THEN 'K' WHEN after IS NOT NULL THEN 'R' END AS edit
+    FROM (
+      SELECT w.*, r.gone, r.initial, r.role, r.text, {late} AS late, here.b AS before, behind.b AS after
+      FROM walk w JOIN costs here ON here.conv = w.conv AND here.i = w.i
+      LEFT JOIN flagged r ON r.conv = w.conv AND r.i = w.i
+      LEFT JOIN costs behind ON behind.conv = w.conv AND behind.i = w.i + 1))
+  WHERE edit IS NOT NULL
+), finished AS (
+  SELECT conv, audit, lines FROM walk QUALIFY row_number() OVER (PARTITION BY conv ORDER BY length(audit) DESC) = 1
+), counts AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (illegal) AS illegal FROM flagged GROUP BY conv
+)
+SELECT g.conv_id, {", ".join(f"coalesce({n}, 0)::BIGINT AS {n}" for n in ("gaps", *COUNTED))},
+  coalesce(b[1], 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256, coalesce(len(lines), 0)::BIGINT AS n_repaired
+FROM (SELECT DISTINCT conv, conv_id FROM given) g LEFT JOIN counts USING (conv) LEFT JOIN finished USING (conv)
+LEFT JOIN costs ON costs.conv = g.conv AND costs.i = 1
+"""

@@ -138,6 +138,7 @@ QUERIES = {
 }
 SQL: dict[str, str] = {
     "op1_license_scan": licenses.scan_sql(),
+    "op11_conversation_repair": conversation_repair.repair_sql(),
     "op12_source_divergence": source_divergence.audit_sql(),
     "op13_chat_windows": chat_windows.digests_sql(),
 }
