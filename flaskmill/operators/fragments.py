@@ -24,6 +24,21 @@ def explode_fragments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(F.explode(F.concat(*arrays)).alias("raw"))
 
 
+def describe_fragments(fragments: DataFrame) -> DataFrame:
+    """Lexical attributes of the fragments in ``raw``; other columns stay."""
+    text = M.normalize_token("raw")
+    return fragments.withColumns(
+        {
+            "canonical": M.canonical_text("raw"),
+            "has_carbon": M.has_carbon(text),
+            "net_charge": M.net_charge(text),
+            "heavy_atoms": M.heavy_atoms(text),
+            "elements": as_set(M.elements_of(text)),
+            "is_auxiliary": M.is_auxiliary("raw"),
+        }
+    ).withColumn("is_valid", F.col("canonical").isNotNull())
+
+
 def build_fragment_dim(
     sources: Sequence[tuple[DataFrame, Sequence[str]]], canonical_map: DataFrame | None = None
 ) -> DataFrame:
@@ -34,17 +49,7 @@ def build_fragment_dim(
     """
     every = reduce(DataFrame.unionByName, [explode_fragments(df, cols) for df, cols in sources])
     counted = every.groupBy("raw").agg(F.count("*").alias("occurrences"))
-    text = M.normalize_token("raw")
-    dim = counted.select(
-        "raw",
-        "occurrences",
-        M.canonical_text("raw").alias("canonical"),
-        M.has_carbon(text).alias("has_carbon"),
-        M.net_charge(text).alias("net_charge"),
-        M.heavy_atoms(text).alias("heavy_atoms"),
-        as_set(M.elements_of(text)).alias("elements"),
-        M.is_auxiliary("raw").alias("is_auxiliary"),
-    )
+    dim = describe_fragments(counted).drop("is_valid")
     if canonical_map is not None:
         # One row per distinct fragment on both sides: nothing to skew.
         named = canonical_map.select("raw", F.col("canonical").alias("_given"), F.lit(True).alias("_listed"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from flaskmill.constants import (
@@ -19,8 +21,10 @@ from flaskmill.functions import classes
 from flaskmill.functions import molecules as M
 from flaskmill.functions import text as T
 from flaskmill.operators import extract, fragments, roles
+from flaskmill.operators.fragment_store import FragmentStore
 from flaskmill.plans import fixtures as X
 from flaskmill.plans.registry import heavy_table, query, table
+from flaskmill.session import staging_dir
 
 
 # --- fragments ----------------------------------------------------------------------------
@@ -46,6 +50,28 @@ def fragment_dim(spark, folder):
     )
 
 
+@query(
+    "fragment_store",
+    f"""WITH {X.dim_sql(LINE_SPECIES)}
+    SELECT raw, occurrences, coalesce(canonical, '') AS canonical, canonical IS NOT NULL AS is_valid,
+      list_contains(elements, 'C') AS has_carbon, charge::BIGINT AS net_charge,
+      len(list_filter(elements, lambda e: e <> 'H')) AS heavy_atoms,
+      array_to_string(list_sort(list_distinct(elements)), ',') AS elements, aux AS is_auxiliary
+    FROM dim""",
+)
+def fragment_store(spark, folder):
+    """The dimension added up from the parts of a table."""
+    lines = table(spark, folder, "lineitem").select("l_returnflag", X.species(F.col("l_partkey")).alias("s"))
+    name = uuid.uuid4().hex
+    store = FragmentStore(spark, f"fragments_{name}", f"{staging_dir(spark).rstrip('/')}/store-{name}", 16)
+    for flag in ("A", "N", "R"):
+        store.add(flag, [(lines.where(F.col("l_returnflag") == flag), ["s"])])
+    return store.table().withColumns(
+        {"canonical": F.coalesce("canonical", F.lit("")), "elements": F.array_join("elements", ",")}
+    )
+
+
+
 def _two_sets(sets: str) -> str:
     return f"""SELECT rid AS record_pos, coalesce(set_text, 'none') AS full_set,
       coalesce(core_text, 'none') AS core_set FROM {sets}"""

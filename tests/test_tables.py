@@ -138,6 +138,37 @@ def test_bernoulli_share(spark):
     assert abs(share - 0.25) < 0.02
 
 
+def test_a_fragment_store_grows_by_new_fragments_only(spark, tmp_path):
+    from flaskmill.operators import fragments
+    from flaskmill.operators.fragment_store import FragmentStore
+
+    make = lambda *texts: spark.createDataFrame([(t,) for t in texts], "s string")
+    first, second = make("CCO.[Na+]", "CCO", "x?", None), make("CCO.CN", "", "CN.[Pd]", "CN")
+    store = FragmentStore(spark, "grown", str(tmp_path), 8)
+    assert store.add("one", [(first, ["s"])])
+    assert not store.add("one", [(first, ["s"])])
+    # The stored side is read bucket by bucket: the only exchanges are those that count the new part.
+    counted = fragments.explode_fragments(second, ["s"]).groupBy("raw").count()
+    plan = store.unseen(counted.select("raw"))._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if "FileScan" in line and "grown" in line)
+    assert "Bucketed: true" in lines[at]
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    above, inner = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < inner:
+            above, inner = [*above, line], depth(line)
+        if "SortMergeJoin" in line:
+            break
+    assert "SortMergeJoin" in above[-1] and not any("Exchange" in line for line in above), plan
+    assert sorted(r["raw"] for r in store.unseen(counted.select("raw")).collect()) == ["CN", "[Pd]"]
+    assert store.add("two", [(second, ["s"])])
+    whole = fragments.build_fragment_dim([(first.unionByName(second), ["s"])])
+    row = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    assert row(store.table()) == row(whole.select(*store.table().columns))
+    assert spark.table("grown").count() == spark.table("grown").select("raw").distinct().count()
+
+
 @pytest.mark.parametrize("bits", [64, 1 << 20])
 def test_large_holdouts_are_filtered_before_the_join(spark, bits):
     """Exact whatever the filter lets through; only the filter is broadcast."""
