@@ -74,9 +74,35 @@ def _sums(key: np.ndarray, *values: np.ndarray):
 
 
 COUNTS = "lang string, source string, term string, n long, docs long"
+#: Counted rows that a task adds up before it hands them on.
+MERGED = 1 << 20
+
+
+def _merged(tables):
+    """Equal (lang, source, term) of a task as one row, as far as memory is set aside for it."""
+    names = ["lang", "source", "term"]
+    waiting, rows = [], 0
+    for table in tables:
+        waiting.append(table)
+        rows += len(table)
+        if rows > MERGED:
+            one = pa.concat_tables(waiting).group_by(names, use_threads=False)
+            one = one.aggregate([("n", "sum"), ("docs", "sum")]).rename_columns([*names, "n", "docs"])
+            waiting, rows = [one], len(one)
+            if rows > MERGED // 2:
+                yield from one.to_batches(max_chunksize=1 << 16)
+                waiting, rows = [], 0
+    if waiting:
+        one = pa.concat_tables(waiting).group_by(names, use_threads=False)
+        one = one.aggregate([("n", "sum"), ("docs", "sum")]).rename_columns([*names, "n", "docs"])
+        yield from one.to_batches(max_chunksize=1 << 16)
 
 
 def _count(batches):
+    yield from _merged(_counted(batches))
+
+
+def _counted(batches):
     names = ["lang", "source", "term", "n", "docs"]
     for batch in batches:
         table = pa.Table.from_batches([batch]).combine_chunks()
@@ -120,7 +146,7 @@ def _count(batches):
                 pa.array(n),
                 pa.array(docs),
             ]
-            yield from pa.table(columns, names=names).to_batches(max_chunksize=1 << 16)
+            yield pa.table(columns, names=names)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -128,6 +154,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
     counts = (
         collapse(docs)
         .mapInArrow(_count, COUNTS)
+        # Tasks have added up their own counts; a term's rows meet once, for both sums below.
+        .repartition("lang", "term")
         .groupBy("lang", "source", "term")
         .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     )
