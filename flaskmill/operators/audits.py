@@ -91,3 +91,36 @@ def length_buckets(df: DataFrame, text: str, row_id: str, partitions: int) -> Da
     sized = df.withColumn("_len", F.length(text)).withColumn("_tie", F.xxhash64(row_id))
     ranged = sized.repartitionByRange(partitions, "_len", "_tie")
     return ranged.sortWithinPartitions("_len", "_tie").drop("_len", "_tie")
+
+
+#: Entries of a sketch: a rank read from it is off by less than 1.65 % in 99 of 100 cases.
+SKETCH = 400
+SKETCH_RANK_ERROR = 0.0165
+
+
+def length_sketch(df: DataFrame, text: str, by: Sequence[str] = ()) -> DataFrame:
+    """What a profile of lengths needs of a part, one row for each ``by``: rows, sum and largest
+    length exactly, and a quantile sketch of bounded size. Rows are kept and combined later."""
+    n = F.length(text).cast("long")
+    return df.where(F.col(text).isNotNull()).groupBy(*by).agg(
+        F.count("*").alias("rows"),
+        F.sum(n).alias("chars"),
+        F.max(n).alias("longest"),
+        F.kll_sketch_agg_bigint(n, SKETCH).alias("sketch"),
+    )
+
+
+def profile_of_sketches(sketches: DataFrame, caps: Sequence[int]) -> DataFrame:
+    """``length_profile`` of all parts together, from their sketches alone: quantiles and shares
+    are off by ``SKETCH_RANK_ERROR`` of the rows, the mean and the longest are exact."""
+    whole = sketches.where(F.col("rows") > 0).agg(
+        F.sum("rows").alias("rows"),
+        F.sum("chars").alias("chars"),
+        F.max("longest").alias("longest"),
+        F.kll_merge_agg_bigint("sketch").alias("sketch"),
+    )
+    at = lambda q: F.kll_sketch_get_quantile_bigint("sketch", F.lit(q))
+    over = [(1 - F.kll_sketch_get_rank_bigint("sketch", F.lit(c).cast("long"))).alias(f"over_{c}") for c in caps]
+    return whole.select(
+        "rows", (F.col("chars") / F.col("rows")).alias("mean"), at(0.95).alias("p95"), at(0.99).alias("p99"), "longest", *over
+    )

@@ -151,6 +151,30 @@ def length_profile(spark, folder):
     return audits.length_profile(docs, "text", [200, 2000])
 
 
+@query(
+    "length_sketches",
+    """SELECT count(*) AS rows, avg(length(text)) AS mean, max(length(text))::BIGINT AS longest,
+    true AS p95_close, true AS p99_close, true AS over_200_close FROM documents WHERE text IS NOT NULL""",
+)
+def length_sketches(spark, folder):
+    """Parts by source, sketched by themselves and combined; their ranks held against the texts."""
+    docs = heavy_table(spark, folder, "documents").select("source", "text").where("text IS NOT NULL")
+    profile = audits.profile_of_sketches(audits.length_sketch(docs, "text", ["source"]), [200])
+    n = F.length("text")
+    close = lambda share, wanted: F.abs(share - wanted) <= audits.SKETCH_RANK_ERROR
+    below = lambda q: (F.avg((n < F.col(q)).cast("int")), F.avg((n <= F.col(q)).cast("int")))
+    held = docs.join(F.broadcast(profile), F.lit(True)).groupBy("rows", "mean", "longest", "over_200")  # one row
+
+    def inside(q, wanted):
+        low, high = below(q)
+        return (low - audits.SKETCH_RANK_ERROR <= wanted) & (high + audits.SKETCH_RANK_ERROR >= wanted)
+
+    return held.agg(
+        inside("p95", 0.95).alias("p95_close"), inside("p99", 0.99).alias("p99_close"),
+        close(F.avg((n > 200).cast("int")), F.col("over_200")).alias("over_200_close"),
+    ).drop("over_200")
+
+
 @query("length_buckets", "SELECT doc_id, length(text)::INT AS chars FROM documents")
 def length_buckets(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")

@@ -362,6 +362,27 @@ def test_packed_vectors(one):
     assert shared(ints(), ints(1)) == 0
 
 
+def test_length_sketches_of_parts_add_up(spark):
+    """Parts kept and combined later, against the exact profile of all rows."""
+    rows = [(i % 7, "x" * ((i * 37) % 5000 if i % 3 else 12)) for i in range(30_000)] + [(1, None), (8, None)]
+    df = spark.createDataFrame(rows, "part int, text string")
+    parts = [audits.length_sketch(df.where(F.col("part") == p), "text") for p in range(9)]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    got = audits.profile_of_sketches(whole, [1000, 4000]).head()
+    exact = audits.length_profile(df, "text", [1000, 4000]).head()
+    assert (got["rows"], got["longest"]) == (30_000, exact["longest"])
+    assert got["mean"] == pytest.approx(exact["mean"])
+    lengths = sorted(len(t) for _, t in rows if t is not None)
+    for name, q in (("p95", 0.95), ("p99", 0.99)):
+        low = sum(n < got[name] for n in lengths) / len(lengths)
+        high = sum(n <= got[name] for n in lengths) / len(lengths)
+        assert low - audits.SKETCH_RANK_ERROR <= q <= high + audits.SKETCH_RANK_ERROR
+    for c in (1000, 4000):
+        assert abs(got[f"over_{c}"] - exact[f"over_{c}"]) <= audits.SKETCH_RANK_ERROR
+
+
 def test_similarity_table_counts(spark):
     df = spark.createDataFrame([("a",), ("",), ("b",), (None,), ("b",)], "product string").withColumn("reactants", F.lit("x"))
     held = spark.createDataFrame([("b",)], "product string")
