@@ -591,6 +591,41 @@ for _field in ("reagents", "solvent", "catalyst"):
     _top1_query(_field)
 
 
+def _compared_sql(k: int = 5) -> str:
+    """The run against itself without its first answers, field by field."""
+    shifted = "parsed_b AS (SELECT * REPLACE (rank - 1 AS rank) FROM parsed WHERE rank > 1)"
+    heat = "temperature_celsius"
+    rows = []
+    for field in ("reagents", "solvent", "catalyst", heat):
+        if field == heat:
+            ctes, hit = _numeric_cte(heat, False), f"CASE WHEN ref IS NOT NULL THEN coalesce(tol_rank <= {k}, false) END"
+        else:
+            ctes, hit = _string_ctes(field), f"CASE WHEN stated THEN coalesce(rank <= {k}, false) END"
+        a = f"({X.CONDITIONS_SQL}, {ctes} SELECT rid, {hit} AS hit FROM {field}_s)"
+        b = f"({X.CONDITIONS_SQL}, {shifted}, {ctes.replace('parsed', 'parsed_b')} SELECT rid, {hit} AS hit FROM {field}_s)"
+        rows.append(
+            f"SELECT '{field}_top{k}' AS metric, count(*) AS n, avg(a.hit::INT) AS rate_a, avg(b.hit::INT) AS rate_b, "
+            f"count(*) FILTER (a.hit AND NOT b.hit) AS only_a, count(*) FILTER (b.hit AND NOT a.hit) AS only_b "
+            f"FROM {a} a JOIN {b} b USING (rid) WHERE a.hit IS NOT NULL AND b.hit IS NOT NULL"
+        )
+    terms = """SELECT metric, sum(exp(lgamma(only_a + only_b + 1) - lgamma(i + 1)
+        - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2.0))) AS tail
+      FROM (SELECT *, unnest(range(0, least(only_a, only_b) + 1)) AS i FROM counts) GROUP BY metric"""
+    return f"""WITH counts AS ({" UNION ALL ".join(rows)}), tails AS ({terms})
+    SELECT metric, n, rate_a, rate_b, only_a, only_b, round(least(1.0, 2 * tail), 6) AS p
+    FROM counts JOIN tails USING (metric)"""
+
+
+@query("compare_condition_runs", _compared_sql())
+def compare_condition_runs(spark, folder):
+    from flaskmill.plans import jobs
+
+    run = X.condition_run(spark, folder)
+    later = run.withColumn("parsed", F.slice("parsed", 2, F.greatest(F.size("parsed"), F.lit(1))))
+    tested, _ = jobs.compare_condition_runs(run, later, 5)
+    return tested.withColumn("p", F.round("p", 6))
+
+
 SLICE = "temperature_celsius"
 
 
