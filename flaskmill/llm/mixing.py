@@ -35,8 +35,9 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Words of a run that a seeded choice takes together.
 RUN = 16
-#: Words (and documents) that a shard holds about.
-SHARD = 1 << 20
+#: Words (and documents) that a shard holds about, and that small sources in one task come to.
+SHARD = 1 << 19
+TOGETHER = 1 << 17
 SEED = 17
 #: Divisors tried in a pass, and passes: the divisor is known to twelve digits then.
 TRIED, PASSES = 255, 5
@@ -228,7 +229,7 @@ def _dealt(rows: DataFrame, narrow: DataFrame, sources: DataFrame) -> DataFrame:
     shards = apportion(entries).select("of", F.col("name").alias("shard"), F.col("quota").alias("shard_quota"))
     small = sources.where(F.col("shards") == 1)
     total = small.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"]
-    together = F.pmod(F.xxhash64(F.lit(SEED), "of"), F.lit(1 + total // SHARD))
+    together = F.pmod(F.xxhash64(F.lit(SEED), "of"), F.lit(1 + total // TOGETHER))
     bucket = F.when(F.col("shards") > 1, F.xxhash64("of", "shard")).otherwise(together)
     return join(rows).join(shards, ["of", "shard"]).withColumn("bucket", bucket)
 
