@@ -25,6 +25,10 @@ from flaskmill.functions.text import (
 BRACKET_ATOM = r"\[[0-9]*(?:[A-Z][a-z]?|[bcnops]|se|as|\*)[^\[\]]*\]"
 ATOM = BRACKET_ATOM + r"|Br|Cl|[BCNOPSFIbcnops*]"
 TOKEN = ATOM + r"|[-=#$:/\\.()~]|%[0-9][0-9]|[0-9]"
+#: Tokens, or atoms outside brackets, and nothing else. Possessive: no length of text can make them
+#: recurse.
+TOKENS = rf"\A(?:{TOKEN})++\z"
+PLAIN = r"\A(?:Br|Cl|[BCNOPSFIbcnops*])++\z"
 ELEMENT = r"^\[?[0-9]*([A-Z][a-z]?|[bcnops]|se|as)"
 CHARGE = r"([+-]+[0-9]*)(?::[0-9]+)?\]"
 
@@ -41,10 +45,12 @@ def normalize_formula(c) -> Column:
 
 def normalize_token(c) -> Column:
     """``normalize_formula`` and then the abbreviations, replaced wherever they occur."""
+    return _spelled_out(normalize_formula(c))
+
+
+def _spelled_out(formula: Column) -> Column:
     return reduce(
-        lambda text, item: F.replace(text, F.lit(item[0]), F.lit(item[1])),
-        ABBREVIATIONS.items(),
-        normalize_formula(c),
+        lambda text, item: F.replace(text, F.lit(item[0]), F.lit(item[1])), ABBREVIATIONS.items(), formula
     )
 
 
@@ -63,13 +69,12 @@ def is_readable(text) -> Column:
 
 
 def _readable(text: Column) -> Column:
-    # Tokens are removed one after the other, which no length of text can make recurse.
-    only_tokens = (text != "") & (F.regexp_replace(text, TOKEN, "") == "")
     # In a text of tokens every letter and star belongs to an atom.
-    ok = only_tokens & F.rlike(text, F.lit("[A-Za-z*]"))
-    bare = F.regexp_replace(text, BRACKET_ATOM, "C")
+    ok = F.rlike(text, F.lit(TOKENS)) & F.rlike(text, F.lit("[A-Za-z*]"))
+    bare = F.when(F.contains(text, F.lit("[")), F.regexp_replace(text, BRACKET_ATOM, "C")).otherwise(text)
     sound = lambda t: ~F.rlike(t, F.lit(MISPLACED)) & _nested(t) & _rings_close(t)
-    return F.coalesce(ok & bind(bare, sound), F.lit(False))
+    # A row of plain atoms passes all of it.
+    return F.coalesce(F.rlike(text, F.lit(PLAIN)) | (ok & bind(bare, sound)), F.lit(False))
 
 
 def _nested(text: Column) -> Column:
@@ -80,7 +85,7 @@ def _nested(text: Column) -> Column:
         F.lit(0),
         lambda d, c: F.when(d < 0, d).when(c == "(", d + 1).otherwise(d - 1),
     )
-    return depth == 0
+    return ~(F.contains(text, F.lit("(")) | F.contains(text, F.lit(")"))) | (depth == 0)
 
 
 def _rings_close(text: Column) -> Column:
@@ -88,7 +93,7 @@ def _rings_close(text: Column) -> Column:
     rings = F.regexp_extract_all(text, F.lit("%[0-9][0-9]|[0-9]"), F.lit(0))
     even = lambda r, x: F.size(F.filter(r, lambda y: y == x)) % 2 == 0
     # At most 110 different numbers, each counted once.
-    return bind(rings, lambda r: F.forall(F.array_distinct(r), lambda x: even(r, x)))
+    return ~F.rlike(text, F.lit("[0-9]")) | bind(rings, lambda r: F.forall(F.array_distinct(r), lambda x: even(r, x)))
 
 
 def canonical_text(c) -> Column:
@@ -130,7 +135,8 @@ def net_charge(text) -> Column:
 def has_carbon(text) -> Column:
     """A carbon atom inside or outside brackets."""
     text = as_column(text)
-    bare = F.regexp_replace(text, r"\[[^\]]*\]", "")
+    # The shorter search also answers for texts without brackets.
+    bare = F.when(F.contains(text, F.lit("[")), F.regexp_replace(text, r"\[[^\]]*\]", "")).otherwise(text)
     return F.rlike(bare, F.lit("C(?!l)|c")) | F.rlike(text, F.lit(r"\[[0-9]*[Cc](?![a-z])"))
 
 
@@ -140,12 +146,20 @@ def heavy_atoms(text) -> Column:
 
 def is_auxiliary(c) -> Column:
     """Readable and either charged or without carbon; unreadable text is never auxiliary."""
+    return bind(normalize_formula(c), lambda text: _auxiliary(text, _readable(text)))
+
+
+def is_auxiliary_named(c, canonical) -> Column:
+    """``is_auxiliary`` of a text with its ``canonical_text``: one that is canonical as it stands is
+    not read again."""
+    known = lambda text: F.coalesce(as_column(canonical) == text, F.lit(False))
+    return bind(normalize_formula(c), lambda text: _auxiliary(text, known(text) | _readable(text)))
 
-    def judge(text):
-        plain = has_carbon(text) & (net_charge(text) == 0)
-        return F.coalesce(_readable(text) & ~plain, F.lit(False))
 
-    return bind(normalize_formula(c), judge)
+def _auxiliary(text: Column, readable: Column) -> Column:
+    # Without a bracket there is no charge.
+    charge = F.when(F.contains(text, F.lit("[")), net_charge(text)).otherwise(0)
+    return F.coalesce(readable & ~(has_carbon(text) & (charge == 0)), F.lit(False))
 
 
 def strip_auxiliary(fragments) -> Column:

@@ -113,20 +113,32 @@ def lexical_sets(df: DataFrame, text_cols: Sequence[str]) -> DataFrame:
     return df.withColumns(new)
 
 
+def fragment_names(parts) -> Column:
+    """Canonical form of each fragment."""
+    return F.transform(parts, M.canonical_text)
+
+
+def core_set(parts, names) -> Column:
+    """Set of the names of those fragments that are not auxiliary."""
+    named = F.zip_with(
+        parts, names, lambda f, k: F.struct(k.alias("canonical"), M.is_auxiliary_named(f, k).alias("is_auxiliary"))
+    )
+    return _set_of(_core(named))
+
+
 def named_fragments(text) -> Column:
     """Fragments of a text as (canonical, is_auxiliary), each looked at once."""
-    return F.transform(
-        split_fragments(text),
-        lambda f: F.struct(
-            M.canonical_text(f).alias("canonical"), M.is_auxiliary(f).alias("is_auxiliary")
-        ),
-    )
+    named = lambda f, k: F.struct(k.alias("canonical"), M.is_auxiliary_named(f, k).alias("is_auxiliary"))
+    return F.transform(split_fragments(text), lambda f: bind(M.canonical_text(f), lambda k: named(f, k)))
+
+
+def _core(parts: Column) -> Column:
+    return F.filter(parts, lambda p: ~F.coalesce(p["is_auxiliary"], F.lit(False)))
 
 
 def named_sets(parts: Column) -> tuple[Column, Column]:
     """Full and core set of named fragments."""
-    core = F.filter(parts, lambda p: ~F.coalesce(p["is_auxiliary"], F.lit(False)))
-    return _set_of(parts), _set_of(core)
+    return _set_of(parts), _set_of(_core(parts))
 
 
 def strip_aux(df: DataFrame, col: str, into: str) -> DataFrame:

@@ -35,8 +35,8 @@ from flaskmill.functions.text import (
     within_tolerance,
 )
 from flaskmill.operators.fragments import (
-    named_fragments,
-    named_sets,
+    core_set,
+    fragment_names,
     part_sets,
     tag_fragments,
     with_canonical_parts,
@@ -54,19 +54,20 @@ from flaskmill.operators.roles import (
 def prepare_run(df: DataFrame, candidates: str = "candidates", reference: str = "reference") -> DataFrame:
     """Adds the full and core sets of the reference and of every candidate, and whether the
     first candidate is valid as a whole."""
-    named = df.withColumns(
-        {"_ref": named_fragments(reference), "_cands": F.transform(candidates, named_fragments)}
+    # Names apart from what is auxiliary: scores that need no core sets do not ask for the latter.
+    parts = df.withColumns({"_ref": split_fragments(reference), "_cands": F.transform(candidates, split_fragments)})
+    named = parts.withColumns(
+        {"_ref_names": fragment_names("_ref"), "_cand_names": F.transform("_cands", fragment_names)}
     )
-    ref_set, ref_core = named_sets(F.col("_ref"))
     return named.withColumns(
         {
-            "ref_set": ref_set,
-            "ref_core": ref_core,
-            "cand_sets": F.transform("_cands", lambda p: named_sets(p)[0]),
-            "cand_cores": F.transform("_cands", lambda p: named_sets(p)[1]),
+            "ref_set": M.whole_set(F.col("_ref_names")),
+            "ref_core": core_set("_ref", "_ref_names"),
+            "cand_sets": F.transform("_cand_names", M.whole_set),
+            "cand_cores": F.zip_with("_cands", "_cand_names", core_set),
             "top1_valid": F.coalesce(M.is_valid(F.get(candidates, F.lit(0))), F.lit(False)),
         }
-    ).drop("_ref", "_cands")
+    ).drop("_ref", "_cands", "_ref_names", "_cand_names")
 
 
 def prepare_run_with_dim(

@@ -388,3 +388,23 @@ def test_similarity_table_counts(spark):
     held = spark.createDataFrame([("b",)], "product string")
     assert tuple(similarity.similarity_table_report(df, held).head()) == (1, 2, 2)
     assert similarity.build_similarity_table(df, held).count() == 1
+
+
+def test_exact_scores_do_not_ask_what_is_auxiliary(spark):
+    df = spark.createDataFrame([("CCO.[Na+]", ["O", "[Na+].CCO"])], "reference string, candidates array<string>")
+    scored = topk.topk_exact(topk.prepare_run(df))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert M.CHARGE not in plan
+    assert scored.head()["exact_match_top3"] == 1.0
+
+
+def test_readable_texts_and_auxiliary_ones_with_their_names(spark):
+    rows = [None, "", " ", "CCO", "Cl", "Clr", "CC\n", "[Na+]", "[Na+].CC", "c1ccccc1", "C1CC", "C(C", "C()C", "()", "[C", "NaOH", "PhBr", "C" * 20000]
+    df = spark.createDataFrame([(r,) for r in rows], "c string")
+    got = df.select(
+        M.is_readable("c").alias("ok"), M.is_auxiliary("c").alias("aux"),
+        M.is_auxiliary_named("c", M.canonical_text("c")).alias("named"),
+    ).collect()
+    assert [r["ok"] for r in got] == [False] * 3 + [True, True] + [False] * 2 + [True] * 3 + [False] * 7 + [True]
+    assert [r["aux"] for r in got] == [r["named"] for r in got]
+    assert [rows[i] for i, r in enumerate(got) if r["aux"]] == ["Cl", "[Na+]", "[Na+].CC", "NaOH"]
