@@ -408,3 +408,14 @@ def test_readable_texts_and_auxiliary_ones_with_their_names(spark):
     assert [r["ok"] for r in got] == [False] * 3 + [True, True] + [False] * 2 + [True] * 3 + [False] * 7 + [True]
     assert [r["aux"] for r in got] == [r["named"] for r in got]
     assert [rows[i] for i, r in enumerate(got) if r["aux"]] == ["Cl", "[Na+]", "[Na+].CC", "NaOH"]
+
+
+def test_a_scan_with_a_floor_gives_no_pair_below_it(spark):
+    texts = ["abcdef", "abcdeg", "abcxyz", "qrstuv"]
+    df = spark.createDataFrame([(i, t, t, "") for i, t in enumerate(texts)], "row_id long, product string, reactants string, rclass string")
+    sig = similarity._signatures(df, "row_id").cache()
+    q, t = similarity._side(sig, "q").withColumn("floor", F.lit(0.3)), similarity._side(sig, "t")
+    pairs = lambda rows: {(r["q"], r["t"]): r["score"] for r in rows.collect()}
+    every = pairs(similarity._scan(q, t, 4, 4, similarity.SIMILARITY_WEIGHTS))
+    kept = pairs(similarity._scan(q, t, 4, 4, similarity.SIMILARITY_WEIGHTS, "floor"))
+    assert kept == {k: v for k, v in every.items() if v >= 0.3} and 4 < len(kept) < 16
