@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flaskmill.functions.rendering import schema_code
+from flaskmill.functions.text import bind
 
 
 def schema_code_counts(df: DataFrame, always: Sequence[str], columns: dict | None = None) -> DataFrame:
@@ -83,14 +84,49 @@ def length_profile(df: DataFrame, text: str, caps: Sequence[int]) -> DataFrame:
     )
 
 
-def length_buckets(df: DataFrame, text: str, row_id: str, partitions: int) -> DataFrame:
+#: Bytes of text that a partition of ``length_buckets`` holds at most, about.
+BUCKET_BYTES = 128 << 20
+
+
+def _length_cuts(df: DataFrame, text: str, partitions: int, bytes_each: int) -> list[tuple[int, float]]:
+    """(length, share of its rows) at which each partition but the first begins.
+
+    From the counts per length, one row per different length, as in ``length_profile``. A length
+    weighs its share of the rows or of the bytes, whichever fills more partitions.
+    """
+    sizes = df.groupBy(F.coalesce(F.length(text), F.lit(-1)).alias("n")).agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")
+    )
+    whole = W.partitionBy(F.lit(0))
+    weight = F.greatest(F.col("rows") * partitions / F.sum("rows").over(whole), F.col("bytes") / bytes_each)
+    upto = sizes.withColumn("weight", weight).withColumn("upto", F.sum("weight").over(whole.orderBy("n")))
+    spans = upto.withColumn("before", F.coalesce(F.lag("upto").over(whole.orderBy("n")), F.lit(0.0)))
+    spans = spans.withColumn("end", F.max("upto").over(whole) - 1e-6)
+    first, last = F.floor("before") + 1, F.floor("upto")
+    begins = spans.where(first <= last).select("*", F.explode(F.sequence(first, last)).alias("k")).where("k < end")
+    share = (F.col("k") - F.col("before")) / (F.col("upto") - F.col("before"))
+    return [tuple(r) for r in begins.orderBy("k").select("n", share).collect()]
+
+
+def length_buckets(
+    df: DataFrame, text: str, row_id: str, partitions: int, bytes_each: int = BUCKET_BYTES
+) -> DataFrame:
     """Rows of similar length next to each other, for batching.
 
-    The row id breaks ties, so one very common length is spread over several partitions.
+    The row id breaks ties, so one very common length is spread over several partitions. They hold
+    about as many rows each; where their texts come to more than ``bytes_each`` there are more of
+    them than ``partitions``, so that none grows with the table.
     """
     sized = df.withColumn("_len", F.length(text)).withColumn("_tie", F.xxhash64(row_id))
-    ranged = sized.repartitionByRange(partitions, "_len", "_tie")
-    return ranged.sortWithinPartitions("_len", "_tie").drop("_len", "_tie")
+    cuts = _length_cuts(df, text, partitions, bytes_each)
+    known = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(share).alias("share")) for n, share in cuts])
+    # The hash spreads the rows of a length evenly, so its upper half is a row's place among them.
+    place = F.struct(
+        F.coalesce("_len", F.lit(-1)).alias("n"), ((F.shiftright("_tie", 32) + 2.0**31) / 2.0**32).alias("share")
+    )
+    at = bind(place, lambda p: F.size(F.filter(known, lambda c: c <= p))) if cuts else F.lit(0)
+    laid = sized.withColumn("_at", at).repartitionById(len(cuts) + 1, "_at")
+    return laid.sortWithinPartitions("_len", "_tie").drop("_len", "_tie", "_at")
 
 
 #: Entries of a sketch: a rank read from it is off by less than 1.65 % in 99 of 100 cases.

@@ -270,6 +270,18 @@ def test_length_buckets_keep_close_lengths_together(spark):
     assert all(a["hi"] <= b["lo"] for a, b in zip(spans, spans[1:]))
 
 
+def test_length_buckets_are_cut_by_bytes_too(spark):
+    df = spark.createDataFrame([(i, "x" * (1 if i % 20 else 4000 + i % 7)) for i in range(800)] + [(None, None)], "id long, t string")
+    laid = audits.length_buckets(df, "t", "id", 4, 20_000).withColumn("p", F.spark_partition_id())
+    parts = laid.groupBy("p").agg(
+        F.min(F.length("t")).alias("lo"), F.max(F.length("t")).alias("hi"), F.sum(F.length("t")).alias("chars"), F.count("*").alias("n")
+    ).orderBy("p").collect()
+    assert sum(p["n"] for p in parts) == 801 and sum(p["chars"] for p in parts) == df.agg(F.sum(F.length("t"))).head()[0]
+    # Forty texts of 4,000 characters would lie in one partition of four.
+    assert len(parts) > 6 and max(p["chars"] for p in parts) <= 60_000
+    assert all(a["hi"] <= b["lo"] for a, b in zip(parts, parts[1:]))
+
+
 def test_set_similarity(one):
     ints = lambda *v: F.array(*[F.lit(x) for x in v]) if v else F.array().cast("array<int>")
     assert one(fingerprints.tanimoto(ints(1, 2, 3), ints(2, 3, 4))) == 0.5
