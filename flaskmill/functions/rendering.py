@@ -15,7 +15,7 @@ from flaskmill.constants import (
     JSON_MISSING,
     SCHEMA_CODES,
 )
-from flaskmill.functions.text import as_column, is_present, strip
+from flaskmill.functions.text import as_column, bind, is_present, strip
 
 
 def check_fields(fields: Sequence[str]) -> tuple[str, ...]:
@@ -104,12 +104,12 @@ def parse_generation(raw, kind: str, fields: Sequence[str] = CONDITION_FIELDS) -
     """
     raw = as_column(raw)
     if kind == "compact":
-        parts = F.split(F.replace(raw, F.lit(" "), F.lit("")), "[|]")
-        values = []
-        for i, field in enumerate(fields):
-            value = strip(F.get(parts, F.lit(i)))
-            values.append(F.when(~value.isin("", COMPACT_MISSING), value).alias(field))
-        return F.when(F.size(parts) == len(fields), F.struct(*values))
+        given = lambda value: F.when(~value.isin("", COMPACT_MISSING), value)
+        value = lambda parts, i: bind(F.get(parts, F.lit(i)), lambda v: bind(strip(v), given))
+        read = lambda parts: F.when(
+            F.size(parts) == len(fields), F.struct(*[value(parts, i).alias(f) for i, f in enumerate(fields)])
+        )
+        return bind(F.split(F.replace(raw, F.lit(" "), F.lit("")), "[|]"), read)
     if kind != "json":
         raise ValueError(f"unknown target format {kind!r}")
 

@@ -210,12 +210,16 @@ def solvent_group(component: Column) -> Column:
     return F.try_element_at(_members(SOLVENT_GROUPS), M.canonical_text(component))
 
 
+METAL = r"\[[^\]]*(?:" + "|".join(CATALYST_GROUP_METALS) + ")"
+
+
 def catalyst_group(component: Column) -> Column:
     """Curated family, else the alphabetically first group metal in the structure."""
     metals = F.array_intersect(M.elements_of(component), literal_array(CATALYST_GROUP_METALS))
-    # array_min of no metals is null, and so is the text built from it.
+    # Metals stand in brackets only, by their symbols. array_min of none is null, and so is the
+    # text built from it.
     by_metal = F.when(
-        M.is_readable(component), F.concat(F.lit("metal_"), F.array_min(metals))
+        F.rlike(component, F.lit(METAL)) & M.is_readable(component), F.concat(F.lit("metal_"), F.array_min(metals))
     )
     return F.coalesce(
         F.try_element_at(_members(CATALYST_GROUPS), M.canonical_text(component)), by_metal
@@ -245,19 +249,28 @@ def string_field_ranks(
     classifier: Callable[[Column], Column] | None = None,
     canonical=M.canonical_text,
     num_beams: int | None = None,
+    first_answer: bool = False,
 ) -> DataFrame:
     """Per record: reference set and families, first exact and first same-family rank, and
-    whether the rank-1 answer was read and left the field out."""
+    whether the rank-1 answer was read and left the field out.
+
+    ``first_answer`` keeps the set of the rank-1 answer, ``{field}_first``, and its families.
+    """
     head = F.slice(parsed, 1, max(usable_ks(num_beams)))
-    sets = F.transform(head, lambda p: normalize_components(p[field], canonical))
-    out = df.withColumns(
-        {f"{field}_ref": normalize_components(field, canonical), f"{field}_sets": sets}
-    )
+    out = df.withColumn(f"{field}_ref", normalize_components(field, canonical))
+    # Where nothing is stated no answer can hit, and only the first is asked whether it is silent.
+    asked = F.when(F.col(f"{field}_ref").isNull(), F.slice(parsed, 1, 1)).otherwise(head)
+    sets = F.transform(asked, lambda p: normalize_components(p[field], canonical))
+    out = out.withColumn(f"{field}_sets", sets)
     first = F.lit(0)
     new = {
         f"{field}_rank": first_hit(f"{field}_sets", f"{field}_ref"),
         f"{field}_silent": F.get(parsed, first).isNotNull() & F.get(f"{field}_sets", first).isNull(),
     }
+    if first_answer:
+        new[f"{field}_first"] = F.get(f"{field}_sets", first)
+        if classifier is not None:
+            new[f"{field}_first_groups"] = component_groups(F.get(parsed, first)[field], classifier)
     if classifier is not None:
         out = out.withColumn(f"{field}_ref_groups", component_groups(field, classifier))
         groups = F.col(f"{field}_ref_groups")
@@ -346,10 +359,31 @@ def parsed_rate_top1(parsed="parsed") -> Column:
     return share(F.get(as_column(parsed), F.lit(0)).isNotNull())
 
 
-def top1_field_scores(field: str, predicted: Column, classifier=None, canonical=M.canonical_text) -> list[Column]:
-    """Single-answer rates: predicted at all, equal set, any shared component, families."""
+def with_first_answer(df: DataFrame, field: str, predicted: Column, classifier=None, canonical=M.canonical_text) -> DataFrame:
+    """Adds the sets and families that ``top1_field_scores`` compares, under the names of
+    ``string_field_ranks``: worked out once a record, however many rates use them."""
+    new = {
+        f"{field}_ref": normalize_components(field, canonical),
+        f"{field}_first": normalize_components(predicted, canonical),
+    }
+    if classifier is not None:
+        new[f"{field}_ref_groups"] = component_groups(field, classifier)
+        new[f"{field}_first_groups"] = component_groups(predicted, classifier)
+    return df.withColumns(new)
+
+
+def top1_field_scores(
+    field: str, predicted: Column, classifier=None, canonical=M.canonical_text, ready: bool = False
+) -> list[Column]:
+    """Single-answer rates: predicted at all, equal set, any shared component, families.
+
+    ``ready``: the rows come from ``with_first_answer`` or ``string_field_ranks``.
+    """
     ref_ok, pred_ok = is_present(field, JSON_MISSING), is_present(predicted, JSON_MISSING)
-    ref, pred = normalize_components(field, canonical), normalize_components(predicted, canonical)
+    if ready:
+        ref, pred = F.col(f"{field}_ref"), F.col(f"{field}_first")
+    else:
+        ref, pred = normalize_components(field, canonical), normalize_components(predicted, canonical)
     stated = ref.isNotNull()
     among = lambda base, flag: F.avg(F.when(base, F.coalesce(flag, F.lit(False)).cast("int")))
     cols = [
@@ -359,7 +393,10 @@ def top1_field_scores(field: str, predicted: Column, classifier=None, canonical=
         among(stated, F.arrays_overlap(pred, ref)).alias(f"{field}_any_overlap_rate"),
     ]
     if classifier is not None:
-        ref_g, pred_g = component_groups(field, classifier), component_groups(predicted, classifier)
+        if ready:
+            ref_g, pred_g = F.col(f"{field}_ref_groups"), F.col(f"{field}_first_groups")
+        else:
+            ref_g, pred_g = component_groups(field, classifier), component_groups(predicted, classifier)
         cols.append(F.count_if(ref_g.isNotNull()).alias(f"{field}_same_group_classifiable_count"))
         cols.append(
             among(ref_g.isNotNull(), F.size(F.array_except(ref_g, pred_g)) == 0).alias(f"{field}_same_group_rate")
@@ -406,7 +443,7 @@ def score_summary(
     cols = [F.count("*").alias("total"), parsed_rate_top1(parsed).alias("parsed_rate_top1")]
     for field in string_fields:
         classifier = classifiers.get(field)
-        df = string_field_ranks(df, field, parsed, classifier, num_beams=num_beams)
+        df = string_field_ranks(df, field, parsed, classifier, num_beams=num_beams, first_answer=first_answer)
         cols += string_field_scores(field, ks, classifier is not None)
     for field, (tolerance, edges) in numeric_fields.items():
         df = numeric_field_ranks(df, field, tolerance, edges, parsed, force_numeric, num_beams)
@@ -415,7 +452,7 @@ def score_summary(
         answer = F.get(parsed, F.lit(0))
         for field in string_fields:
             for score, name in zip(
-                top1_field_scores(field, answer[field], classifiers.get(field)), TOP1_SCORES, strict=False
+                top1_field_scores(field, answer[field], classifiers.get(field), ready=True), TOP1_SCORES, strict=False
             ):
                 cols.append(score.alias(f"{field}_top1_{name}"))
             cols.append(share(F.col(f"{field}_ref").isNull(), None).alias(f"{field}_always_silent"))

@@ -581,8 +581,9 @@ def _top1_query(field: str):
     def scores(spark, folder):
         run = X.condition_run(spark, folder)
         predicted = F.get("parsed", F.lit(0))[field]
-        run = run.withColumn("predicted", predicted)
-        return run.agg(*topk.top1_field_scores(field, F.col("predicted"), topk.CLASSIFIERS.get(field)))
+        classifier = topk.CLASSIFIERS.get(field)
+        run = topk.with_first_answer(run.withColumn("predicted", predicted), field, F.col("predicted"), classifier)
+        return run.agg(*topk.top1_field_scores(field, F.col("predicted"), classifier, ready=True))
 
     return scores
 

@@ -282,6 +282,26 @@ def test_length_buckets_are_cut_by_bytes_too(spark):
     assert all(a["hi"] <= b["lo"] for a, b in zip(parts, parts[1:]))
 
 
+def _repeats(df, of: str) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count(of)
+
+
+def test_first_answers_are_normalised_once_a_record(spark):
+    # A pattern of the components stands in the plan once for each time that they are split.
+    kind = "record_pos long, solvent string, parsed array<struct<solvent:string>>"
+    rows = [(1, "CCO, O", [("O.CCO",)]), (2, "ClCCl", [("CCO",)]), (3, None, [(None,)]), (4, "O", None), (5, "O", [("O",), ("CCO",)])]
+    df = spark.createDataFrame(rows, kind)
+    answer = F.get("parsed", F.lit(0))["solvent"]
+    whole = df.agg(*topk.top1_field_scores("solvent", answer, topk.solvent_group))
+    ready = topk.with_first_answer(df, "solvent", answer, topk.solvent_group)
+    ready = ready.agg(*topk.top1_field_scores("solvent", answer, topk.solvent_group, ready=True))
+    assert whole.collect() == ready.collect()
+    summary = topk.score_summary(df, ("solvent",), {}, first_answer=True, slice_by="solvent")
+    # reference and answers, each as set and as families, and the families of the first answer
+    assert _repeats(ready, "split(") == 4 and _repeats(summary, "split(") == 5
+    assert summary.head()["solvent_top1_exact_match_rate"] == whole.head()["solvent_exact_match_rate"]
+
+
 def test_set_similarity(one):
     ints = lambda *v: F.array(*[F.lit(x) for x in v]) if v else F.array().cast("array<int>")
     assert one(fingerprints.tanimoto(ints(1, 2, 3), ints(2, 3, 4))) == 0.5
