@@ -29,6 +29,7 @@ TOKEN = ATOM + r"|[-=#$:/\\.()~]|%[0-9][0-9]|[0-9]"
 #: recurse.
 TOKENS = rf"\A(?:{TOKEN})++\z"
 PLAIN = r"\A(?:Br|Cl|[BCNOPSFIbcnops*])++\z"
+BARE_SYMBOL = r"Br|Cl|[BCNOPSFIbcnops]"
 ELEMENT = r"^\[?[0-9]*([A-Z][a-z]?|[bcnops]|se|as)"
 CHARGE = r"([+-]+[0-9]*)(?::[0-9]+)?\]"
 
@@ -98,7 +99,9 @@ def _rings_close(text: Column) -> Column:
 
 def canonical_text(c) -> Column:
     """Normalised text, or null when it cannot be read."""
-    return bind(normalize_token(c), lambda t: F.when(_readable(t), t))
+    read = lambda t: bind(normalize_token(t), lambda n: F.when(_readable(n), n))
+    # A row of plain atoms holds no formula name, abbreviation or blank: it is canonical as it stands.
+    return bind(as_column(c), lambda t: F.when(F.rlike(t, F.lit(PLAIN)), t).otherwise(read(t)))
 
 
 def is_valid(c) -> Column:
@@ -107,15 +110,20 @@ def is_valid(c) -> Column:
 
 def elements_of(text) -> Column:
     """Element symbol of every atom token, in text order."""
-    atoms = F.regexp_extract_all(as_column(text), F.lit("(" + ATOM + ")"), F.lit(1))
-    return F.filter(
-        F.transform(atoms, lambda a: _symbol(F.regexp_extract(a, ELEMENT, 1))),
-        lambda s: s != "",
-    )
+    return bind(as_column(text), _elements)
+
+
+def _elements(text: Column) -> Column:
+    atoms = F.regexp_extract_all(text, F.lit("(" + ATOM + ")"), F.lit(1))
+    in_brackets = F.filter(F.transform(atoms, lambda a: F.regexp_extract(a, ELEMENT, 1)), lambda s: s != "")
+    # Outside of brackets an atom is its symbol; a star is none.
+    bare = F.regexp_extract_all(text, F.lit("(" + BARE_SYMBOL + ")"), F.lit(1))
+    return F.transform(F.when(F.contains(text, F.lit("[")), in_brackets).otherwise(bare), _symbol)
 
 
 def _symbol(s) -> Column:
-    return F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1))
+    small = s.isin(*"bcnops", "se", "as")
+    return F.when(small, F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1))).otherwise(s)
 
 
 def net_charge(text) -> Column:
