@@ -113,8 +113,15 @@ def extract_yield(product: Column, dtype: T.StructType) -> Column:
     return F.when(first["percentage"].isNotNull(), direct).otherwise(nested)
 
 
+CONDITION_PARTS = ("solvents", "temperature_celsius", "catalysts")
+
+
 def extract_conditions(df: DataFrame) -> Column:
     """struct(solvents, temperature_celsius, catalysts); a solvent role wins over catalyst."""
+    return F.struct(*[part.alias(name) for name, part in _condition_parts(df).items()])
+
+
+def _condition_parts(df: DataFrame) -> dict[str, Column]:
     comps, dtype = input_components(df)
     solvent = lambda c: role_matches(c["reaction_role"], ["SOLVENT"])
     catalyst = lambda c: ~solvent(c) & role_matches(c["reaction_role"], ["CATALYST"])
@@ -129,11 +136,7 @@ def extract_conditions(df: DataFrame) -> Column:
         temperature = find_temperature(F.col("conditions"), df.schema["conditions"].dataType)
     else:
         temperature = F.lit(None).cast("double")
-    return F.struct(
-        labels(solvent).alias("solvents"),
-        temperature.alias("temperature_celsius"),
-        labels(catalyst).alias("catalysts"),
-    )
+    return {"solvents": labels(solvent), "temperature_celsius": temperature, "catalysts": labels(catalyst)}
 
 
 def record_identifier(df: DataFrame, fallback: Column) -> Column:
@@ -185,7 +188,8 @@ def normalize_reaction(
         df.withColumns({"_reactants": reactants, "_made": made})
         .withColumns({"_left": reactants_text, "_right": F.get("_made", F.lit(0))["text"]})
         .where((F.col("_left") != "") & F.col("_right").isNotNull())
-        .withColumn("_conditions", extract_conditions(df))
+        # Columns of their own: Spark would work out a struct again for every use.
+        .withColumns({f"_{name}": part for name, part in _condition_parts(df).items()})
         .select(
             record_identifier(df, fallback).alias("reaction_id"),
             F.col(dataset).alias("split"),
@@ -195,18 +199,18 @@ def normalize_reaction(
             F.col("_left").alias("reactant_smiles"),
             F.col("_right").alias("product_smiles"),
             F.concat("_left", F.lit(">>"), "_right").alias("reaction_smiles"),
-            F.col("_conditions").alias("conditions"),
+            F.struct(*[F.col(f"_{name}").alias(name) for name in CONDITION_PARTS]).alias("conditions"),
             F.lit(source).alias("source"),
             F.col(dataset).alias("source_dataset"),
-            joined(F.col("_conditions.solvents")).alias("solvent"),
-            F.col("_conditions.temperature_celsius").alias("temperature_celsius"),
+            joined(F.col("_solvents")).alias("solvent"),
+            F.col("_temperature_celsius").alias("temperature_celsius"),
             none("double").alias("pressure_atm"),
             none("double").alias("reaction_time_hours"),
             F.coalesce(
                 F.get(F.filter(amounts, lambda y: y != 0), F.lit(0)),
                 F.try_element_at(amounts, F.lit(-1)),
             ).alias("yield_percent"),
-            joined(F.col("_conditions.catalysts")).alias("catalyst"),
+            joined(F.col("_catalysts")).alias("catalyst"),
             *keep,
         )
     )
