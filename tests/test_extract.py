@@ -265,3 +265,14 @@ def test_documents_keep_their_file_name(spark, tmp_path):
     (tmp_path / "deep" / "b.json").write_text(json.dumps({"index_in_file": 3}) + "\n")
     got = readers.read_reaction_documents(spark, str(tmp_path)).head()
     assert (got["source_dataset"], got["index_in_file"]) == ("b.json", 3)
+
+
+def test_labels_are_searched_once_for_each_list(spark, tmp_path):
+    from flaskmill.sources.schemas import REACTION_DOCUMENT
+
+    docs = spark.read.schema(REACTION_DOCUMENT).json(str(tmp_path)).withColumn("source_dataset", F.lit("a.json"))
+    spark.conf.set("spark.sql.maxPlanStringLength", 10**7)
+    plan = extract.normalize_reaction(docs)._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.maxPlanStringLength")
+    # Reactants, products, solvents and catalysts; what is found is not searched again to be tested.
+    assert 4 <= plan.count("SMILES)") <= 8

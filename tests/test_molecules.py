@@ -191,3 +191,24 @@ def test_atom_maps(one):
     assert one(T.atom_map_ids("t"), t="[CH3:1][OH:2]") == ["1", "2"]
     assert one(M.unmapped_canonical("t"), t="[CH3:1]C.[OH-:2]") == "[CH3]C.[OH-]"
     assert one(M.unmapped_canonical("t"), t="[CH3:1]C..C") is None
+
+
+def test_symbols_with_and_without_brackets(one):
+    read = lambda t: one(M.elements_of("t"), t=t)
+    assert read("ClCc1cnsc1*Br") == ["Cl", "C", "C", "C", "N", "S", "C", "Br"]
+    assert read("[Na+].[nH]1cc[13cH]c1.[*]") == ["Na", "N", "C", "C", "C", "C"]
+    assert read("[Pd") == ["P"] and read("") == [] and read(None) is None
+    assert [one(topk.catalyst_group(F.col("t")), t=t) for t in ("[Pd]", "Pd", "CPdC", "[Na+]", "Br[Mg]c1ccccc1")] == [
+        "metal_Pd", None, None, None, "metal_Mg",
+    ]
+
+
+def test_no_name_or_abbreviation_is_a_row_of_plain_atoms(spark):
+    names = spark.createDataFrame([(n,) for n in (*M.FORMULA_ALIASES, *M.ABBREVIATIONS)], "t string")
+    assert not names.where(F.rlike("t", F.lit(M.PLAIN))).count()
+
+
+def test_an_atom_is_read_once(spark):
+    df = spark.range(1).select(F.col("id").cast("string").alias("t")).select(M.elements_of("t").alias("e"))
+    # Only atoms in brackets are looked into, and once.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
