@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flaskmill.functions.nested import find_first_json, find_first_path, json_number, measurement_unit, numeric_value
@@ -423,16 +422,22 @@ def stream_append(spark, folder):
 
 def _list_files(docs, path: str, head, tail: str = "") -> None:
     """A file for each source: ``head``, the source's documents as a JSON list, ``tail``."""
-    order = W.partitionBy("bucket").orderBy("doc_id")
-    nth, n = F.row_number().over(order), F.count("*").over(W.partitionBy("bucket"))
-    rows = docs.select(F.coalesce("source", F.lit("none")).alias("bucket"), "doc_id", "source", "text")
-    rows = rows.withColumns({"nth": nth, "n": n})
+    # Keys may repeat: a row's place in its table tells it from the others.
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    rows = docs.select(F.coalesce("source", F.lit("none")).alias("bucket"), "doc_id", "source", "text", *place)
+    order = ["doc_id", "file", "row"]
+    # First, last and number of each list from the keys alone, so that texts move once.
+    ends = rows.groupBy("bucket").agg(
+        F.min(F.struct(*order)).alias("low"), F.max(F.struct(*order)).alias("high"), F.count("*").alias("n")
+    )
+    rows = rows.join(F.broadcast(ends), "bucket")
+    is_row = lambda end: (F.col("file") == F.col(f"{end}.file")) & (F.col("row") == F.col(f"{end}.row"))
     value = F.concat(
-        F.when(F.col("nth") == 1, head).otherwise(F.lit(",")),
+        F.when(is_row("low"), head).otherwise(F.lit(",")),
         F.to_json(F.struct("doc_id", "source", "text")),
-        F.when(F.col("nth") == F.col("n"), F.lit("]" + tail)).otherwise(F.lit("")),
+        F.when(is_row("high"), F.lit("]" + tail)).otherwise(F.lit("")),
     )
-    lines = rows.repartition("bucket").sortWithinPartitions("bucket", "nth").select("bucket", value.alias("value"))
+    lines = rows.repartition("bucket").sortWithinPartitions("bucket", *order).select("bucket", value.alias("value"))
     lines.write.partitionBy("bucket").text(path)
 
 

@@ -4,14 +4,18 @@ A file is cut at every ``}``, which Spark's text source does split by split. Whe
 begins inside a text, and how deep, follows from all pieces before it: each counts its quotes
 and brackets for both cases (it begins outside of a text, or inside), a split sums up its own,
 and the sums of the splits before, a row each, decide which case holds. A piece that comes back
-to the depth of the list closes a record; a record's pieces are put together again and parsed
-in a task of their own choosing. An escape never spans a cut: ``}`` is not escaped in JSON.
+to the depth of the list closes a record. The task that reads a split adds the sums within it, and
+the pieces are written once; what a split or a file adds is a row each and is sent to them. So only
+the pieces of records of several pieces move, to be put together. An escape never spans a cut: ``}``
+is not escaped in JSON.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,16 +42,14 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     bare = F.regexp_replace("value", r"\\.", "")
     parts = F.split(bare, '"')
     inside = lambda first: F.array_join(F.filter(parts, lambda _, i: i % 2 == first), " ")
-    return stage(
-        lines.select(
-            F.col("value").alias("piece"),
-            *place,
-            F.monotonically_increasing_id().alias("at"),
-            (F.octet_length("value") + 1).alias("bytes"),
-            ((F.size(parts) - 1) % 2).alias("odd"),
-            _brackets(inside(0)).alias("d0"),
-            _brackets(inside(1)).alias("d1"),
-        )
+    return lines.select(
+        F.col("value").alias("piece"),
+        *place,
+        F.monotonically_increasing_id().alias("at"),
+        (F.octet_length("value") + 1).alias("bytes"),
+        ((F.size(parts) - 1) % 2).alias("odd"),
+        _brackets(inside(0)).alias("d0"),
+        _brackets(inside(1)).alias("d1"),
     )
 
 
@@ -55,16 +57,53 @@ def _upto(column: Column, order: list, by: list) -> Column:
     return F.coalesce(F.sum(column).over(W.partitionBy(*by).orderBy(*order).rowsBetween(*BEFORE)), F.lit(0))
 
 
+SUMMED = (
+    "piece string, file_path string, file_name string, file_block_start long, file_size long, at long, bytes long, "
+    "odd long, was long, c0 long, c1 long, s0 long, s1 long, nth long, rank long"
+)
+
+
+def _summed(pieces: DataFrame) -> DataFrame:
+    """Sums within a split, in the task that reads it: ``was`` (the piece begins inside of a text if the split
+    begins outside), the change of depth (c0, c1) and that of all pieces before (s0, s1) for both cases, its
+    place (``nth``), and that among the pieces that end outside of a text in the same case and as deep (``rank``)."""
+
+    def run(batches):
+        ends, ranks = {}, {}
+        for batch in batches:
+            sums = {k: np.zeros(batch.num_rows, np.int64) for k in ("was", "c0", "c1", "s0", "s1", "nth", "rank")}
+            narrow = batch.select(["file_path", "file_block_start", "odd", "d0", "d1"]).to_pandas()
+            odds, d0, d1 = (narrow[k].to_numpy(np.int64) for k in ("odd", "d0", "d1"))
+            for split, at in narrow.groupby(["file_path", "file_block_start"], sort=False).indices.items():
+                odd, s0, s1, nth = ends.get(split, (0, 0, 0, 0))
+                total = odd + np.cumsum(odds[at])
+                was, case = (total - odds[at]) % 2, total % 2  # it ends outside of a text in this case
+                # The cut-off brace counts if the piece ends outside of a text.
+                c0 = np.where(was == 0, d0[at], d1[at]) - (case == 0)
+                c1 = np.where(was == 1, d0[at], d1[at]) - (case == 1)
+                after0, after1 = s0 + np.cumsum(c0), s1 + np.cumsum(c1)
+                kind = 2 * np.where(case == 0, after0, after1) + case
+                order = np.argsort(kind, kind="stable")
+                kinds, first, n = np.unique(kind[order], return_index=True, return_counts=True)
+                known = ranks.setdefault(split, {})
+                begin = np.asarray([known.get(k, 0) for k in kinds.tolist()], np.int64)
+                rank = np.empty(len(at), np.int64)
+                rank[order] = np.arange(len(at)) + np.repeat(begin - first, n)
+                known.update(zip(kinds.tolist(), (begin + n).tolist(), strict=True))
+                ends[split] = int(total[-1]), int(after0[-1]), int(after1[-1]), nth + len(at)
+                found = {"was": was, "c0": c0, "c1": c1, "s0": after0 - c0, "s1": after1 - c1, "rank": rank}
+                for k, v in (found | {"nth": nth + np.arange(len(at))}).items():
+                    sums[k][at] = v
+            kept = ["piece", "file_path", "file_name", "file_block_start", "file_size", "at", "bytes", "odd"]
+            columns = [batch.column(k) for k in kept] + [pa.array(sums[k]) for k in ("was", "c0", "c1", "s0", "s1", "nth", "rank")]
+            yield pa.RecordBatch.from_arrays(columns, names=kept + ["was", "c0", "c1", "s0", "s1", "nth", "rank"])
+
+    return pieces.withColumns({k: F.col(k).cast("long") for k in ("bytes", "odd")}).mapInArrow(run, SUMMED)
+
+
 def _placed(pieces: DataFrame) -> DataFrame:
     """Adds ``text`` (the piece begins inside of one), ``depth`` before and ``after`` it."""
-    flip = lambda odd, case: F.pmod(odd + case, F.lit(2))
-    rows = pieces.withColumn("was", _upto(F.col("odd"), ["at"], SPLIT) % 2)
-    for case in (0, 1):
-        begins = flip(F.col("was"), case)
-        # The cut-off brace counts if the piece ends outside of a text.
-        brace = F.when(flip(F.col("odd"), begins) == 0, 1).otherwise(0)
-        change = F.when(begins == 0, F.col("d0")).otherwise(F.col("d1")) - brace
-        rows = rows.withColumn(f"c{case}", change).withColumn(f"s{case}", _upto(change, ["at"], SPLIT))
+    rows = stage(_summed(pieces))
     totals = rows.groupBy(*SPLIT).agg(
         F.sum("odd").alias("odd"), F.sum("c0").alias("t0"), F.sum("c1").alias("t1"), F.max("at").alias("end"),
         F.sum("bytes").alias("bytes"), F.max("file_size").alias("size"),
@@ -83,18 +122,19 @@ def _placed(pieces: DataFrame) -> DataFrame:
             "braced": F.when(F.col("file_path").rlike(PACKED), F.lit(None)).otherwise(over.isin(0, -3)),
         }
     )
+    totals = stage(totals.select(*SPLIT, "case", "start", "end", "braced"))
     pick = lambda a: F.when(F.col("case") == 0, F.col(f"{a}0")).otherwise(F.col(f"{a}1"))
     return (
-        rows.join(totals.select(*SPLIT, "case", "start", "end", "braced"), SPLIT)
+        rows.join(F.broadcast(totals), SPLIT)
         .withColumns(
             {
-                "text": flip(F.col("was"), F.col("case")) == 1,
+                "text": F.col("was") != F.col("case"),
                 "depth": F.col("start") + pick("s"),
                 "after": F.col("start") + pick("s") + pick("c"),
                 "tail": F.coalesce(F.col("at") == F.col("end"), F.lit(False)),
             }
         )
-        .select("piece", "file_path", "file_name", "file_block_start", "at", "odd", "text", "depth", "after", "tail", "braced")
+        .select("piece", "file_path", "file_name", "file_block_start", "at", "nth", "rank", "odd", "text", "depth", "after", "tail", "braced")
     )
 
 
@@ -130,7 +170,7 @@ def json_records(spark: SparkSession, path: str, field: str | None = None) -> Da
     next record, where parsing finds them.
     """
     level = 1 if field is None else 2
-    rows = stage(_placed(_pieces(spark, path)))
+    rows = _placed(_pieces(spark, path))
     ends = rows.where("tail").select(
         "file_path",
         (F.col("text") != (F.col("odd") == 1)).alias("open"),
@@ -140,35 +180,46 @@ def json_records(spark: SparkSession, path: str, field: str | None = None) -> Da
         .alias("closed"),
     )
     whole = F.when(F.col("closed") & ~F.col("open"), 0).otherwise(1)
-    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy(*SPLIT).orderBy("at")) - 1)
-    rows = rows.withColumn("rest", _opening(field))
-    starts = rows.where(F.col("rest").isNotNull()).groupBy("file_path").agg(F.min(F.struct("file_block_start", "at")).alias("from"))
+    here, rest = F.struct("file_block_start", "at"), _opening(field)
+    starts = stage(rows.where(rest.isNotNull()).groupBy("file_path").agg(F.min(here).alias("from")))
     bad = ends.join(starts, "file_path", "left").agg(
         F.sum(whole).alias("open"), F.count_if(F.col("from").isNull()).alias("none")
     ).first()
     if bad["open"] or bad["none"]:
         raise ValueError(f"{path}: {bad['open'] or 0} files end too early, {bad['none']} have no list of records")
-    here = F.struct("file_block_start", "at")
+    rows = rows.join(F.broadcast(starts), "file_path")
+    first, late = here == F.col("from"), here >= F.col("from")
+    empty = F.when(first, rest.rlike(r"^\s*\]"))
     shut = (F.col("depth") == level) & ~F.col("text") & F.col("piece").rlike(r"^\s*\]")
-    listed = rows.join(starts, "file_path").where(here >= F.col("from"))
-    empty = (here == F.col("from")) & F.col("rest").rlike(r"^\s*\]")
-    over = listed.where(empty | (shut & (here > F.col("from")))).groupBy("file_path").agg(F.min(here).alias("to"))
-    listed = listed.join(over, "file_path", "left").where(F.col("to").isNull() | (here < F.col("to")))
-    text = F.when(here == F.col("from"), F.col("rest")).otherwise(F.col("piece"))
-    closes = (F.col("after") == level) & ~(F.col("text") != (F.col("odd") == 1))
-    listed = stage(
-        listed.select(*SPLIT, "file_name", "at", text.alias("piece"), closes.cast("int").alias("closes"))
+    over = rows.where(late & (empty | (shut & ~first))).groupBy("file_path").agg(F.min(here).alias("to"))
+    rows = rows.join(F.broadcast(stage(over)), "file_path", "left")
+    rows = rows.withColumns(
+        {
+            "closes": (F.col("after") == level) & ~(F.col("text") != (F.col("odd") == 1)),
+            "listed": late & (F.col("to").isNull() | (here < F.col("to"))),
+        }
+    )
+    sums = rows.groupBy(*SPLIT).agg(
+        F.count_if(F.col("closes") & F.col("listed")).alias("n"), F.count_if(F.col("closes") & ~late).alias("skipped")
     )
-    sums = listed.groupBy(*SPLIT).agg(F.sum("closes").alias("n"))
-    sums = sums.withColumn("first", _upto(F.col("n"), ["file_block_start"], ["file_path"])).drop("n")
-    inside = _upto(F.col("closes"), ["at"], SPLIT)
-    numbered = listed.withColumn("inside", inside).join(sums, SPLIT)
-    numbered = numbered.withColumn("position", F.col("first") + F.col("inside"))
-    record = numbered.groupBy("file_path", "file_name", "position").agg(
+    sums = sums.withColumn("before", _upto(F.col("n"), ["file_block_start"], ["file_path"]))
+    numbered = rows.where("listed").join(F.broadcast(sums), SPLIT).select(
+        *SPLIT, "file_name", "at", "closes", "before", "n", (F.col("rank") - F.col("skipped")).alias("rank"),
+        F.when(first, rest).otherwise(F.col("piece")).alias("piece"),
+        # Between records where it begins and where it ends: a record of its own.
+        (F.col("closes") & ~first & (F.col("depth") == level) & ~F.col("text")).alias("alone"),
+    )
+    onward = W.partitionBy(*SPLIT).orderBy("at").rowsBetween(W.currentRow, W.unboundedFollowing)
+    ends_at = F.first(F.when(F.col("closes"), F.col("rank")), ignorenulls=True).over(onward)
+    parts = numbered.where("NOT alone").withColumn("position", F.col("before") + F.coalesce(ends_at, F.col("n")))
+    joined = parts.groupBy("file_path", "file_name", "position").agg(
         F.sort_array(F.collect_list(F.struct("file_block_start", "at", "piece"))).alias("pieces"),
         F.max("closes").alias("closes"),
     )
-    joined = F.concat(F.array_join(F.col("pieces.piece"), "}"), F.lit("}"))
-    return record.where("closes = 1").select(
-        F.regexp_replace(joined, r"^[\s,]+", "").alias("value"), "file_path", "file_name", F.col("position").cast("long").alias("position")
-    )
+    joined = joined.where("closes").withColumn("piece", F.array_join(F.col("pieces.piece"), "}"))
+    alone = numbered.where("alone").withColumn("position", F.col("before") + F.col("rank"))
+    kept = ["piece", "file_path", "file_name", "position"]
+    return alone.select(*kept).unionByName(joined.select(*kept)).select(
+        F.regexp_replace(F.concat("piece", F.lit("}")), r"^[\s,]+", "").alias("value"),
+        "file_path", "file_name", F.col("position").cast("long").alias("position"),
+    )

@@ -226,6 +226,66 @@ def test_large_arrays_and_runs_are_read_by_several_tasks(spark, tmp_path, indent
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_pieces_are_written_once_and_whole_ones_stay(spark, tmp_path, monkeypatch):
+    """Batches of three pieces in splits of 700 bytes: only records of several pieces move."""
+    from flaskmill.sources import json_split
+
+    rows = [r | {"n": i} for i, r in enumerate(AWKWARD * 12)]
+    (tmp_path / "rows.json").write_text(json.dumps(rows))
+    (tmp_path / "run.json").write_text(json.dumps({"first": [{"n": -1}], "records": rows, "after": [{"n": -2}]}, indent=1))
+    (tmp_path / "flat.json").write_text(json.dumps([{"n": i} for i in range(300)]))
+    staged, keep = [], json_split.stage
+    monkeypatch.setattr(json_split, "stage", lambda df: staged.append(df.columns) or keep(df))
+    conf = {
+        "spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "0",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "3",
+    }
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        for name, field, many in (("rows", None, True), ("run", "records", True), ("flat", None, False)):
+            staged.clear()
+            found = json_split.json_records(spark, str(tmp_path / f"{name}.json"), field)
+            assert sum("piece" in columns for columns in staged) == 1
+            got = sorted((r["position"], json.loads(r["value"])) for r in found.collect())
+            assert got == list(enumerate(rows if many else [{"n": i} for i in range(300)]))
+            pieces = json_split._summed(json_split._pieces(spark, str(tmp_path / f"{name}.json"))).collect()
+            for split in {r["file_block_start"] for r in pieces}:
+                own = sorted((r for r in pieces if r["file_block_start"] == split), key=lambda r: r["at"])
+                assert [r["nth"] for r in own] == list(range(len(own)))
+                assert [r["s0"] for r in own] == [sum(x["c0"] for x in own[:i]) for i in range(len(own))]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_lists_of_repeated_and_missing_keys(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from flaskmill.plans import ingest
+
+    rows = [(1, "a", "x}"), (1, "a", "x}"), (None, "a", "y"), (None, "a", None), (3, "a", '"['), (3, "a", "]"), (2, None, "z"), (9, "b", "")]
+    folder = tmp_path / "in"
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    docs.repartition(3).write.parquet(str(folder / "documents.parquet"))
+    ingest._list_files(ingest.table(spark, str(folder), "documents"), str(tmp_path / "out"), F.lit("["))
+    lists = {}
+    for file in (tmp_path / "out").glob("bucket=*/*.txt"):
+        assert file.parent.name not in lists
+        lists[file.parent.name] = [tuple(r.get(k) for k in ("doc_id", "source", "text")) for r in json.loads(file.read_text())]
+    assert sorted(lists) == ["bucket=a", "bucket=b", "bucket=none"]
+    assert sorted(sum(lists.values(), []), key=str) == sorted(rows, key=str)
+    for found in lists.values():
+        assert [r[0] for r in found] == sorted((r[0] for r in found), key=lambda k: (k is not None, k))
+    back = ingest.json_arrays(spark, str(folder))
+    assert sorted((r["doc_id"], r["source"], r["n_chars"]) for r in back.collect() if r["doc_id"]) == sorted(
+        ((i, s, len(t)) for i, s, t in rows if i), key=lambda r: (r[0], str(r[1]), r[2])
+    )
+    numbered = [(r["source"], r["record_pos"]) for r in ingest.read_runs(spark, str(folder)).collect()]
+    assert sorted(numbered, key=str) == sorted([*(("a", i) for i in range(6)), ("b", 0), (None, 0)], key=str)
+
+
 def test_broken_and_empty_arrays(spark, tmp_path):
     read = lambda text, form="array": (
         (tmp_path / "x.json").write_text(text), readers.read_records(spark, str(tmp_path / "x.json"), "a int", form).sort("a").collect()
