@@ -451,3 +451,65 @@ def test_a_scan_with_a_floor_gives_no_pair_below_it(spark):
     every = pairs(similarity._scan(q, t, 4, 4, similarity.SIMILARITY_WEIGHTS))
     kept = pairs(similarity._scan(q, t, 4, 4, similarity.SIMILARITY_WEIGHTS, "floor"))
     assert kept == {k: v for k, v in every.items() if v >= 0.3} and 4 < len(kept) < 16
+
+
+def _steps(df):
+    """The expressions of every step of the optimised plan, as text."""
+    out, left = [], [df._jdf.queryExecution().optimizedPlan()]
+    while left:
+        node = left.pop()
+        out.append(node.expressions().mkString(" "))
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_pairs_are_counted_once_and_in_short_steps(spark):
+    """The JVM compiles no method of 64 words' counts, and a filter must not count them again."""
+    df = items(spark)
+    sig = similarity.stage(similarity._signatures(df, "row_id"))
+    q, t = similarity._side(sig, "q").withColumn("floor", F.lit(0.3)), similarity._side(sig, "t")
+    for floor in (None, "floor"):
+        counts = [s.count("bit_count(") for s in _steps(similarity._scan(q, t, 9, 9, similarity.SIMILARITY_WEIGHTS, floor))]
+        assert max(counts) == 16 and sum(counts) == 64
+
+
+def test_floors_are_reached_by_as_many_partners(spark):
+    rows = [("a", i, i / 100) for i in range(100)] + [("b", i, 0.5) for i in range(100)] + [("c", 1, 0.9), ("c", 1, 0.9)]
+    scored = spark.createDataFrame(rows, "q string, t long, score double")
+    floors = {r["q"]: r["floor"] for r in similarity._floors(scored, 3, "q", "t").collect()}
+    # Two rows of one partner are not two partners.
+    assert set(floors) == {"a", "b"} and floors["b"] == 0.5 and 0.8 < floors["a"] <= 0.97
+
+
+@pytest.mark.parametrize("n", [2, 12, 100])
+def test_cells_are_the_best_of_all_pivots(spark, n):
+    sig = similarity.stage(similarity._signatures(items(spark), "row_id"))
+    w, count = similarity.SIMILARITY_WEIGHTS, sig.count()
+    every = {}
+    for r in similarity._scan(similarity._side(sig, "q"), similarity._side(sig, "t"), count, count, w).collect():
+        every.setdefault(r["t"], []).append((-r["score"], r["q"]))
+    got = {}
+    for r in similarity._cells(sig, sig, count, count, n, w).collect():
+        got.setdefault(r["sig"], []).append((r["nth"], r["cell"]))
+    want = {t: [(i + 1, q) for i, (_, q) in enumerate(sorted(pairs)[:n])] for t, pairs in every.items()}
+    assert {t: sorted(cells) for t, cells in got.items()} == want
+
+
+def test_shingles_are_runs_of_whole_characters(spark):
+    texts = ["a\nb\r\n c", "a\U0001f600b\U0001f601\U0001f602", "aaaa", "éab", "ab", "\U0001f600", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r["s"] for r in df.select(fingerprints.shingles("t").alias("s")).collect()]
+    runs = lambda t: [t[i : i + 3] for i in range(max(1, len(t) - 2))]
+    assert got == [list(dict.fromkeys(runs(t))) if t else None for t in texts]
+
+
+def test_class_similarity_of_single_labels(spark):
+    labels = [None, "heck", "suzuki", "oxidation", "reduction", "other"]
+    df = spark.createDataFrame([(a, b) for a in labels for b in labels], "a string, b string")
+    groups = (classes.class_groups("a"), classes.class_groups("b"))
+    got = df.select(
+        classes.class_similarity("a", F.array_compact(F.array("b")), normal=True).alias("listed"),
+        classes.class_similarity("a", "b", normal=True, groups=groups).alias("single"),
+    ).collect()
+    assert [r["listed"] for r in got] == [r["single"] for r in got] and {r["single"] for r in got} == {0.0, 0.5, 1.0}
